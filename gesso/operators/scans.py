@@ -240,11 +240,12 @@ def least_squares(
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-group values back on; one-row tables join on a constant."""
+    """Join per-group values back on; a one-row table becomes a scalar subquery."""
     keys = list(keys)
     if keys:
         return df.join(lookup(small), keys)
-    return df.withColumn("_g", F.lit(0)).join(F.broadcast(small.limit(1).withColumn("_g", F.lit(0))), "_g").drop("_g")
+    one = small.select(F.struct(*small.columns).alias("_s")).scalar()
+    return df.withColumn("_s", one).select("*", *[F.col("_s")[c].alias(c) for c in small.columns]).drop("_s")
 
 
 def linear_value(coef: str | Column, features: Sequence[Column], target: int = 0) -> Column:
