@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -193,31 +193,97 @@ def view_angle(normal: Vec, center: Vec, eye: Vec) -> Column:
     return F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))))
 
 
-def closest_point_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
-    """Array(x, y, z): nearest point of a triangle, by Voronoi region."""
-    ab, ac, ap = sub(b, a), sub(c, a), sub(p, a)
-    bp, cp = sub(p, b), sub(p, c)
-    d1, d2 = dot(ab, ap), dot(ac, ap)
-    d3, d4 = dot(ab, bp), dot(ac, bp)
-    d5, d6 = dot(ab, cp), dot(ac, cp)
-    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+def add_closest_point(df: DataFrame, p: Vec, a: Vec, b: Vec, c: Vec, out: str = "foot") -> DataFrame:
+    """Adds ``out`` = array(x, y, z): the point of a triangle nearest to ``p``.
 
-    def point(base: Vec, *terms) -> Column:
-        return F.array(*[base[i] + sum((w * v[i] for w, v in terms), F.lit(0.0)) for i in range(3)])
-
-    along_ab = F.try_divide(d1, d1 - d3)
-    along_ac = F.try_divide(d2, d2 - d6)
-    along_bc = F.try_divide(d4 - d3, (d4 - d3) + (d5 - d6))
-    whole = va + vb + vc
-    return (
-        F.when((d1 <= 0) & (d2 <= 0), F.array(*a))
-        .when((d3 >= 0) & (d4 <= d3), F.array(*b))
-        .when((d6 >= 0) & (d5 <= d6), F.array(*c))
-        .when((vc <= 0) & (d1 >= 0) & (d3 <= 0), point(a, (along_ab, ab)))
-        .when((vb <= 0) & (d2 >= 0) & (d6 <= 0), point(a, (along_ac, ac)))
-        .when((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), point(b, (along_bc, sub(c, b))))
-        .otherwise(point(a, (F.try_divide(vb, whole), ab), (F.try_divide(vc, whole), ac)))
+    The plane around a triangle splits into seven regions (three corners,
+    three edges, the inside); projections of the point on the edges tell which.
+    """
+    ab, ac, bc = sub(b, a), sub(c, a), sub(c, b)
+    df = df.withColumns(
+        {
+            "_k1": dot(ab, sub(p, a)), "_k2": dot(ac, sub(p, a)),
+            "_k3": dot(ab, sub(p, b)), "_k4": dot(ac, sub(p, b)),
+            "_k5": dot(ab, sub(p, c)), "_k6": dot(ac, sub(p, c)),
+        }
     )
+    k1, k2, k3, k4, k5, k6 = (F.col(f"_k{i}") for i in range(1, 7))
+    df = df.withColumns({"_ka": k3 * k6 - k5 * k4, "_kb": k5 * k2 - k1 * k6, "_kc": k1 * k4 - k3 * k2})
+    wa, wb, wc = F.col("_ka"), F.col("_kb"), F.col("_kc")
+
+    def on(base: Vec, share: Column, edge: Vec) -> Column:
+        return F.array(*[base[i] + share * edge[i] for i in range(3)])
+
+    whole = wa + wb + wc
+    middle = F.array(*[a[i] + F.try_divide(wb, whole) * ab[i] + F.try_divide(wc, whole) * ac[i] for i in range(3)])
+    region = (
+        F.when((k1 <= 0) & (k2 <= 0), F.array(*a))
+        .when((k3 >= 0) & (k4 <= k3), F.array(*b))
+        .when((k6 >= 0) & (k5 <= k6), F.array(*c))
+        .when((wc <= 0) & (k1 >= 0) & (k3 <= 0), on(a, F.try_divide(k1, k1 - k3), ab))
+        .when((wb <= 0) & (k2 >= 0) & (k6 <= 0), on(a, F.try_divide(k2, k2 - k6), ac))
+        .when((wa <= 0) & (k4 >= k3) & (k5 >= k6), on(b, F.try_divide(k4 - k3, (k4 - k3) + (k5 - k6)), bc))
+        .otherwise(middle)
+    )
+    return df.withColumn(out, region).drop("_k1", "_k2", "_k3", "_k4", "_k5", "_k6", "_ka", "_kb", "_kc")
+
+
+def order_corners(points: Column, angle: int = 0) -> Column:
+    """Four corner structs (x, y): top left, top right, bottom left, bottom
+    right of the image turned by ``angle`` (0, 90, -90, 180)."""
+
+    def extreme(key, largest: bool) -> Column:
+        ranked = F.transform(points, lambda p: F.struct(key(p).alias("k"), p.x.alias("x"), p.y.alias("y")))
+        pick = F.array_max(ranked) if largest else F.array_min(ranked)
+        return F.struct(pick.x.alias("x"), pick.y.alias("y"))
+
+    near, far = extreme(lambda p: p.x + p.y, False), extreme(lambda p: p.x + p.y, True)
+    right, left = extreme(lambda p: p.y - p.x, False), extreme(lambda p: p.y - p.x, True)
+    order = {0: (near, right, left, far), 90: (right, far, near, left), -90: (left, near, far, right), 180: (far, left, right, near)}
+    return F.array(*order[angle])
+
+
+def corner_ranks(points: Column) -> Column:
+    """Positions of the corners sorted by angle around their centroid."""
+    n = F.size(points)
+    cx = F.aggregate(points, F.lit(0.0), lambda s, p: s + p.x) / n
+    cy = F.aggregate(points, F.lit(0.0), lambda s, p: s + p.y) / n
+    keyed = F.transform(points, lambda p, i: F.struct(F.atan2(p.y - cy, p.x - cx).alias("t"), i.alias("i")))
+    return F.transform(F.array_sort(keyed), lambda s: s.i)
+
+
+def same_cyclic_order(a: Column, b: Column) -> Column:
+    return corner_ranks(a) == corner_ranks(b)
+
+
+def is_horizontal(points: Column) -> Column:
+    xs, ys = F.transform(points, lambda p: p.x), F.transform(points, lambda p: p.y)
+    return (F.array_max(xs) - F.array_min(xs)) > (F.array_max(ys) - F.array_min(ys))
+
+
+def half_spaces(s: Vec, n: Vec, neighbours: Column, box: Column, reach: float = 20.0) -> Column:
+    """Array of planes (nx, ny, nz, d) with n.x <= d around a sample: the six
+    box sides, the bisector to each neighbour and to two points off the surface.
+
+    ``neighbours`` is an array of structs x, y, z; ``box`` a struct of bounds.
+    """
+
+    def plane(a, b, c, d) -> Column:
+        return F.struct(a.alias("nx"), b.alias("ny"), c.alias("nz"), d.alias("d"))
+
+    zero, one = F.lit(0.0), F.lit(1.0)
+    sides = [
+        plane(one, zero, zero, box.x1), plane(-one, zero, zero, -box.x0),
+        plane(zero, one, zero, box.y1), plane(zero, -one, zero, -box.y0),
+        plane(zero, zero, one, box.z1), plane(zero, zero, -one, -box.z0),
+    ]
+    own = dot(s, s)
+
+    def bisector(q: Vec) -> Column:
+        return plane(q[0] - s[0], q[1] - s[1], q[2] - s[2], (dot(q, q) - own) / 2)
+
+    off = [bisector(tuple(a + sign * reach * b for a, b in zip(s, n))) for sign in (1.0, -1.0)]
+    return F.concat(F.array(*sides), F.transform(neighbours, lambda q: bisector((q.x, q.y, q.z))), F.array(*off))
 
 
 # -- bounds, weights, sampling -----------------------------------------------
@@ -262,11 +328,11 @@ def cauchy_cost(r: Column, scale: float = 1.0) -> Column:
 
 
 def hemisphere_dir(i: Column, n: int) -> Vec:
-    """Direction ``i`` of ``n`` on a Fibonacci half sphere around +z."""
-    golden = math.pi * (3 - math.sqrt(5))
-    z = (i + 0.5) / n
+    """Direction ``i`` of ``n`` of a Fibonacci lattice on the upper half sphere."""
+    turn = 2 * math.pi / ((1 + math.sqrt(5)) / 2)
+    z = 1 - (2 * i + 1) / (2 * n)
     r = F.sqrt(1 - z * z)
-    return r * F.cos(i * golden), r * F.sin(i * golden), z
+    return r * F.cos(turn * i), r * F.sin(turn * i), z
 
 
 # -- grid labels -------------------------------------------------------------

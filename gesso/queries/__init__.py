@@ -2,7 +2,7 @@
 
 import importlib
 
-SUBJECTS = ("colour",)
+SUBJECTS = ("colour", "geometry", "catalog", "sessions")
 
 
 def load_all() -> None:
