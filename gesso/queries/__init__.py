@@ -2,7 +2,7 @@
 
 import importlib
 
-SUBJECTS = ("colour", "geometry", "catalog", "sessions")
+SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief")
 
 
 def load_all() -> None:

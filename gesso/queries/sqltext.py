@@ -34,7 +34,7 @@ LIGHTS = "lights(light_id, lx, ly, lz) AS (VALUES " + ", ".join(
 # images of 100 x 40 pixels: image = key div 4000, row and column from the rest
 GRID = """grid AS (
   SELECT CAST(o_orderkey // 4000 AS INTEGER) AS image_id, CAST(o_orderkey % 4000 // 40 AS INTEGER) AS y,
-         CAST(o_orderkey % 40 AS INTEGER) AS x, o_totalprice / 500000e0 AS v
+         CAST(o_orderkey % 40 AS INTEGER) AS x, o_totalprice / 499979.7e0 AS v
   FROM orders)"""
 NORMALS = """normals AS (
   SELECT image_id, y, x, nx / n AS nx, ny / n AS ny, nz / n AS nz FROM (

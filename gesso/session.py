@@ -77,6 +77,17 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return kept
 
 
+def fence(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep the formulas of ``columns`` out of later filters.
+
+    Predicate push-down copies a column's formula into the filter below it,
+    and a chain of projections unfolds exponentially that way. A partition id
+    in the formula marks it as not movable; its value is always true here.
+    """
+    here = F.spark_partition_id() >= 0
+    return df.withColumns({c: F.when(here, F.col(c)) for c in columns})
+
+
 def fixed(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A small literal table (lights, parameters); broadcastable by size."""
     return F.broadcast(spark.createDataFrame(rows, schema))
