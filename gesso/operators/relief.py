@@ -53,11 +53,12 @@ def _sums(w: Column | None = None) -> list[Column]:
 
 
 def _solve(df: DataFrame) -> DataFrame:
-    """Adds b0, b1, b2 from the sums a.. and r..; rank-2 systems get the
-    minimum-norm solution, lower rank gives null.
+    """Adds b0, b1, b2 from the sums a.. and r..; singular systems
+    get the minimum-norm solution.
 
     A rank-2 symmetric matrix becomes invertible by adding u u', u being its
-    unit null vector, without changing the minimum-norm solution.
+    unit null vector, without changing the minimum-norm solution. One of rank
+    1 is its trace times a projection.
     """
     a = lambda i, j: F.col(f"a{min(i, j)}{max(i, j)}")
     rows = tuple(tuple(a(i, j) for j in range(3)) for i in range(3))
@@ -72,12 +73,15 @@ def _solve(df: DataFrame) -> DataFrame:
     df = df.withColumns({**{f"_u{i}": pick(i) for i in range(3)}, "_sb": F.greatest("_s0", "_s1", "_s2")})
     full = F.abs(F.col("_det")) > 1e-6
     rank2 = F.sqrt("_sb") > 1e-9 * F.col("_tr") * F.col("_tr")
-    lift = F.when(full, 0.0).otherwise(1.0 / F.col("_sb"))
+    lift = F.when(full | ~rank2, 0.0).otherwise(F.try_divide(F.lit(1.0), F.col("_sb")))
     df = df.withColumns({f"_m{i}{j}": F.col(f"a{i}{j}") + lift * F.col(f"_u{i}") * F.col(f"_u{j}") for i, j in PAIRS})
     m = lambda i, j: F.col(f"_m{min(i, j)}{max(i, j)}")
     det, nums = g.solve3(tuple(tuple(m(i, j) for j in range(3)) for i in range(3)), tuple(F.col(f"r{i}") for i in range(3)))
     df = df.withColumns({"_d": det, **{f"_n{i}": v for i, v in enumerate(nums)}})
-    solved = {f"b{i}": F.when(full | rank2, F.try_divide(F.col(f"_n{i}"), F.col("_d"))) for i in range(3)}
+    solved = {
+        f"b{i}": F.when(full | rank2, F.try_divide(F.col(f"_n{i}"), F.col("_d"))).otherwise(F.try_divide(F.col(f"r{i}"), F.col("_tr")))
+        for i in range(3)
+    }
     helpers = ["_det", "_tr", "_sb", "_d", *[f"_c{k}{i}" for k in range(3) for i in range(3)]]
     helpers += [f"_s{k}" for k in range(3)] + [f"_u{i}" for i in range(3)] + [f"_n{i}" for i in range(3)] + [f"_m{i}{j}" for i, j in PAIRS]
     return fence(df.withColumns(solved).withColumn("full_rank", full).drop(*helpers), "b0", "b1", "b2")
@@ -148,7 +152,7 @@ def robust_normals(obs: DataFrame, lights: DataFrame, keys: Sequence[str], round
         w = 1.0 / (F.abs(r) + 1e-6)
         scaled = both.withColumn("_w", w)
         top = scaled.groupBy(*keys).agg(*_sums(F.col("_w") * F.col("_w")), F.sum(F.col("_w") * F.col("_w")).alias("_ws"))
-        norm = [(F.col(c) / F.col("_ws")).alias(c) for c in [*[f"a{i}{j}" for i, j in PAIRS], "r0", "r1", "r2"]]
+        norm = [F.try_divide(F.col(c), F.col("_ws")).alias(c) for c in [*[f"a{i}{j}" for i, j in PAIRS], "r0", "r1", "r2"]]
         fit = _solve(top.select(*keys, *norm)).select(*keys, "b0", "b1", "b2")
     b = tuple(F.col(f"b{i}") for i in range(3))
     out = fit.withColumn("rho", g.norm(b))

@@ -2,7 +2,7 @@
 
 import importlib
 
-SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief")
+SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief", "calibration")
 
 
 def load_all() -> None:

@@ -65,7 +65,6 @@ def a8_stats(t):
 
 
 _W = np.linalg.pinv(np.array([row[1:] for row in q.LIGHT_ROWS]))
-_WSQL = "wts(light_id, p0, p1, p2) AS (VALUES " + ", ".join(f"({row[0]}, {_W[0, i]!r}, {_W[1, i]!r}, {_W[2, i]!r})".replace("np.float64(", "").replace("))", ")") for i, row in enumerate(q.LIGHT_ROWS)) + ")"
 _WSQL = "wts(light_id, p0, p1, p2) AS (VALUES " + ", ".join("(" + ", ".join([str(row[0]), *[f"{float(_W[k, i])!r}::DOUBLE" for k in range(3)]]) + ")" for i, row in enumerate(q.LIGHT_ROWS)) + ")"
 
 
@@ -77,13 +76,6 @@ def a5(t):
     return s.select("pixel", F.round("rho", 5).alias("rho"), *rounded(4, nx=F.col("nx"), ny=F.col("ny"), nz=F.col("nz")))
 
 
-def _round_sql(k):
-    return f"""o{k} AS (SELECT l.*, 1/(abs(intensity - lx*b0 - ly*b1 - lz*b2) + 1e-6) AS w FROM pool l JOIN f{k - 1} USING (pixel)),
- t{k} AS (SELECT pixel, {_sums('w*w', ', sum(w*w) AS ws')} FROM o{k} GROUP BY pixel),
- s{k} AS (SELECT pixel, a00/ws AS a00, a01/ws AS a01, a02/ws AS a02, a11/ws AS a11, a12/ws AS a12, a22/ws AS a22, r0/ws AS r0, r1/ws AS r1, r2/ws AS r2 FROM t{k}),
- {_solve_ctes(f's{k}', f'f{k}')}"""
-
-
 @query("A10_robust_normals")
 def a10(t):
     s = r.robust_normals(observations(t), lights(t), ["pixel"])

@@ -48,7 +48,7 @@ def grid(t: Tables) -> DataFrame:
         F.floor(k / 4000).cast("int").alias("image_id"),
         F.floor(k % 4000 / 40).cast("int").alias("y"),
         (k % 40).cast("int").alias("x"),
-        (F.col("o_totalprice") / 499979.7.0).alias("v"),
+        (F.col("o_totalprice") / 499979.7).alias("v"),
     )
 
 
