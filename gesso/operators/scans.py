@@ -240,10 +240,10 @@ def least_squares(
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-group values back on; a one-row table becomes a scalar subquery."""
+    """Left join per-group values; a one-row table becomes a scalar subquery."""
     keys = list(keys)
     if keys:
-        return df.join(lookup(small), keys)
+        return df.join(lookup(small), keys, "left")
     one = small.select(F.struct(*small.columns).alias("_s")).scalar()
     return df.withColumn("_s", one).select("*", *[F.col("_s")[c].alias(c) for c in small.columns]).drop("_s")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gesso.functions import color
 from gesso.operators import calibration as cal
-from gesso.session import cut
+from gesso.session import cut, fence
 
 FREE_STEPS = ("decode", "flat_field")
 
@@ -57,16 +57,18 @@ def calibrate(pairs: DataFrame, key: str = "image_id", steps: Sequence[cal.Step]
 def replay(pixels: DataFrame, params: dict[str, DataFrame], key: str, steps: Sequence[cal.Step] = tuple(cal.STEPS)) -> DataFrame:
     """Apply accepted parameters to the pixels of many images.
 
-    One narrow pipeline per step; images without parameters for a step pass
-    unchanged. Parameter tables have a row per image, broadcast if counted
-    small.
+    One narrow pipeline over the pixels, no union and no shuffle: parameter
+    tables have a row per image and are broadcast if counted small. An image
+    without parameters for a step gets nulls there and keeps its values.
     """
     out = pixels
+    names = list(pixels.columns)
     for step in steps:
         p = params.get(step.name)
         if p is None:
             continue
-        marked = out.join(cal.lookup(p.select(key).withColumn("_has", F.lit(True))), key, "left")
-        names = [c for c in out.columns]
-        out = step.apply(marked.where("_has"), p, [key]).select(*names).unionByName(marked.where("_has IS NULL").select(*names))
+        kept = out.withColumns({f"_old{i}": F.col(c) for i, c in enumerate(cal.MEASURED)})
+        done = step.apply(kept, p, [key])
+        done = done.withColumns({c: F.coalesce(F.col(c), F.col(f"_old{i}")) for i, c in enumerate(cal.MEASURED)})
+        out = fence(done.select(*names), *cal.MEASURED)
     return out

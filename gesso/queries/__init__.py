@@ -2,7 +2,7 @@
 
 import importlib
 
-SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief", "calibration")
+SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief", "calibration", "mosaic")
 
 
 def load_all() -> None:

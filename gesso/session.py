@@ -61,7 +61,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from there."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    kept._is_cut = True
+    return kept
 
 
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,7 +73,7 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     hint the join is an ordinary shuffle join that adaptive execution may
     still split or convert.
     """
-    kept = cut(df)
+    kept = df if getattr(df, "_is_cut", None) is True else cut(df)
     if kept.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(kept)
     return kept
