@@ -44,7 +44,7 @@ def p14(t):
     return k.groupBy("dir").agg(F.count_if(m.in_overlap(*args, True)).alias("src"), F.count_if(m.in_overlap(*args, False)).alias("dst"))
 
 
-_NN = f"""nn AS (SELECT a.row, a.col, dir, a.kp, b.kp AS match, sqrt(list_sum(list_transform(list_zip(a.desc_, b.desc_), p -> pow(p[1]::DOUBLE - p[2]::DOUBLE, 2)))) AS distance
+_NN = f"""nn AS (SELECT a.row, a.col, dir, a.kp, b.kp AS match, sqrt(list_sum(list_transform(list_zip(a.desc_, b.desc_), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2)))) AS distance
  FROM kp a CROSS JOIN dirs JOIN kp b ON b.row = a.row + dr AND b.col = a.col + dc WHERE {_facing('a.x', 'a.y', False)} AND {_facing('b.x', 'b.y', True)}),
  rk AS (SELECT *, row_number() OVER (PARTITION BY row, col, dir, kp ORDER BY distance, match) AS rank FROM nn)"""
 
