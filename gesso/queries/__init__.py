@@ -2,7 +2,7 @@
 
 import importlib
 
-SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief", "calibration", "mosaic")
+SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief", "calibration", "mosaic", "mesh")
 
 
 def load_all() -> None:
