@@ -2,7 +2,7 @@
 
 import importlib
 
-SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief", "calibration", "mosaic", "mesh")
+SUBJECTS = ("colour", "geometry", "catalog", "sessions", "grid", "relief", "calibration", "mosaic", "mesh", "sources")
 
 
 def load_all() -> None:
