@@ -80,7 +80,8 @@ def two_nearest(keypoints: DataFrame, width: float, height: float, block: int =
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({c: [] for c in ("row", "col", "dir", "kp", "match", "distance")})
+            kinds = {"row": "int32", "col": "int32", "dir": object, "kp": "int64", "match": "int64", "distance": "float64"}
+            return pd.DataFrame({c: pd.Series([], dtype=k) for c, k in kinds.items()})
         b = b.sort_values("kp")
         q, c = np.stack(a["desc"]).astype(float), np.stack(b["desc"]).astype(float)
         ids = b["kp"].to_numpy()

@@ -52,13 +52,15 @@ def _sums(w: Column | None = None) -> list[Column]:
     return out
 
 
-def _solve(df: DataFrame) -> DataFrame:
+def _solve(df: DataFrame, relative: float | None = None) -> DataFrame:
     """Adds b0, b1, b2 from the sums a.. and r..; singular systems
     get the minimum-norm solution.
 
     A rank-2 symmetric matrix becomes invertible by adding u u', u being its
     unit null vector, without changing the minimum-norm solution. One of rank
-    1 is its trace times a projection.
+    1 is its trace times a projection. A system counts as regular by its
+    determinant, or with ``relative`` by its smallest against its largest
+    eigenvalue (strongly weighted sums are nearly singular by nature).
     """
     a = lambda i, j: F.col(f"a{min(i, j)}{max(i, j)}")
     rows = tuple(tuple(a(i, j) for j in range(3)) for i in range(3))
@@ -71,7 +73,8 @@ def _solve(df: DataFrame) -> DataFrame:
     best = F.when((F.col("_s0") >= F.col("_s1")) & (F.col("_s0") >= F.col("_s2")), 0).when(F.col("_s1") >= F.col("_s2"), 1).otherwise(2)
     pick = lambda i: F.when(best == 0, F.col(f"_c0{i}")).when(best == 1, F.col(f"_c1{i}")).otherwise(F.col(f"_c2{i}"))
     df = df.withColumns({**{f"_u{i}": pick(i) for i in range(3)}, "_sb": F.greatest("_s0", "_s1", "_s2")})
-    full = F.abs(F.col("_det")) > 1e-6
+    ratio = F.abs(F.col("_det")) > F.lit(relative or 0.0) * F.sqrt("_sb") * F.col("_tr")
+    full = ratio if relative else F.abs(F.col("_det")) > 1e-6
     rank2 = F.sqrt("_sb") > 1e-9 * F.col("_tr") * F.col("_tr")
     lift = F.when(full | ~rank2, 0.0).otherwise(F.try_divide(F.lit(1.0), F.col("_sb")))
     df = df.withColumns({f"_m{i}{j}": F.col(f"a{i}{j}") + lift * F.col(f"_u{i}") * F.col(f"_u{j}") for i, j in PAIRS})
@@ -145,7 +148,7 @@ def robust_normals(obs: DataFrame, lights: DataFrame, keys: Sequence[str], round
     solution back to the observations, whose shuffle is the same every time.
     """
     rows = with_lights(obs, lights).select(*keys, *AXES, "intensity")
-    fit = _solve(rows.groupBy(*keys).agg(*_sums())).select(*keys, "b0", "b1", "b2")
+    fit = _solve(rows.groupBy(*keys).agg(*_sums()), 1e-14).select(*keys, "b0", "b1", "b2")
     for _ in range(rounds - 1):
         both = rows.join(fit, list(keys))
         r = F.col("intensity") - sum((F.col(a) * F.col(f"b{i}") for i, a in enumerate(AXES)), F.lit(0.0))
@@ -153,7 +156,7 @@ def robust_normals(obs: DataFrame, lights: DataFrame, keys: Sequence[str], round
         scaled = both.withColumn("_w", w)
         top = scaled.groupBy(*keys).agg(*_sums(F.col("_w") * F.col("_w")), F.sum(F.col("_w") * F.col("_w")).alias("_ws"))
         norm = [F.try_divide(F.col(c), F.col("_ws")).alias(c) for c in [*[f"a{i}{j}" for i, j in PAIRS], "r0", "r1", "r2"]]
-        fit = _solve(top.select(*keys, *norm)).select(*keys, "b0", "b1", "b2")
+        fit = _solve(top.select(*keys, *norm), 1e-14).select(*keys, "b0", "b1", "b2")
     b = tuple(F.col(f"b{i}") for i in range(3))
     out = fit.withColumn("rho", g.norm(b))
     return out.select(*keys, "rho", *[F.when(F.col("rho") > 0, b[i] / F.col("rho")).alias(k) for i, k in enumerate(("nx", "ny", "nz"))])

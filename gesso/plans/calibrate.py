@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gesso.functions import color
 from gesso.operators import calibration as cal
+from gesso.operators.scans import attach
 from gesso.session import cut, fence
 
 FREE_STEPS = ("decode", "flat_field")
@@ -59,7 +60,7 @@ def replay(pixels: DataFrame, params: dict[str, DataFrame], key: str, steps: Seq
 
     One narrow pipeline over the pixels, no union and no shuffle: parameter
     tables have a row per image and are broadcast if counted small. An image
-    without parameters for a step gets nulls there and keeps its values.
+    without parameters for a step keeps its values there.
     """
     out = pixels
     names = list(pixels.columns)
@@ -67,8 +68,10 @@ def replay(pixels: DataFrame, params: dict[str, DataFrame], key: str, steps: Seq
         p = params.get(step.name)
         if p is None:
             continue
-        kept = out.withColumns({f"_old{i}": F.col(c) for i, c in enumerate(cal.MEASURED)})
+        p = cut(p)
+        marked = attach(out, p.select(key).withColumn("_has", F.lit(True)), [key])
+        kept = marked.withColumns({f"_old{i}": F.col(c) for i, c in enumerate(cal.MEASURED)})
         done = step.apply(kept, p, [key])
-        done = done.withColumns({c: F.coalesce(F.col(c), F.col(f"_old{i}")) for i, c in enumerate(cal.MEASURED)})
+        done = done.withColumns({c: F.when(F.col("_has"), F.col(c)).otherwise(F.col(f"_old{i}")) for i, c in enumerate(cal.MEASURED)})
         out = fence(done.select(*names), *cal.MEASURED)
     return out
