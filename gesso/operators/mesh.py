@@ -187,18 +187,19 @@ def rasterise(triangles: DataFrame, keys: Sequence[str], step: int = 64, slack:
 # -- neighbour searches ------------------------------------------------------------
 
 
-def _grid_size(points: DataFrame, k: int) -> float:
+def _grid_size(points: DataFrame, k: int, crowd: int = 256) -> float:
+    """Cell width for about k + 1 points per cell on a surface, halved until no
+    cell is crowded, so that a dense cluster is searched with small cells."""
     r = points.agg(F.count(F.lit(1)).alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
     widths = sorted([r["x"] or 0.0, r["y"] or 0.0, r["z"] or 0.0], reverse=True)
     area = max(widths[0], 1e-9) * max(widths[1], widths[0] * 1e-3, 1e-9)
-    return max((area * (k + 1) / max(r["n"], 1)) ** 0.5, 1e-9)
-
-
-def _cells(size: float, prefix: str = "_g", ring: bool = False) -> dict[str, Column]:
-    at = lambda a: F.floor(F.col(a) / size)
-    if not ring:
-        return {f"{prefix}{a}": at(a) for a in "xyz"}
-    return {f"{prefix}{a}": F.sequence(at(a) - 1, at(a) + 1) for a in "xyz"}
+    size = max((area * (k + 1) / max(r["n"], 1)) ** 0.5, 1e-9)
+    for _ in range(40):
+        full = points.groupBy(*[F.floor(F.col(a) / size).alias(f"_g{a}") for a in "xyz"]).count().agg(F.max("count")).first()[0]
+        if not full or full <= max(crowd, 8 * k):
+            break
+        size /= 2
+    return size
 
 
 def nearest_points(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = True, size: float | None = None) -> DataFrame:

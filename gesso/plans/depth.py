@@ -208,6 +208,10 @@ def _pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a, dtype=np.float64).tobytes()
 
 
+def _links(raw: bytes, ny: int, nx: int) -> tuple:
+    return tuple(np.frombuffer(raw, dtype=np.uint8).reshape(4, ny, nx).astype(np.float64))
+
+
 def _open(raw: bytes, ny: int, nx: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.float64).reshape(-1, ny, nx).copy()
 
@@ -236,7 +240,7 @@ def integrate_poisson(
             planes[i, iy, ix] = pdf[c].to_numpy()
         b = planes[4]
         z = _local_solve(b, tuple(planes[:4]))
-        return pd.DataFrame([[pdf["image_id"].iloc[0], ty, tx, ny, nx, _pack(planes[:4]), _pack(0 * b), _pack(b), _pack(z), _pack(z)]],
+        return pd.DataFrame([[pdf["image_id"].iloc[0], ty, tx, ny, nx, planes[:4].astype(np.uint8).tobytes(), _pack(0 * b), _pack(b), _pack(z), _pack(z)]],
                             columns=["image_id", "ty", "tx", "ny", "nx", "links", "x", "r", "z", "p"])
 
     state = cut(eq.groupBy("image_id", "_ty", "_tx").applyInPandas(start, schema))
@@ -263,7 +267,7 @@ def integrate_poisson(
         out = []
         for n, m, l, raw, *strips in zip(ny, nx, links, p, right, left, down, up):
             near = {s: None if v is None else np.frombuffer(v) for s, v in zip(sides, strips)}
-            out.append(_pack(_apply(_open(raw, n, m)[0], tuple(_open(l, n, m)), near)))
+            out.append(_pack(_apply(_open(raw, n, m)[0], _links(l, n, m), near)))
         return pd.Series(out)
 
     @F.pandas_udf("binary")
@@ -272,7 +276,7 @@ def integrate_poisson(
 
     @F.pandas_udf("binary")
     def precondition(ny: pd.Series, nx: pd.Series, links: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([_pack(_local_solve(_open(v, n, m)[0], tuple(_open(l, n, m)))) for n, m, l, v in zip(ny, nx, links, r)])
+        return pd.Series([_pack(_local_solve(_open(v, n, m)[0], _links(l, n, m))) for n, m, l, v in zip(ny, nx, links, r)])
 
     first = state.agg(F.sum(dot("r", "z")).alias("rz"), F.sum(dot("r", "r")).alias("rr")).first()
     rz, rr0 = first["rz"] or 0.0, first["rr"] or 0.0

@@ -32,7 +32,8 @@ def propagate_transforms(steps: DataFrame, cells: DataFrame) -> DataFrame:
     ``steps``: row, col, dir (right, left, top, bottom), h, the transform of
     the neighbour in that direction to the cell. Each cell is reached twice,
     along the centre row and then its column, and the other way round; the two
-    are averaged. A line of cells is folded in a window; lines are as long as
+    are averaged, or the one that exists is taken (null if a link is missing on
+    both). A line of cells is folded in a window; lines are as long as
     a grid side.
     """
     size = cells.agg(F.struct((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols")).alias("s")).scalar()
@@ -64,7 +65,7 @@ def propagate_transforms(steps: DataFrame, cells: DataFrame) -> DataFrame:
     def path(first: str, second: str) -> DataFrame:
         on_line = F.col("row") == F.col("_cr") if first == "col" else F.col("col") == F.col("_cc")
         trunk = walk(first, base.where(on_line), identity).select(F.col(first), F.col("_h").alias("_trunk"))
-        return walk(second, base.join(trunk, first), F.col("_trunk")).select("row", "col", F.col("_h"))
+        return walk(second, base.join(trunk, first, "left"), F.col("_trunk")).select("row", "col", F.col("_h"))
 
     one = path("col", "row").withColumnRenamed("_h", "_a")
     two = path("row", "col").withColumnRenamed("_h", "_b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gesso.functions import geometry as g
 from gesso.operators import catalog as c
 from gesso.registry import query
+from gesso.session import lookup
 
 PROJ = """proj AS (SELECT c_custkey AS id, c_name AS title, CAST(400 + c_custkey * 7 % 1900 AS INTEGER) AS width,
   CAST(300 + c_custkey * 11 % 1700 AS INTEGER) AS height, CASE WHEN c_nationkey % 2 = 0 THEN 'vertical' ELSE 'horizontal' END AS stand,
@@ -154,7 +155,7 @@ rows AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'unknown ' || c_nati
 SELECT c_custkey, raw, coalesce(m, -1) AS matched, CASE WHEN m IS NULL THEN 'not found: ' || raw END AS error FROM rows LEFT JOIN tags ON upper(replace(trim(raw), ' ', '')) = k""")
 def j20(t):
     k = F.col("c_custkey")
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    rows = t.customer.join(lookup(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey",
         F.when(k % 7 == 0, F.concat(F.lit("unknown "), F.col("c_nationkey").cast("string")))
         .otherwise(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).alias("raw"))
