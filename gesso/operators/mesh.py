@@ -30,13 +30,19 @@ def vertex_grid(depth: DataFrame, z: str = "z", step: float = 1.0) -> tuple[Data
     vertices = rows.select(
         F.col("image_id").alias("mesh_id"), v.alias("v"), (F.col("x") * step).alias("x"), (F.col("y") * step).alias("y"), (height * step).alias("z")
     )
+    return vertices, grid_faces(depth)
+
+
+def grid_faces(depth: DataFrame) -> DataFrame:
+    """Two triangles per cell of complete images: mesh_id, f, v1, v2, v3."""
+    rows = gr.with_dims(depth.select(*gr.KEY))
+    v = F.col("y").cast("bigint") * F.col("_w") + F.col("x")
     inner = rows.where((F.col("y") < F.col("_h") - 1) & (F.col("x") < F.col("_w") - 1))
     f = 2 * (F.col("y").cast("bigint") * (F.col("_w") - 1) + F.col("x"))
     w = F.col("_w")
     tri = lambda n, a, b, c: F.struct((f + n).alias("f"), a.alias("v1"), b.alias("v2"), c.alias("v3"))
     two = F.array(tri(0, v, v + 1, v + w), tri(1, v + 1, v + w + 1, v + w))
-    faces = inner.select(F.col("image_id").alias("mesh_id"), F.explode(two).alias("t")).select("mesh_id", "t.*")
-    return vertices, faces
+    return inner.select(F.col("image_id").alias("mesh_id"), F.explode(two).alias("t")).select("mesh_id", "t.*")
 
 
 def faces_with_vertices(faces: DataFrame, vertices: DataFrame, mesh: str = "mesh_id") -> DataFrame:
@@ -73,9 +79,12 @@ def face_adjacency(faces: DataFrame, mesh: str = "mesh_id") -> DataFrame:
     faces (a broken mesh) are joined with themselves.
     """
     edges = face_edges(faces, mesh)
-    g_ = edges.groupBy(mesh, "a", "b").agg(F.min("f").alias("f1"), F.max("f").alias("f2"), F.count(F.lit(1)).alias("n"))
+    g_ = cut(edges.groupBy(mesh, "a", "b").agg(F.min("f").alias("f1"), F.max("f").alias("f2"), F.count(F.lit(1)).alias("n")))
     plain = g_.where("n = 2 AND f1 < f2").select(mesh, "f1", "f2")
-    crowded = edges.join(g_.where("n > 2").select(mesh, "a", "b"), [mesh, "a", "b"])
+    many = g_.where("n > 2").select(mesh, "a", "b")
+    if many.limit(1).count() == 0:
+        return plain.distinct()
+    crowded = edges.join(lookup(many), [mesh, "a", "b"])
     left = crowded.select(mesh, "a", "b", F.col("f").alias("f1"))
     right = crowded.select(mesh, "a", "b", F.col("f").alias("f2"))
     more = left.join(right, [mesh, "a", "b"]).where("f1 < f2").select(mesh, "f1", "f2")
@@ -86,9 +95,12 @@ def seam_edges(faces: DataFrame, labels: DataFrame, mesh: str = "mesh_id") -> Da
     """Edges between faces of different labels: a, b, l1 < l2."""
     labelled = faces.join(labels.select(mesh, "f", "label"), [mesh, "f"])
     edges = face_edges(labelled, mesh, "label")
-    per = edges.groupBy(mesh, "a", "b").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("n"))
+    per = cut(edges.groupBy(mesh, "a", "b").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("n")))
     plain = per.where("n = 2 AND l1 < l2").select(mesh, "a", "b", "l1", "l2")
-    crowded = edges.join(per.where("n > 2 AND l1 < l2").select(mesh, "a", "b"), [mesh, "a", "b"]).select(mesh, "a", "b", "label").distinct()
+    many = per.where("n > 2 AND l1 < l2").select(mesh, "a", "b")
+    if many.limit(1).count() == 0:
+        return plain
+    crowded = edges.join(lookup(many), [mesh, "a", "b"]).select(mesh, "a", "b", "label").distinct()
     left = crowded.withColumnRenamed("label", "l1")
     right = crowded.select(mesh, "a", "b", F.col("label").alias("l2"))
     more = left.join(right, [mesh, "a", "b"]).where("l1 < l2").select(mesh, "a", "b", "l1", "l2")

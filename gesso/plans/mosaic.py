@@ -144,6 +144,77 @@ def _solve_blocks(blocks: DataFrame, current: DataFrame, mosaic: str) -> DataFra
     )
 
 
+def bundle_adjust_homography(ties: DataFrame, start: DataFrame, mosaic: str = "mosaic", rounds: int = 5, loss: str = "cauchy", scale: float = 1.0) -> DataFrame:
+    """Homographies (8 free numbers, h22 = 1) of all cells by Gauss-Newton.
+
+    Same tables as ``bundle_adjust``. A round is one aggregate of 8x8 blocks
+    and gradients per cell pair, then a damped step per mosaic. Start from the
+    affine solution.
+    """
+    current = cut(start.select(mosaic, "cell", "h", "anchor"))
+    weight = g.cauchy_weight if loss == "cauchy" else g.huber_weight
+    for _ in range(rounds):
+        lk = lookup(current)
+        side = lambda i: lk.select(mosaic, F.col("cell").alias(f"c{i}"), F.col("h").alias(f"_h{i}"))
+        rows = ties.join(side(1), [mosaic, "c1"]).join(side(2), [mosaic, "c2"])
+        for i in (1, 2):
+            x, y, h = F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"_h{i}")
+            rows = rows.withColumn(f"_d{i}", h[6] * x + h[7] * y + h[8]).where(F.abs(f"_d{i}") > 1e-12)
+            px, py = g.apply_homography(h, x, y)
+            rows = rows.withColumns({f"_px{i}": px, f"_py{i}": py})
+            d, zero = F.col(f"_d{i}"), F.lit(0.0)
+            near = [x / d, y / d, 1 / d]
+            jx = [*near, zero, zero, zero, -F.col(f"_px{i}") * x / d, -F.col(f"_px{i}") * y / d]
+            jy = [zero, zero, zero, *near, -F.col(f"_py{i}") * x / d, -F.col(f"_py{i}") * y / d]
+            rows = rows.withColumns({f"_jx{i}": F.array(*jx), f"_jy{i}": F.array(*jy)})
+        rows = rows.withColumns({"_rx": F.col("_px1") - F.col("_px2"), "_ry": F.col("_py1") - F.col("_py2")})
+        rows = rows.withColumn("_w", weight(F.sqrt(F.col("_rx") ** 2 + F.col("_ry") ** 2), scale))
+        j = lambda i, k: (F.col(f"_jx{i}")[k], F.col(f"_jy{i}")[k])
+        both = lambda p, q: F.sum(F.col("_w") * (p[0] * q[0] + p[1] * q[1]))
+        r = (F.col("_rx"), F.col("_ry"))
+        sums = [both(j(a, i), j(b, k)) for a, b in ((1, 1), (1, 2), (2, 2)) for i in range(8) for k in range(8)]
+        sums += [both(j(i, k), r) for i in (1, 2) for k in range(8)]
+        flat = rows.groupBy(mosaic, "c1", "c2").agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)])
+        blocks = flat.select(mosaic, "c1", "c2", F.array(*[f"s{n}" for n in range(len(sums))]).alias("b"))
+        current = cut(_step_blocks(blocks, current, mosaic))
+    return current.select(mosaic, "cell", "h")
+
+
+def _step_blocks(blocks: DataFrame, current: DataFrame, mosaic: str) -> DataFrame:
+    kind = current.schema[mosaic].dataType.simpleString()
+
+    def step(b: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("cell").reset_index(drop=True)
+        place = {c: i for i, c in enumerate(cells["cell"])}
+        n = len(cells)
+        m, grad = np.zeros((8 * n, 8 * n)), np.zeros(8 * n)
+        for c1, c2, flat in zip(b["c1"], b["c2"], b["b"]):
+            v = np.asarray(flat, float)
+            s, e = v[:192].reshape(3, 8, 8), v[192:].reshape(2, 8)
+            i, k = slice(8 * place[c1], 8 * place[c1] + 8), slice(8 * place[c2], 8 * place[c2] + 8)
+            m[i, i] += s[0]
+            m[i, k] -= s[1]
+            m[k, i] -= s[1].T
+            m[k, k] += s[2]
+            grad[i] += e[0]
+            grad[k] -= e[1]
+        h = np.stack(cells["h"]).astype(float)
+        h = h / h[:, 8:9]
+        free = ~np.repeat(cells["anchor"].to_numpy(), 8) & (np.abs(m).sum(axis=1) > 0)
+        delta = np.zeros(8 * n)
+        if free.any():
+            a = m[np.ix_(free, free)]
+            size = np.sqrt(np.maximum(np.diag(a), 1e-30))
+            scaled = a / size[:, None] / size[None, :] + 1e-9 * np.eye(len(a))
+            delta[free] = -np.linalg.lstsq(scaled, grad[free] / size, rcond=1e-12)[0] / size
+        h[:, :8] += delta.reshape(n, 8)
+        return pd.DataFrame({mosaic: cells[mosaic], "cell": cells["cell"], "h": list(h), "anchor": cells["anchor"]})
+
+    return blocks.groupBy(mosaic).cogroup(current.groupBy(mosaic)).applyInPandas(
+        step, f"{mosaic} {kind}, cell int, h array<double>, anchor boolean"
+    )
+
+
 def invert3(h: Column) -> Column:
     """Adjugate of a 9-array: the inverse up to scale, enough for points."""
     e = lambda a, b, c, d: h[a] * h[d] - h[b] * h[c]

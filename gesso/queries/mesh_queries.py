@@ -30,6 +30,10 @@ def mesh(t):
     return m.vertex_grid(grid(t), "v")
 
 
+def mesh_faces(t):
+    return m.grid_faces(grid(t))
+
+
 def labels(faces):
     return faces.select("mesh_id", "f", (F.floor(F.col("f") / 7) * 31 % 5).cast("int").alias("label"))
 
@@ -42,7 +46,7 @@ def m27(t):
 
 @query("M27_faces", MESH + "SELECT * FROM fc")
 def m27_faces(t):
-    return mesh(t)[1]
+    return mesh_faces(t)
 
 
 # corners by one combined key: the SQL engine otherwise joins on the mesh alone
@@ -62,18 +66,18 @@ def j9(t):
 
 @query("J10_face_adjacency", MESH + f", {EDGES} SELECT DISTINCT x.mesh_id, x.f AS f1, y.f AS f2 FROM ed x JOIN ed y ON x.k = y.k AND x.f < y.f")
 def j10(t):
-    return m.face_adjacency(mesh(t)[1])
+    return m.face_adjacency(mesh_faces(t))
 
 
 @query("J11_seam_edges", MESH + f", {EDGES}, {LABELS} SELECT x.mesh_id, x.a, x.b, least(p.label, r.label) AS l1, greatest(p.label, r.label) AS l2 FROM ed x JOIN ed y ON x.k = y.k AND x.f < y.f JOIN lb p ON p.fk = x.mesh_id * 100000000 + x.f JOIN lb r ON r.fk = y.mesh_id * 100000000 + y.f WHERE p.label <> r.label")
 def j11(t):
-    f = mesh(t)[1]
+    f = mesh_faces(t)
     return m.seam_edges(f, labels(f))
 
 
 @query("P27_canonical_edge", MESH + f", {EDGES} SELECT mesh_id, a, b, count(*) AS faces FROM ed WHERE a < b GROUP BY mesh_id, a, b")
 def p27(t):
-    return m.face_edges(mesh(t)[1]).groupBy("mesh_id", "a", "b").agg(F.count("*").alias("faces"))
+    return m.face_edges(mesh_faces(t)).groupBy("mesh_id", "a", "b").agg(F.count("*").alias("faces"))
 
 
 @query("X3_distinct_edges", "SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
@@ -271,7 +275,7 @@ def g5(t):
 
 @query("A52_unseen_faces", q.with_(q.GRID, DIMS, FACES, LABELS) + "SELECT count(*) FILTER (label = 0) AS unseen, count(*) AS faces FROM lb")
 def a52(t):
-    return tx.unseen_faces(labels(mesh(t)[1]))
+    return tx.unseen_faces(labels(mesh_faces(t)))
 
 
 @query("G6_connected_components", """WITH c AS (SELECT c_custkey AS k, c_nationkey % 2 AS p FROM customer), s AS (SELECT *, CASE WHEN lag(p) OVER (ORDER BY k) = p AND lag(k) OVER (ORDER BY k) = k - 1 THEN 0 ELSE 1 END AS b FROM c),
@@ -285,13 +289,13 @@ def g6(t):
 
 @query("A40_vertex_labels", q.with_(q.GRID, DIMS, FACES, LABELS) + ", p AS (SELECT DISTINCT mesh_id, unnest([v1, v2, v3]) AS v, label FROM fc JOIN lb USING (mesh_id, f) WHERE label <> 0) SELECT mesh_id, v, label, row_number() OVER (ORDER BY mesh_id, v, label) - 1 AS row_no FROM p")
 def a40(t):
-    f = mesh(t)[1]
+    f = mesh_faces(t)
     return tx.vertex_labels(f, labels(f))
 
 
 @query("J23_corner_values", q.with_(q.GRID, DIMS, FACES, LABELS) + "SELECT mesh_id, f, round((v1 + v2 + v3) * 0.01e0 * (label + 1), 5) AS total FROM fc JOIN lb USING (mesh_id, f)")
 def j23(t):
-    f = mesh(t)[1]
+    f = mesh_faces(t)
     lab = labels(f)
     per = f.join(lab, ["mesh_id", "f"]).select("mesh_id", F.explode(F.array("v1", "v2", "v3")).alias("v"), "label").distinct()
     solved = per.withColumn("d0", F.col("v") * 0.01 * (F.col("label") + 1))

@@ -227,6 +227,19 @@ def g8(t):
     return out.select("mosaic", "cell", F.round(F.col("h")[2], 2).alias("tx"), F.round(F.col("h")[5], 2).alias("ty"))
 
 
+@query("G8_bundle_adjust_homography")
+def g8_homography(t):
+    """The same ties, homographies from the affine start."""
+    rows = ties(t).select(
+        (F.col("point_no") % 2).cast("int").alias("mosaic"), F.col("pair").alias("c1"), F.col("x2").alias("x1"), F.col("y2").alias("y1"),
+        ((F.col("pair") + 1) % 12).alias("c2"), F.col("x1").alias("x2"), F.col("y1").alias("y2")).where("c2 > c1")
+    cell = rows.select("mosaic", F.explode(F.array("c1", "c2")).alias("cell")).distinct()
+    start = cell.withColumns({"h": g.lit_matrix(g.IDENTITY9), "anchor": F.col("cell") == 0})
+    affine = mo.bundle_adjust(rows, start, rounds=2).withColumn("anchor", F.col("cell") == 0)
+    out = mo.bundle_adjust_homography(rows, affine, rounds=2)
+    return out.select("mosaic", "cell", F.round(F.col("h")[2], 1).alias("tx"), F.round(F.col("h")[5], 1).alias("ty"))
+
+
 @query("J19_mesh_transform", "WITH " + CELLS + """, ce AS (SELECT *, row % 3 = 0 AS has FROM cells) SELECT row, col, CASE WHEN has THEN round(100e0 * col, 4) ELSE 0 END AS x, CASE WHEN has THEN round(20000 - 80e0 * row - 8742, 4) ELSE 0 END AS y FROM ce""")
 def j19(t):
     c = cells(t).select("row", "col")

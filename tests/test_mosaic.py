@@ -114,3 +114,17 @@ def test_inverse_transform(spark, rng):
     i = np.array(got).reshape(3, 3)
     assert np.allclose(i / i[2, 2], inv / inv[2, 2])
     assert len(g.IDENTITY9) == 9
+
+
+def test_homography_adjustment_recovers_perspective(spark, rng):
+    true = [np.eye(3), np.array([[1.02, 0.01, 50], [-0.01, 0.99, 3], [2e-4, -1e-4, 1]])]
+    rows = []
+    for k in range(150):
+        x, y = rng.uniform(50, 110, 2)
+        q = np.linalg.inv(true[1]) @ np.array([x, y, 1.0])
+        rows.append((0, 0, float(x), float(y), 1, float(q[0] / q[2]), float(q[1] / q[2])))
+    t = spark.createDataFrame(rows, "mosaic int, c1 int, x1 double, y1 double, c2 int, x2 double, y2 double")
+    start = spark.createDataFrame([(0, 0, shift(0, 0), True), (0, 1, shift(50, 0), False)], "mosaic int, cell int, h array<double>, anchor boolean")
+    first = mo.bundle_adjust(t, start, rounds=2).withColumn("anchor", F.col("cell") == 0)
+    out = {r["cell"]: r["h"] for r in mo.bundle_adjust_homography(t, first, rounds=4).collect()}
+    assert np.allclose(np.array(out[1]).reshape(3, 3), true[1], atol=1e-3)
