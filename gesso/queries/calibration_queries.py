@@ -10,7 +10,7 @@ from gesso.operators import fits
 from gesso.operators import quality as ql
 from gesso.plans import calibrate as plan
 from gesso.queries import sqltext as q
-from gesso.queries.grid_queries import DIMS
+from gesso.queries.grid_queries import DIMS, gauss_sql
 from gesso.queries.standins import Cols, grid, lights, observations, patches, reference, rounded
 from gesso.registry import query
 
@@ -174,7 +174,12 @@ def colour_image(t):
     return grid(t).select("image_id", "y", "x", (0.2 + 0.6 * v).alias("c0"), (0.7 - 0.4 * v).alias("c1"), (0.3 + 0.5 * v * v).alias("c2"))
 
 
-@query("A50_flat_plane")
+_COLOUR = "ci AS (SELECT image_id, y, x, 0.2e0 + 0.6e0*v AS c0, 0.7e0 - 0.4e0*v AS c1, 0.3e0 + 0.5e0*v*v AS c2 FROM grid)"
+_ENCODED = "en AS (SELECT image_id, y, x, " + ", ".join(f"{e} AS {n}" for e, n in zip(q.xyz_to_srgb(["c0", "c1", "c2"]), "rgb")) + " FROM ci)"
+
+
+@query("A50_flat_plane", q.with_(q.GRID, DIMS, _COLOUR, _ENCODED, "pl AS (SELECT image_id, y, x, greatest(r, g, b) AS v FROM en)", gauss_sql(2.0, ("v",), "pl"))
+       + "SELECT image_id, y, x, round(v + 1 - max(v) OVER (PARTITION BY image_id), 5) AS plane FROM low")
 def a50(t):
     return cal.flat_plane(colour_image(t), 2.0, 16).select("image_id", "y", "x", F.round("plane", 5).alias("plane"))
 
@@ -186,7 +191,13 @@ def j18(t):
     return g.join(plane, ["y", "x"]).select("image_id", "y", "x", F.round(F.col("v") / F.col("plane"), 5).alias("v"))
 
 
-@query("A50_apply_flat_plane")
+_DECODED = [f"(CASE WHEN {e} <= 0.04045e0 THEN {e} / 12.92e0 ELSE pow(({e} + 0.055e0) / 1.055e0, 2.4e0) END)" for e in ("r2", "g2", "b2")]
+
+
+@query("A50_apply_flat_plane", q.with_(
+    q.GRID, "p AS (SELECT y, x, avg(v) + 0.5e0 AS plane FROM grid GROUP BY y, x)", _COLOUR, _ENCODED, q.hsv_ctes("en", "hs"),
+    "mv AS (SELECT image_id, y, x, h, s, val / plane AS val FROM hs JOIN p USING (y, x))", q.hsv_to_rgb_ctes("mv", "bk"))
+    + "SELECT image_id, y, x, " + ", ".join(f"round({e}, 4) AS c{i}" for i, e in enumerate(q.matrix(c.SRGB_LINEAR_MATRIX, _DECODED))) + " FROM bk")
 def a50_apply(t):
     img = colour_image(t)
     plane = ql.images_mean(grid(t), "v").select("y", "x", (F.col("v") + 0.5).alias("plane"))

@@ -139,9 +139,10 @@ def j24(t):
     return c.apply_updates(cat, changes, t.supplier.select(F.col("s_suppkey").alias("id")), "id", ["title"])
 
 
-@query("X2_id_difference", """SELECT c_custkey AS id FROM customer EXCEPT ALL SELECT DISTINCT o_custkey FROM orders""")
+@query("X2_id_difference", "WITH " + DOCS + " SELECT id FROM cat EXCEPT ALL SELECT id FROM docs")
 def x2(t):
-    return t.customer.select(F.col("c_custkey").alias("id")).exceptAll(t.orders.select(F.col("o_custkey").alias("id")).distinct())
+    cat, docs = catalog_and_documents(t)
+    return cat.select("id").exceptAll(docs.select("id"))
 
 
 @query("O1_sort_catalog", "SELECT o_orderkey AS id, o_orderpriority AS title, o_orderdate AS created_at FROM orders ORDER BY title, id")
