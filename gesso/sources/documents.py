@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gesso.operators.catalog import TIMESTAMP_FORMAT, project_schema
+from gesso.session import cut
 
 CORRUPT = "_corrupt_record"
 
 
 def read_project_docs(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
     """All JSON documents of a folder as catalog rows. Unknown keys are
-    dropped; a document that cannot be parsed is a row with ``_corrupt_record``."""
+    dropped; a document that cannot be parsed is a row with ``_corrupt_record``.
+
+    The parsed rows are kept as a table, because Spark refuses queries that
+    use nothing but the corrupt-record column of raw JSON.
+    """
     schema = schema or project_schema()
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return (
+    docs = (
         spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .option("timestampFormat", TIMESTAMP_FORMAT).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
         .withColumn("source_file", F.input_file_name())
     )
+    return cut(docs)
 
 
 def write_project_docs(df: DataFrame, folder: str, key: str = "id") -> None:
