@@ -66,6 +66,30 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Write ``df`` as parquet below the shared folder and read it back.
+
+    Unlike a checkpoint the table is columnar, compressed and pruned when
+    read; like one it cuts the lineage and outlives a lost executor.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._is_cut = True
+    kept._kept_at = path
+    return kept
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table written by ``keep``; it can't be read afterwards."""
+    path = getattr(df, "_kept_at", None)
+    if path is None:
+        return
+    jvm = df.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if a count proves it small, else leave it.
 
