@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gesso.llm.words import words
+from gesso.session import fence
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
@@ -85,7 +86,8 @@ def with_counts(docs: DataFrame, prefix: str) -> DataFrame:
         "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
     }
     d = d.withColumns({prefix + n: c.cast("long") for n, c in counts.items()})
-    return d.drop(*[t(n) for n in "wlhs"])
+    # a later filter must not unfold the counts, text to ratio, into itself
+    return fence(d.drop(*[t(n) for n in "wlhs"]), *[prefix + n for n in counts])
 
 
 def base_failed(prefix: str = "") -> Column:
