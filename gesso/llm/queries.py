@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 
-from gesso.llm import hash_tree, mixing, quality_table, simhash
+from gesso.llm import bpe, hash_tree, mixing, pii, quality_table, secret_scan, simhash
 from gesso.registry import Tables, query
 
 TREE = hash_tree.even_tree(8)
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_pii")
+def op1(t: Tables) -> DataFrame:
+    return pii.span_digests(t.documents)
 
 
 @query("op4_hash_tree")
@@ -25,6 +32,16 @@ def op7(t: Tables) -> DataFrame:
     return simhash.simhash_near_dups(t.documents)
 
 
+@query("op8_bpe")
+def op8(t: Tables) -> DataFrame:
+    return bpe.token_digests(t.documents, VOCABULARY)
+
+
 @query("op9_quality_rules")
 def op9(t: Tables) -> DataFrame:
     return quality_table.judge_documents(t.documents)
+
+
+@query("op10_secrets")
+def op10(t: Tables) -> DataFrame:
+    return secret_scan.secret_digests(t.documents)
