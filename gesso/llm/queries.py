@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from gesso.llm import bpe, hash_tree, mixing, pii, quality_table, secret_scan, simhash
+from gesso.llm import bpe, hash_tree, mixing, pii, pivot_index, quality_table, secret_scan, simhash
 from gesso.registry import Tables, query
 
 TREE = hash_tree.even_tree(8)
@@ -22,6 +22,11 @@ def op4(t: Tables) -> DataFrame:
     return hash_tree.shard_rows(t.documents, TREE)
 
 
+@query("op5_pivot_index")
+def op5(t: Tables) -> DataFrame:
+    return pivot_index.near_dup_vectors(t.embeddings)
+
+
 @query("op6_mix_sources")
 def op6(t: Tables) -> DataFrame:
     return mixing.mix_documents(t.documents)
