@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gesso.llm import bpe, hash_tree, mixing, pii, pivot_index, quality_table, secret_scan, simhash
+from gesso.llm import bpe, hash_tree, mixing, pii, pivot_index, quality_table, secret_scan, simhash, token_rollup
 from gesso.registry import Tables, query
+from gesso.session import scratch_path
 
 TREE = hash_tree.even_tree(8)
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +19,46 @@ def op1(t: Tables) -> DataFrame:
     return pii.span_digests(t.documents)
 
 
+OP3 = r"""
+with c as (
+  select source, lang, doc_id, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as words,
+         len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9]'))::bigint as pieces
+  from documents),
+live as (select * from c where not coalesce(doc_id % 7 = 3, false)),
+rows_ as (
+  select source, lang, 'words-1' as tokenizer, 1::bigint as d, words as t from live
+  union all
+  select source, lang, 'pieces-1', 1::bigint, case when coalesce(doc_id % 5 = 1, false) then 2 * pieces else pieces end from live)
+select source, lang, tokenizer, sum(d)::bigint as documents, sum(t)::bigint as tokens
+from rows_ group by all having sum(d) <> 0 or sum(t) <> 0
+"""
+
+
+@query("op3_token_rollup", OP3)
+def op3(t: Tables) -> DataFrame:
+    """All documents go in; then the piece counter of every fifth is revised to double, and every seventh is deleted.
+
+    Each batch is committed twice, as after a lost answer, and the ledger is
+    folded between them.
+    """
+    ledger = token_rollup.Rollup(t.spark, scratch_path(t.spark, "ledger"))
+    docs, counters = t.documents, token_rollup.tokenizers()
+    old, new = {"pieces-1": counters["pieces-1"]}, {"pieces-1": 2 * counters["pieces-1"]}
+    every = lambda n, k: F.coalesce(F.col("doc_id") % n == k, F.lit(False))
+    gone = docs.where(every(7, 3))
+    batches = {
+        "inserts": token_rollup.counted(docs, counters),
+        "revisions": token_rollup.revised(token_rollup.counted(docs.where(every(5, 1)), old), token_rollup.counted(docs.where(every(5, 1)), new)),
+        "deletes": token_rollup.counted(gone, {"words-1": counters["words-1"], "pieces-1": F.when(every(5, 1), 2).otherwise(1) * counters["pieces-1"]}, -1),
+    }
+    for name, rows in batches.items():
+        ledger.commit(name, rows)
+        ledger.commit(name, rows)
+        if name == "revisions":
+            ledger.fold()
+    return ledger.totals()
+
+
 @query("op4_hash_tree")
 def op4(t: Tables) -> DataFrame:
     return hash_tree.shard_rows(t.documents, TREE)
