@@ -21,7 +21,7 @@ from gesso.session import keep
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: rows of a slice of one source's keys, on average
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 #: sources up to which their targets are broadcast; beyond, they are joined
 MOST_BROADCAST = 10_000
 
@@ -66,7 +66,7 @@ def draw(doc_id: Column, quality: Column, seed: str) -> Column:
     return -F.log(unit_draw(F.lit(seed), doc_id)) / quality
 
 
-def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame]:
+def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS, slice_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of a stored table ``rows(source, doc_id, size, key, tie, row)``, and where each source ends.
 
     The first table has ``doc_id, source, size, source_size, target, taken``;
@@ -79,7 +79,7 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EP
     capped = F.col("target") >= F.col("source_size") * most
     epochs = F.when(F.col("source_size") == 0, 0).when(capped, most).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long")
     plan = targets.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    plan = keep(plan.withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("long")), "targets")
+    plan = keep(plan.withColumn("slices", F.ceil(F.col("n") / (slice_rows or SLICE_ROWS)).cast("long")), "targets")
     known = plan.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "slices")
     joined = rows.join(F.broadcast(known) if plan.count() <= MOST_BROADCAST else known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # keys are spread about evenly by 1 - exp(-key); where a slice ends does not matter for the order
