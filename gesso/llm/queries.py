@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gesso.llm import bpe, hash_tree, mixing, pii, pivot_index, quality_table, secret_scan, simhash, token_rollup
+from gesso.llm import bpe, hash_tree, html_layout, mixing, pii, pivot_index, quality_table, secret_scan, simhash, token_rollup
 from gesso.registry import Tables, query
 from gesso.session import scratch_path
 
@@ -19,6 +19,11 @@ def op1(t: Tables) -> DataFrame:
     return pii.span_digests(t.documents)
 
 
+@query("op2_html_layout")
+def op2(t: Tables) -> DataFrame:
+    return html_layout.extract_text(t.pages.select("page_id", "url", "html"))
+
+
 OP3 = r"""
 with c as (
   select source, lang, doc_id, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as words,
@@ -64,12 +69,59 @@ def op4(t: Tables) -> DataFrame:
     return hash_tree.shard_rows(t.documents, TREE)
 
 
-@query("op5_pivot_index")
+OP5 = r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+n as (
+  select *, sqrt(list_inner_product(e, e)) as norm from v
+  where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / a.norm / b.norm >= 0.98),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on l.a = r.b),
+low as (select a, min(b) as component_id from reach group by a),
+deg as (select a, count(*) as n_links from links group by a)
+select v.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, v.vec_id = component_id as kept
+from v join low on low.a = v.vec_id left join deg on deg.a = v.vec_id
+"""
+
+
+@query("op5_pivot_index", OP5)
 def op5(t: Tables) -> DataFrame:
     return pivot_index.near_dup_vectors(t.embeddings)
 
 
-@query("op6_mix_sources")
+OP6 = r"""
+with t as (
+  select doc_id, source, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as dense from documents),
+d as (
+  select doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as size, md5(text) as tie,
+         (length(regexp_replace(dense, '[0-9#*$%&|<>]+', '', 'g')) + 1.0::double) / (length(dense) + 1.0::double) as quality,
+         (('0x' || substr(md5('mix/' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double as u
+  from t),
+s0 as (select source, sum(size)::bigint as source_size from d group by source),
+s1 as (select *, [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int] as w from s0),
+s2 as (
+  select *, 3 * source_size as stop, sum(source_size) over () as all_size, sum(w) over () as all_w,
+         row_number() over o as place,
+         coalesce(sum(3 * source_size) over (o rows between unbounded preceding and 1 preceding), 0) as stopped,
+         coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0.0::double) as stopped_w
+  from s1 window o as (order by (3 * source_size)::double / w, source is null, source)),
+s3 as (select *, (all_size - stopped)::double / (all_w - stopped_w) as lev from s2),
+held as (select arg_min(lev, place) as lev, min(place) as place from s3 where lev * w <= stop),
+s4 as (select s3.source, source_size, case when held.place is null or s3.place < held.place then stop::double else w * held.lev end as target from s3, held),
+s5 as (select *, case when source_size = 0 then 0 when target >= 3 * source_size then 3 else floor(target / source_size) end as epochs from s4),
+r as (
+  select d.*, s5.source_size, s5.target, s5.epochs, greatest(0.0::double, target - epochs * source_size) as rest,
+         sum(size) over (partition by d.source order by -ln(u) / quality, doc_id nulls first, size, tie rows unbounded preceding) as upto
+  from d join s5 on d.source is not distinct from s5.source)
+select doc_id, size, source_size::bigint as source_size, target::double as target,
+       ((epochs + case when upto - size < rest and 2 * upto - size <= 2 * rest then 1 else 0 end) * size)::bigint as taken
+from r
+"""
+
+
+@query("op6_mix_sources", OP6)
 def op6(t: Tables) -> DataFrame:
     return mixing.mix_documents(t.documents)
 
@@ -84,7 +136,32 @@ def op8(t: Tables) -> DataFrame:
     return bpe.token_digests(t.documents, VOCABULARY)
 
 
-@query("op9_quality_rules")
+_STOPS = ", ".join(f"'{w}'" for w in sorted(quality_table.STOP_WORDS))
+_FAILS = ", ".join(
+    f"case when 100 * {r.top} {'>' if r.side == 'above' else '<'} {r.percent} * {r.base} and n_words >= {r.least_words} then '{r.name}' end" for r in quality_table.RULES
+)
+OP9 = rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (
+  select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+grams as (
+  select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as g
+  from (select r, w, unnest(generate_series(1, len(w) - 4)) as i from w)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, g) as n from grams) where n > 1),
+cover as (select r, sum(least(5, i - before)) as n from (select r, i, lag(i, 1, i - 5) over (partition by r order by i) as before from twice) group by r),
+c as (
+  select w.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+         coalesce(cover.n, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines,
+         len(list_filter(w, lambda x: lower(x) in ({_STOPS})))::bigint as n_stop_words
+  from w left join cover on cover.r = w.r),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, concat_ws(',', {_FAILS}) as failed_rules from c)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed_rules = '' as kept, failed_rules from f
+"""
+
+
+@query("op9_quality_rules", OP9)
 def op9(t: Tables) -> DataFrame:
     return quality_table.judge_documents(t.documents)
 

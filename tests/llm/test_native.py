@@ -182,7 +182,7 @@ def test_mix(spark, rng):
     for _, t, s in data:
         sizes[s] += len(WORD.findall(t or ""))
     want = fill(sizes)
-    for slice_rows in (20_000, 20):
+    for slice_rows in (2_000, 20):
         old, mixing.SLICE_ROWS = mixing.SLICE_ROWS, slice_rows
         got = mixing.mix_documents(docs).collect()
         mixing.SLICE_ROWS = old
