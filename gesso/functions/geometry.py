@@ -196,36 +196,30 @@ def view_angle(normal: Vec, center: Vec, eye: Vec) -> Column:
 def add_closest_point(df: DataFrame, p: Vec, a: Vec, b: Vec, c: Vec, out: str = "foot") -> DataFrame:
     """Adds ``out`` = array(x, y, z): the point of a triangle nearest to ``p``.
 
-    The plane around a triangle splits into seven regions (three corners,
-    three edges, the inside); projections of the point on the edges tell which.
+    The foot of the perpendicular counts if its barycentric weights are not
+    negative. Otherwise the nearest point lies on an edge: of the three clamped
+    feet on the edges the closest one, the first of equal ones. A triangle
+    without area has edges only.
     """
-    ab, ac, bc = sub(b, a), sub(c, a), sub(c, b)
-    df = df.withColumns(
-        {
-            "_k1": dot(ab, sub(p, a)), "_k2": dot(ac, sub(p, a)),
-            "_k3": dot(ab, sub(p, b)), "_k4": dot(ac, sub(p, b)),
-            "_k5": dot(ab, sub(p, c)), "_k6": dot(ac, sub(p, c)),
-        }
-    )
-    k1, k2, k3, k4, k5, k6 = (F.col(f"_k{i}") for i in range(1, 7))
-    df = df.withColumns({"_ka": k3 * k6 - k5 * k4, "_kb": k5 * k2 - k1 * k6, "_kc": k1 * k4 - k3 * k2})
-    wa, wb, wc = F.col("_ka"), F.col("_kb"), F.col("_kc")
-
-    def on(base: Vec, share: Column, edge: Vec) -> Column:
-        return F.array(*[base[i] + share * edge[i] for i in range(3)])
-
-    whole = wa + wb + wc
-    middle = F.array(*[a[i] + F.try_divide(wb, whole) * ab[i] + F.try_divide(wc, whole) * ac[i] for i in range(3)])
-    region = (
-        F.when((k1 <= 0) & (k2 <= 0), F.array(*a))
-        .when((k3 >= 0) & (k4 <= k3), F.array(*b))
-        .when((k6 >= 0) & (k5 <= k6), F.array(*c))
-        .when((wc <= 0) & (k1 >= 0) & (k3 <= 0), on(a, F.try_divide(k1, k1 - k3), ab))
-        .when((wb <= 0) & (k2 >= 0) & (k6 <= 0), on(a, F.try_divide(k2, k2 - k6), ac))
-        .when((wa <= 0) & (k4 >= k3) & (k5 >= k6), on(b, F.try_divide(k4 - k3, (k4 - k3) + (k5 - k6)), bc))
-        .otherwise(middle)
-    )
-    return df.withColumn(out, region).drop("_k1", "_k2", "_k3", "_k4", "_k5", "_k6", "_ka", "_kb", "_kc")
+    u, v, q = sub(b, a), sub(c, a), sub(p, a)
+    df = df.withColumns({"_uu": dot(u, u), "_uv": dot(u, v), "_vv": dot(v, v), "_qu": dot(q, u), "_qv": dot(q, v)})
+    uu, uv, vv, qu, qv = (F.col(n) for n in ("_uu", "_uv", "_vv", "_qu", "_qv"))
+    area = uu * vv - uv * uv
+    df = df.withColumns({"_wb": F.try_divide(vv * qu - uv * qv, area), "_wc": F.try_divide(uu * qv - uv * qu, area)})
+    wb, wc = F.col("_wb"), F.col("_wc")
+    inside = F.coalesce((wb >= 0) & (wc >= 0) & (wb + wc <= 1), F.lit(False))
+
+    def on_edge(order: int, s: Vec, e: Vec) -> Column:
+        way = sub(e, s)
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(dot(sub(p, s), way), dot(way, way)), F.lit(0.0))))
+        at = tuple(s[i] + share * way[i] for i in range(3))
+        gap = sub(p, at)
+        return F.struct(dot(gap, gap).alias("d"), F.lit(order).alias("o"), F.array(*at).alias("at"))
+
+    df = df.withColumns({f"_e{i}": on_edge(i, s, e) for i, (s, e) in enumerate(((a, b), (b, c), (c, a)))})
+    edge = F.least("_e0", "_e1", "_e2")["at"]
+    middle = F.array(*[a[i] + wb * u[i] + wc * v[i] for i in range(3)])
+    return df.withColumn(out, F.when(inside, middle).otherwise(edge)).drop("_uu", "_uv", "_vv", "_qu", "_qv", "_wb", "_wc", "_e0", "_e1", "_e2")
 
 
 def order_corners(points: Column, angle: int = 0) -> Column:

@@ -16,9 +16,9 @@ from gesso.session import lookup
 PROJECT_DEFAULTS: dict[str, tuple[str, object]] = {
     "id": ("int", None),
     "title": ("string", "TestTitle"),
-    "artist": ("string", "John Doe"),
-    "location": ("string", "Museo"),
-    "address": ("string", "via risorgimento 2, Bologna"),
+    "artist": ("string", ""),
+    "location": ("string", ""),
+    "address": ("string", ""),
     "width": ("int", 1000),
     "height": ("int", 1000),
     "thumbnail": ("string", "test.jpg"),
@@ -32,27 +32,35 @@ PROJECT_DEFAULTS: dict[str, tuple[str, object]] = {
     "stepx": ("double", 240.0),
     "stepy": ("double", 180.0),
     "shot_mode": ("string", "multishot"),
-    "shaft_colorchecker_path": ("string", ""),
-    "shaft_flatfield_file_path": ("string", ""),
-    "shaft_sharpen": ("boolean", False),
-    "shaft_light_balance": ("boolean", False),
-    "shaft_develop_folder_path": ("string", ""),
-    "shaft_output_path": ("string", ""),
-    "shaft_process_subfolders": ("boolean", False),
-    "shaft_overwrite": ("boolean", False),
-    "shaft_process_format": ("string", "tif"),
-    "shaft_output_colorspace": ("string", "display-p3"),
-    "shaft_savein_path": ("string", ""),
-    "nlights_all_lights_image_dir": ("string", ""),
-    "nlights_direction_images_dir": ("string", ""),
-    "nlights_output_directory": ("string", ""),
-    "imagematcher_maps_path": ("string", ""),
-    "imagematcher_tex_out_path": ("string", ""),
-    "modelviewer_artwork_dir_path": ("string", ""),
-    "modelviewer_template_dir_path": ("string", ""),
-    "modelviewer_output_path": ("string", ""),
-    "modelviewer_template_zip": ("string", ""),
+    "calibration_chart_path": ("string", ""),
+    "calibration_flatfield_file_path": ("string", ""),
+    "calibration_sharpen": ("boolean", False),
+    "calibration_light_balance": ("boolean", False),
+    "calibration_folder_path": ("string", ""),
+    "calibration_output_path": ("string", ""),
+    "calibration_process_subfolders": ("boolean", False),
+    "calibration_overwrite": ("boolean", False),
+    "calibration_process_format": ("string", "tif"),
+    "calibration_output_colorspace": ("string", "display-p3"),
+    "calibration_savein_path": ("string", ""),
+    "relief_all_lights_image_dir": ("string", ""),
+    "relief_direction_images_dir": ("string", ""),
+    "relief_output_directory": ("string", ""),
+    "mosaic_maps_path": ("string", ""),
+    "mosaic_tex_out_path": ("string", ""),
+    "viewer_artwork_dir_path": ("string", ""),
+    "viewer_template_dir_path": ("string", ""),
+    "viewer_output_path": ("string", ""),
+    "viewer_template_zip": ("string", ""),
 }
+
+
+def renamed_prefixes(df: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """Columns of an older document format under today's names, by prefix."""
+    new = {c: now + c[len(old):] for c in df.columns for old, now in prefixes.items() if c.startswith(old)}
+    return df.withColumnsRenamed(new)
+
+
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -104,10 +112,10 @@ def flow_code(stand: Column, output: Column, shot: Column) -> Column:
 
 def first_stage(code: Column, stand: Column) -> Column:
     return (
-        F.when(code == "hfm", "imagematcher")
-        .when(code == "hfo", "projectpage")
-        .when(stand == "horizontal", "shaft")
-        .otherwise("capturer")
+        F.when(code == "hfm", "mosaic")
+        .when(code == "hfo", "project")
+        .when(stand == "horizontal", "calibration")
+        .otherwise("capture")
     )
 
 

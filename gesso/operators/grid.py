@@ -76,6 +76,11 @@ def _placed(pos: Column, size: Column, before: int, after: int, border: str, til
     )
 
 
+def tile_for(tile: int, margin: int) -> int:
+    """The tile size that is used: at least twice the margin, so that a pixel is copied to its neighbours only."""
+    return max(tile, 2 * max(margin, 1))
+
+
 def halo(
     df: DataFrame, before: int, after: int | None = None, border: str = "none", tile: int = TILE, axes: str = "yx"
 ) -> DataFrame:
@@ -86,7 +91,7 @@ def halo(
     """
     after = before if after is None else after
     df = df if "_h" in df.columns else with_dims(df)
-    tile = max(tile, 2 * max(before, after, 1))
+    tile = tile_for(tile, max(before, after))
     out = df
     for axis, size, key in (("y", "_h", "_ty"), ("x", "_w", "_tx")):
         if axis in axes:
@@ -167,12 +172,29 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
 def gaussian_low_pass(
     df: DataFrame, columns: Sequence[str], sigma: float, border: str = "reflect", suffix: str = "_low", tile: int = TILE
 ) -> DataFrame:
-    """Separable Gaussian of several columns; a numpy kernel per tile."""
+    """Separable Gaussian of several columns; a numpy kernel per tile.
+
+    Missing pixels and nulls have no weight: what is known is averaged by the
+    weights that fall on it. Null stays null.
+    """
     w = gaussian_weights(sigma)
     r = len(w) // 2
     keep = list(df.columns)
     haloed = halo(df, r, r, border, tile).select(*[c for c in keep if c not in KEY], *KEY, "_core", "_ty", "_tx")
 
+    def blur(plane: np.ndarray) -> np.ndarray:
+        for axis in (0, 1):
+            acc, n = np.zeros(plane.shape), plane.shape[axis]
+            for k, weight in enumerate(w):
+                d = k - r
+                if abs(d) >= n:
+                    continue
+                to, src = [slice(None), slice(None)], [slice(None), slice(None)]
+                to[axis], src[axis] = slice(max(0, -d), n - max(0, d)), slice(max(0, d), n - max(0, -d))
+                acc[tuple(to)] += weight * plane[tuple(src)]
+            plane = acc
+        return plane
+
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
         iy, ix = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
@@ -180,21 +202,14 @@ def gaussian_low_pass(
         inner = pdf["_core"].to_numpy()
         out = pdf.loc[inner, keep].copy()
         for c in columns:
-            plane = np.zeros(shape)
-            plane[iy, ix] = pdf[c].to_numpy()
-            for axis in (0, 1):
-                acc = np.zeros(shape)
-                n = shape[axis]
-                for k, weight in enumerate(w):
-                    d = k - r
-                    if abs(d) >= n:
-                        continue
-                    to = [slice(None), slice(None)]
-                    src = [slice(None), slice(None)]
-                    to[axis] = slice(max(0, -d), n - max(0, d))
-                    src[axis] = slice(max(0, d), n - max(0, -d))
-                    acc[tuple(to)] += weight * plane[tuple(src)]
-                plane = acc
+            plane, known = np.zeros(shape), np.zeros(shape)
+            values = pdf[c].to_numpy(float)
+            there = ~np.isnan(values)
+            plane[iy[there], ix[there]] = values[there]
+            known[iy[there], ix[there]] = 1
+            plane, weight = blur(plane), blur(known)
+            plane = np.divide(plane, weight, out=np.full(shape, np.nan), where=weight > 0)
+            plane[iy[~there], ix[~there]] = np.nan
             out[c + suffix] = plane[iy[inner], ix[inner]]
         return out
 
@@ -423,7 +438,7 @@ def valid_positions(mask: DataFrame, wanted: DataFrame, sy: str, sx: str, tile:
 def tile_pixels(df: DataFrame, tile: int, overlap: int) -> DataFrame:
     """Pixels of overlapping tiles with their position inside the tile."""
     out = halo(df, overlap, overlap, "none", tile)
-    step = max(tile, 2 * max(overlap, 1))
+    step = tile_for(tile, overlap)
     return out.withColumns(
         {"ty": F.col("_ty"), "tx": F.col("_tx"), "in_y": F.col("y") - F.col("_ty") * step, "in_x": F.col("x") - F.col("_tx") * step}
     ).drop("_h", "_w", "_core", "_ty", "_tx")
@@ -431,6 +446,7 @@ def tile_pixels(df: DataFrame, tile: int, overlap: int) -> DataFrame:
 
 def tile_weight(in_y: Column, in_x: Column, tile: int, overlap: int) -> Column:
     """Gaussian weight by distance from the tile centre."""
+    tile = tile_for(tile, overlap)
     full = tile + 2 * overlap
     s = full / 4.0
     mid = (tile - 1) / 2.0

@@ -146,7 +146,7 @@ def contained_patches(boxes: DataFrame) -> DataFrame:
     """
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1))
     big = boxes.withColumn("_lv", F.ceil(F.log2(side)).cast("int"))
-    levels = sorted(r[0] for r in big.select("_lv").distinct().limit(64).collect())
+    levels = sorted(r[0] for r in big.select("_lv").distinct().collect())  # exponents of integers: 64 at most
     size = F.pow(F.lit(2.0), F.col("_lv"))
     reach = lambda a, b: F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor(F.col(b) / size).cast("int"))
     big = big.withColumn("_cx", F.explode(reach("x0", "x1"))).withColumn("_cy", F.explode(reach("y0", "y1")))

@@ -93,20 +93,24 @@ def _solve(df: DataFrame, relative: float | None = None) -> DataFrame:
 def photometric_stereo(obs: DataFrame, lights: DataFrame, keys: Sequence[str], threshold: float = 0.05, min_lights: int = 3) -> DataFrame:
     """Least-squares albedo and unit normal per pixel, in one aggregate.
 
-    Lit observations only; a pixel needs ``min_lights`` distinct lights (kept
-    as a bit set, so counting them adds no second shuffle). Also gives the
-    root-mean-square intensity error of the fit.
+    Lit observations only; a pixel needs ``min_lights`` distinct lights, and
+    repeated observations of a light count as one light. Observations are
+    dealt once by pixel; both aggregates, by light and by pixel, use that. Also
+    gives the root-mean-square intensity error of the fit.
     """
-    lit = obs.where(F.col("intensity") > threshold)
-    bit = F.expr("shiftleft(1L, light_id)")
+    lit = obs.where(F.col("intensity") > threshold).select(*keys, "light_id", "intensity").repartition(*keys)
+    i = F.col("intensity")
+    per_light = lit.groupBy(*keys, "light_id").agg(F.count(F.lit(1)).alias("n"), F.sum(i).alias("s"), F.sum(i * i).alias("ii"))
+    axis = [F.col(a) for a in AXES]
     sums = (
-        with_lights(lit, lights)
+        with_lights(per_light, lights)
         .groupBy(*keys)
         .agg(
-            *_sums(), F.count(F.lit(1)).alias("n_obs"), F.bit_count(F.bit_or(bit)).alias("n_lights"),
-            F.sum(F.col("intensity") * F.col("intensity")).alias("ii"),
+            *[F.sum(F.col("n") * axis[j] * axis[k]).alias(f"a{j}{k}") for j, k in PAIRS], *[F.sum(axis[j] * F.col("s")).alias(f"r{j}") for j in range(3)],
+            F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("n_lights"), F.sum("ii").alias("ii"),
         )
         .where(F.col("n_lights") >= min_lights)
+        .withColumn("n_lights", F.col("n_lights").cast("int"))
     )
     out = _solve(sums)
     b = tuple(F.col(f"b{i}") for i in range(3))
@@ -119,17 +123,14 @@ def photometric_stereo(obs: DataFrame, lights: DataFrame, keys: Sequence[str], t
 def photometric_stereo_pinv(obs: DataFrame, lights: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All lights through one shared pseudo-inverse; albedo clipped to [0,1].
 
-    The inverse is 3 x M for the M lamps of the stand and becomes a lookup
-    table. A missing observation counts as dark.
+    The inverse of the 3 x 3 sums of light directions is all that reaches the
+    driver, so there may be any number of lamps. A missing observation counts
+    as dark.
     """
-    rows = sorted(lights.select("light_id", *AXES).limit(4097).collect())
-    if len(rows) > 4096:
-        raise ValueError("a light table has one row per lamp; this one does not")
-    inverse = np.linalg.pinv(np.array([[r[a] for a in AXES] for r in rows]))
-    weights = obs.sparkSession.createDataFrame(
-        [(r["light_id"], *map(float, inverse[:, i])) for i, r in enumerate(rows)], "light_id int, p0 double, p1 double, p2 double"
-    )
-    b = obs.join(F.broadcast(weights), "light_id").groupBy(*keys).agg(
+    total = lights.agg(*[F.coalesce(F.sum(F.col(AXES[i]) * F.col(AXES[j])), F.lit(0.0)).alias(f"a{i}{j}") for i, j in PAIRS]).first()
+    inverse = np.linalg.pinv(np.array([[total[f"a{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]), hermitian=True)
+    weights = lights.select("light_id", *[sum((float(inverse[i, j]) * F.col(AXES[j]) for j in range(3)), F.lit(0.0)).alias(f"p{i}") for i in range(3)])
+    b = obs.join(lookup(weights), "light_id").groupBy(*keys).agg(
         *[F.sum(F.col(f"p{i}") * F.col("intensity")).alias(f"b{i}") for i in range(3)]
     )
     length = F.greatest(F.lit(0.0), F.least(F.lit(1.0), g.norm(tuple(F.col(f"b{i}") for i in range(3)))))

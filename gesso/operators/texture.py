@@ -45,7 +45,7 @@ def visible_faces(faces: DataFrame, views: DataFrame, max_angle: float = 75.0) -
     v = v.withColumns({f"_{k}": F.when(F.col("_miss"), F.col(f"m{k}")).otherwise(c) for k, c in side.items()}).where("_x0 <= _x1 AND _y0 <= _y1")
     v = v.withColumn("_lv", F.ceil(F.log2(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-6)))).cast("int"))
     v = cut(v)
-    levels = sorted(r[0] for r in v.select("_lv").distinct().limit(256).collect())
+    levels = sorted(r[0] for r in v.select("_lv").distinct().collect())  # exponents of doubles: some two thousand at most
     if not levels:
         levels = [0]
     size = F.pow(F.lit(2.0), F.col("_lv"))

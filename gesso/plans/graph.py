@@ -31,7 +31,7 @@ def label_energy(costs: DataFrame, edges: DataFrame, labels: DataFrame) -> float
     return float(total + cuts)
 
 
-def label_faces(costs: DataFrame, edges: DataFrame, max_rounds: int = 50, min_gain: float = 0.01, patience: int = 5) -> DataFrame:
+def label_faces(costs: DataFrame, edges: DataFrame, max_rounds: int = 1000, min_gain: float = 0.01, patience: int = 5) -> DataFrame:
     """A view label per face; lower cost and fewer label changes win.
 
     ``costs``: face, view, cost; ``edges``: f1, f2. Starts from the cheapest
@@ -61,11 +61,11 @@ def label_faces(costs: DataFrame, edges: DataFrame, max_rounds: int = 50, min_ga
         if total > 0:
             labels = cut(labels.join(moves.select("face", "view"), "face", "left").select("face", F.coalesce("view", "label").alias("label")))
         if total == 0 or (len(gains) >= patience and sum(gains[-patience:]) < min_gain):
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still improve after {max_rounds} rounds")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node number of each component: node, component.
 
     ``nodes``: node; ``edges``: f1, f2. Every round takes the smallest
@@ -74,7 +74,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     """
     links = cut(both_ways(edges).distinct())
     comp = cut(nodes.select("node", F.col("node").alias("c")).distinct())
-    for _ in range(max_rounds):
+    while True:
         near = links.join(comp.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("n"))
         step = comp.join(near, "node", "left").select("node", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         # hook the old representative to the new one, then jump
@@ -122,7 +122,7 @@ def valid_region(pixels: DataFrame, value: str, tile: int = gr.TILE) -> DataFram
 
 
 def level_seams(
-    nodes: DataFrame, seams: DataFrame, smooth: DataFrame, channels: Sequence[str] = ("d0",), weight: float = 0.1, tolerance: float = 1e-4, max_steps: int = 1000
+    nodes: DataFrame, seams: DataFrame, smooth: DataFrame, channels: Sequence[str] = ("d0",), weight: float = 0.1, tolerance: float = 1e-4, max_steps: int = 10_000
 ) -> tuple[DataFrame, int]:
     """Adjustment per (vertex, label) node that evens colours along seams.
 
@@ -164,6 +164,9 @@ def level_seams(
         steps += 1
         if not any(alpha):
             break
+    else:
+        if steps >= max_steps and np.any(rr > np.maximum(goal, 1e-24)):
+            raise RuntimeError(f"seams not level after {max_steps} steps: squared residuals {rr.tolist()}")
     mean = st.agg(F.struct(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)]).alias("m")).scalar()
     out = st.withColumn("_m", mean)
     return out.select("node", *[(F.col(f"x{i}") - F.col(f"_m.m{i}")).alias(c) for i, c in enumerate(channels)]), steps

@@ -26,11 +26,11 @@ def projects(t):
 
 
 @query("P1_project_rows", """SELECT CAST(o_orderkey AS INTEGER) AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at,
-  o_totalprice AS stepx, o_orderstatus = 'F' AS shaft_overwrite FROM orders""")
+  o_totalprice AS stepx, o_orderstatus = 'F' AS calibration_overwrite FROM orders""")
 def p1(t):
     rows = t.orders.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"),
-        F.col("o_totalprice").cast("string").alias("stepx"), F.when(F.col("o_orderstatus") == "F", "true").otherwise("false").alias("shaft_overwrite"))
+        F.col("o_totalprice").cast("string").alias("stepx"), F.when(F.col("o_orderstatus") == "F", "true").otherwise("false").alias("calibration_overwrite"))
     return c.project_rows(rows, c.project_schema())
 
 
@@ -74,8 +74,8 @@ def p6(t):
     return _coded(t).groupBy("code").agg(F.count("*").alias("projects"))
 
 
-@query("P7_first_stage", "WITH " + PROJ + _CODE + """ SELECT id, CASE WHEN code = 'hfm' THEN 'imagematcher' WHEN code = 'hfo' THEN 'projectpage'
-  WHEN stand = 'horizontal' THEN 'shaft' ELSE 'capturer' END AS stage FROM f""")
+@query("P7_first_stage", "WITH " + PROJ + _CODE + """ SELECT id, CASE WHEN code = 'hfm' THEN 'mosaic' WHEN code = 'hfo' THEN 'project'
+  WHEN stand = 'horizontal' THEN 'calibration' ELSE 'capture' END AS stage FROM f""")
 def p7(t):
     return _coded(t).select("id", c.first_stage(F.col("code"), F.col("stand")).alias("stage"))
 

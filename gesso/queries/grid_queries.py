@@ -52,11 +52,13 @@ def gauss_sql(sigma, values=("v",), source="grid"):
     w = gr.gaussian_weights(sigma)
     r = len(w) // 2
     table = ", ".join(f"({i - r}, {x!r}::DOUBLE)" for i, x in enumerate(w.tolist()))
-    sums_x = ", ".join(f"sum(k.w * n.{v}) AS {v}" for v in values)
+    across = ", ".join(f"sum(k.w * n.{v}) AS {v}, sum(k.w) FILTER (n.{v} IS NOT NULL) AS {v}_w" for v in values)
+    down = ", ".join(f"CASE WHEN any_value(g.{v}) IS NOT NULL THEN sum(k.w * n.{v}) / sum(k.w * n.{v}_w) END AS {v}" for v in values)
     return f"""kern(d, w) AS (VALUES {table}),
-gx AS (SELECT g.image_id, g.y, g.x, {sums_x} FROM {source} g JOIN dims USING (image_id) CROSS JOIN kern k
-  JOIN {source} n ON n.image_id = g.image_id AND n.y = g.y AND n.x = {refl('g.x + k.d', 'dims.w')} GROUP BY g.image_id, g.y, g.x),
-low AS (SELECT g.image_id, g.y, g.x, {sums_x} FROM gx g JOIN dims USING (image_id) CROSS JOIN kern k
+places AS (SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, h, w FROM (SELECT image_id, h, w, unnest(range(h)) AS y FROM dims) CROSS JOIN LATERAL (SELECT unnest(range(w)) AS x)),
+gx AS (SELECT g.image_id, g.y, g.x, {across} FROM places g CROSS JOIN kern k
+  JOIN {source} n ON n.image_id = g.image_id AND n.y = g.y AND n.x = {refl('g.x + k.d', 'g.w')} GROUP BY g.image_id, g.y, g.x),
+low AS (SELECT g.image_id, g.y, g.x, {down} FROM {source} g JOIN dims USING (image_id) CROSS JOIN kern k
   JOIN gx n ON n.image_id = g.image_id AND n.x = g.x AND n.y = {refl('g.y + k.d', 'dims.h')} GROUP BY g.image_id, g.y, g.x)"""
 
 

@@ -71,9 +71,9 @@ def a38(t):
     return m.match_summary(r, ["row", "col", "dir"], 1)
 
 
-@query("M31_match_score", q.with_(KP) + "SELECT kp, round(1 / (sqrt(x*x + y*y) + 1e-6), 5) AS score FROM kp WHERE x + y > 0")
+@query("M31_match_score", q.with_(KP) + "SELECT kp, round(1 / (sqrt(x*x + y*y) + 1e-6), 5) AS score FROM kp")
 def m31(t):
-    k = keypoints(t).where("x + y > 0")
+    k = keypoints(t)
     return k.select("kp", F.round(m.match_score(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)), 5).alias("score"))
 
 

@@ -66,6 +66,12 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """Write ``df`` as parquet below the shared folder and read it back.
 

@@ -71,7 +71,7 @@ def write_params(df: DataFrame, folder: str, custom: str = "custom") -> None:
     known = [c for c in df.columns if c != custom]
     body = F.to_json(F.struct(*known), {"ignoreNullFields": "false"})
     extra = F.array_join(
-        F.transform(F.map_entries(F.coalesce(F.col(custom), F.create_map().cast("map<string,string>"))), lambda e: F.concat(F.lit(',"'), e.key, F.lit('":'), e.value)), ""
+        F.transform(F.map_entries(F.coalesce(F.col(custom), F.create_map().cast("map<string,string>"))), lambda e: F.concat(F.lit(","), F.regexp_extract(F.to_json(F.array(e.key)), r"^\[(.*)\]$", 1), F.lit(":"), e.value)), ""
     )
     text = F.concat(F.expr("left({0}, length({0}) - 1)".format("_b")), extra, F.lit("}"))
     df.withColumn("_b", body).select(text.alias("value")).write.mode("overwrite").text(folder)

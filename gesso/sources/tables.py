@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gesso.functions import geometry as g
+from gesso.session import path_exists
 
 #: rows per file below a partition folder, so that a crowded cell is many files
 ROWS_PER_FILE = 5_000_000
@@ -129,10 +129,7 @@ def write_if_absent(df: DataFrame, target: str, keys: Sequence[str]) -> DataFram
     """Append rows whose key is not in the target yet; returns them."""
     spark = df.sparkSession
     fresh = df
-    try:
-        known = spark.read.parquet(target).select(*keys)
-        fresh = df.join(known, list(keys), "left_anti")
-    except AnalysisException:
-        pass
+    if path_exists(spark, target):
+        fresh = df.join(spark.read.parquet(target).select(*keys), list(keys), "left_anti")
     fresh.write.mode("append").parquet(target)
     return fresh

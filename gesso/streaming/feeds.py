@@ -159,16 +159,17 @@ def stand_position_stream(commands: DataFrame, rows: int, cols: int) -> DataFram
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         row, col, moving = state.get if state.exists else (1, 1, False)
-        for batch in batches:
-            for action, way in batch.sort_values(["ts", "seq"])[["action", "direction"]].itertuples(index=False):
-                if action == "free":
-                    moving = True
-                elif action == "stop":
-                    moving = False
-                elif action == "step" and way in MOVES:
-                    r, c = row + MOVES[way][0], col + MOVES[way][1]
-                    if 1 <= r <= rows and 1 <= c <= cols:
-                        row, col, moving = r, c, False
+        # a stand's commands may come in several Arrow batches; order holds over all of them
+        every = pd.concat([b[["ts", "seq", "action", "direction"]] for b in batches]).sort_values(["ts", "seq"])
+        for action, way in every[["action", "direction"]].itertuples(index=False):
+            if action == "free":
+                moving = True
+            elif action == "stop":
+                moving = False
+            elif action == "step" and way in MOVES:
+                r, c = row + MOVES[way][0], col + MOVES[way][1]
+                if 1 <= r <= rows and 1 <= c <= cols:
+                    row, col, moving = r, c, False
         state.update((int(row), int(col), bool(moving)))
         yield pd.DataFrame({"stand": [key[0]], "row": [row], "col": [col], "moving": [moving]})
 
