@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gesso.functions import geometry as g
 from gesso.operators.scans import attach
-from gesso.session import lookup
+from gesso.session import cut, lookup
 
 # Neighbour offsets (row, col) and their names.
 DIRECTIONS = {
@@ -167,22 +168,37 @@ def pair_points(first: DataFrame, second: DataFrame, key: Sequence[str]) -> Data
     return a.join(b, list(key), "full_outer").withColumn("found", found)
 
 
+#: orders in which the ties of a pair are paired off
+SHUFFLES = 8
+
+
+def ransac_draws(share: float, confidence: float) -> int:
+    """Two-point samples needed so that one of them holds inliers only, at a given share of inliers."""
+    return math.ceil(math.log(1 - confidence) / math.log(1 - share * share))
+
+
 def ransac_similarity(
-    ties: DataFrame, keys: Sequence[str], order: str, threshold: float = 3.0, hypotheses: int = 16, top: float = 100.0, wanted: int = 16, seed: int = 7
+    ties: DataFrame, keys: Sequence[str], order: str, threshold: float = 3.0, least_share: float = 0.15, confidence: float = 0.999, top: float = 100.0,
+    wanted: int = 16, seed: int = 7,
 ) -> DataFrame:
     """Similarity transform per pair: a, b, tx, ty with x2 = a x1 - b y1 + tx,
     y2 = b x1 + a y1 + ty, plus inliers and threshold.
 
-    Hypotheses come from seeded two-point samples. One pass over all ties
-    counts inliers of every hypothesis at every threshold (doubled up to
-    ``top``); the first threshold with more than ``wanted`` inliers wins; a
-    last pass refits on the inliers by sums.
+    Hypotheses come from seeded two-point samples, as many as find the
+    transform with ``confidence`` if at least ``least_share`` of the ties agree.
+    They are drawn in ``SHUFFLES`` orders of the ties, so a pair with few ties has
+    fewer. Inliers are counted for every hypothesis at every threshold (doubled
+    up to ``top``), summed before they are shuffled. The first threshold with
+    more than ``wanted`` inliers wins, and a last pass refits on the inliers by
+    sums. A pair for which no threshold has that many has no row.
     """
     keys = list(keys)
-    draw = Window.partitionBy(*keys).orderBy(F.xxhash64(order, F.lit(seed)), order)
-    picked = ties.withColumn("_i", F.row_number().over(draw)).where(F.col("_i") <= 2 * hypotheses)
+    each = math.ceil(ransac_draws(least_share, confidence) / SHUFFLES)
+    orders = ties.withColumn("_o", F.explode(F.array(*[F.lit(o) for o in range(SHUFFLES)])))
+    draw = Window.partitionBy(*keys, "_o").orderBy(F.xxhash64(order, F.lit(seed), "_o"), order)
+    picked = orders.withColumn("_i", F.row_number().over(draw)).where(F.col("_i") <= 2 * each)
     sample = F.struct("x1", "y1", "x2", "y2")
-    two = picked.groupBy(*keys, F.floor((F.col("_i") - 1) / 2).cast("int").alias("_k")).agg(
+    two = picked.groupBy(*keys, (F.col("_o") * each + F.floor((F.col("_i") - 1) / 2)).cast("int").alias("_k")).agg(
         F.min_by(sample, "_i").alias("p"), F.max_by(sample, "_i").alias("q"), F.count(F.lit(1)).alias("_n")
     ).where("_n = 2")
     ux, uy = F.col("q.x1") - F.col("p.x1"), F.col("q.y1") - F.col("p.y1")
@@ -192,27 +208,23 @@ def ransac_similarity(
     two = two.withColumns({
         "tx": F.col("p.x2") - F.col("a") * F.col("p.x1") + F.col("b") * F.col("p.y1"), "ty": F.col("p.y2") - F.col("b") * F.col("p.x1") - F.col("a") * F.col("p.y1")
     })
-    hyps = two.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "a", "b", "tx", "ty"))).alias("_h"))
+    hyps = cut(two.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "a", "b", "tx", "ty"))).alias("_h")))  # as many as draws, at most
     levels = [threshold]
     while levels[-1] * 2 <= top:
         levels.append(levels[-1] * 2)
-    rows = attach(ties, hyps, keys)
 
     def gap(h: Column) -> Column:
         dx = h["a"] * F.col("x1") - h["b"] * F.col("y1") + h["tx"] - F.col("x2")
         dy = h["b"] * F.col("x1") + h["a"] * F.col("y1") + h["ty"] - F.col("y2")
         return dx * dx + dy * dy
 
-    rows = rows.withColumns({f"_d{k}": gap(F.get("_h", F.lit(k))) for k in range(hypotheses)})
-    counts = rows.groupBy(*keys).agg(
-        *[F.count_if(F.coalesce(F.col(f"_d{k}") <= lv * lv, F.lit(False))).alias(f"_c{i}_{k}") for i, lv in enumerate(levels) for k in range(hypotheses)]
+    rows = attach(ties, hyps, keys).select(*keys, "x1", "y1", "x2", "y2", F.explode("_h").alias("_m")).withColumn("_d", gap(F.col("_m")))
+    counts = rows.groupBy(*keys, F.col("_m._k").alias("_k")).agg(
+        F.first("_m").alias("_m"), *[F.count_if(F.coalesce(F.col("_d") <= lv * lv, F.lit(False))).alias(f"_c{i}") for i, lv in enumerate(levels)]
     )
-    best = [F.array_max(F.array(*[F.struct(F.col(f"_c{i}_{k}").alias("n"), F.lit(-k).alias("k")) for k in range(hypotheses)])) for i in range(len(levels))]
-    counts = counts.select(*keys, *[b.alias(f"_b{i}") for i, b in enumerate(best)])
-    choice = F.struct(F.lit(levels[-1]).alias("t"), F.col(f"_b{len(levels) - 1}.k").alias("k"))
-    for i in range(len(levels) - 2, -1, -1):
-        choice = F.when(F.col(f"_b{i}.n") > wanted, F.struct(F.lit(levels[i]).alias("t"), F.col(f"_b{i}.k").alias("k"))).otherwise(choice)
-    chosen = counts.withColumn("_w", choice).join(hyps, keys).select(*keys, F.col("_w.t").alias("threshold"), F.get("_h", -F.col("_w.k")).alias("_m"))
+    best = counts.groupBy(*keys).agg(*[F.max(F.struct(F.col(f"_c{i}").alias("n"), (-F.col("_k")).alias("k"), F.col("_m").alias("m"))).alias(f"_b{i}") for i in range(len(levels))])
+    choice = F.coalesce(*[F.when(F.col(f"_b{i}.n") > wanted, F.struct(F.lit(lv).alias("t"), F.col(f"_b{i}.m").alias("m"))) for i, lv in enumerate(levels)])
+    chosen = best.withColumn("_w", choice).where("_w IS NOT NULL").select(*keys, F.col("_w.t").alias("threshold"), F.col("_w.m").alias("_m"))
     inl = attach(ties, chosen, keys).where(gap(F.col("_m")) <= F.col("threshold") * F.col("threshold"))
     s = inl.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("inliers"), F.first("threshold").alias("threshold"), *[F.avg(c).alias(f"m_{c}") for c in ("x1", "y1", "x2", "y2")],

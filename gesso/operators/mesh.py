@@ -154,7 +154,8 @@ def contained_patches(boxes: DataFrame) -> DataFrame:
     small = boxes.withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in levels])))
     small = small.withColumns({"_cx": F.floor(F.col("x0") / size).cast("int"), "_cy": F.floor(F.col("y0") / size).cast("int")})
     pair = small.join(big, ["view", "_lv", "_cx", "_cy"])
-    area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    side_of = lambda p, a: (F.col(f"{p}{a}1") - F.col(f"{p}{a}0")).cast("long")
+    area = lambda p: side_of(p, "x") * side_of(p, "y")
     within = (F.col("_o.x0") <= F.col("x0")) & (F.col("_o.y0") <= F.col("y0")) & (F.col("_o.x1") >= F.col("x1")) & (F.col("_o.y1") >= F.col("y1"))
     larger = (area("_o.") > area("")) | (F.col("_o.patch") < F.col("patch"))
     hit = pair.where(within & larger & (F.col("_o.patch") != F.col("patch")))
