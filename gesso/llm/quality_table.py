@@ -46,7 +46,7 @@ RULES = (
     Rule("short_words", "word_chars", "n_words", "below", 200),
     Rule("symbols", "n_symbols", "n_words", "above", 50),
     Rule("stop_words", "n_stop_words", "n_words", "below", 1, 200),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", "above", 30, 20),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", "above", 50, 20),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
