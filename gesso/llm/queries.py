@@ -64,7 +64,46 @@ def op3(t: Tables) -> DataFrame:
     return ledger.totals()
 
 
-@query("op4_hash_tree")
+def _descent(tree, prefix: str) -> str:
+    """SQL of region, rack and shard for each level of a tree, one CTE a level."""
+    draw = lambda c, w: f"{{'d': -ln((('0x' || substr(md5('tree/{c}/' || key), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double) / {w!r}::double, 'c': '{c}'}}"
+    out, parent, source = [], "''", prefix + "0"
+    for name, level in zip(("region", "rack", "shard"), hash_tree._levels(tree), strict=True):
+        cases = " ".join(
+            f"when {parent} = '{node}' then " + (f"'{children[0][0]}'" if len(children) == 1 else "least(" + ", ".join(draw(c, w) for c, w in children) + ").c") for node, children in level.items()
+        )
+        out.append(f"{prefix}{name} as (select *, case {cases} end as {prefix}_{name} from {source})")
+        parent, source = f"{prefix}_{name}", prefix + name
+    return ",\n".join(out)
+
+
+def _crc_table() -> list[int]:
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+OP4 = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(doc_id::varchar, '') as key from documents),
+t as (select {_crc_table()}::bigint[] as t),
+a0 as (
+  select r, doc_id, key, strlen(text) + 1 as size,
+         xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(text), '..'), lambda x: ('0x' || x)::bigint)),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) as crc
+  from d, t),
+{_descent(TREE, "a")},
+b0 as (select * from ashard),
+{_descent(hash_tree.grow(TREE), "b")}
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'key' as law, a_shard::int as shard,
+       (row_number() over (partition by a_shard order by r) - 1)::bigint as slot, b_shard::int as grown_shard, a_region as region, a_rack as rack
+from bshard
+"""
+
+
+@query("op4_hash_tree", OP4)
 def op4(t: Tables) -> DataFrame:
     return hash_tree.shard_rows(t.documents, TREE)
 
