@@ -296,6 +296,8 @@ def integrate_poisson(
         beta, rz, rr = got["rz"] / rz, got["rz"], got["rr"]
         state = fresh.withColumn("p", combine("z", "p", F.lit(beta)))
         steps += 1
+    if steps >= max_steps and rr > tolerance**2 * rr0:
+        raise RuntimeError(f"residual {np.sqrt(rr / rr0):.3g} after {steps} steps")
 
     def unfold(batches):
         for pdf in batches:
@@ -379,4 +381,7 @@ def _masked_solve(rhs: np.ndarray, fixed: np.ndarray, links: tuple, tolerance: f
         new = float((r * r).sum())
         p = r + (new / rr) * p
         rr = new
+    else:
+        if rr > stop:
+            raise RuntimeError(f"a tile is not solved after {limit} steps")
     return x

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gesso.operators import grid as gr
-from gesso.session import cut
+from gesso.session import keep
 
 
 def both_ways(edges: DataFrame, a: str = "f1", b: str = "f2") -> DataFrame:
@@ -41,25 +41,25 @@ def label_faces(costs: DataFrame, edges: DataFrame, max_rounds: int = 1000, min_
     ``patience`` rounds together gain less than ``min_gain``. A local optimum.
     Faces without any view get label 0.
     """
-    costs = cut(costs.groupBy("face", "view").agg(F.min("cost").alias("cost")))
+    costs = keep(costs.groupBy("face", "view").agg(F.min("cost").alias("cost")))
     faces = edges.select(F.explode(F.array("f1", "f2")).alias("face")).union(costs.select("face")).distinct()
-    links = cut(both_ways(edges.select("f1", "f2").distinct()).distinct())
+    links = keep(both_ways(edges.select("f1", "f2").distinct()).distinct())
     first = costs.groupBy("face").agg(F.min(F.struct("cost", "view")).alias("m")).select("face", F.col("m.view").alias("label"))
-    labels = cut(faces.join(first, "face", "left").select("face", F.coalesce("label", F.lit(0)).alias("label")))
+    labels = keep(faces.join(first, "face", "left").select("face", F.coalesce("label", F.lit(0)).alias("label")))
     gains: list[float] = []
     for _ in range(max_rounds):
         seen = links.join(labels.select(F.col("face").alias("v"), "label"), "v").groupBy(F.col("u").alias("face"), F.col("label").alias("view")).agg(F.count(F.lit(1)).alias("same"))
         option = costs.join(seen, ["face", "view"], "left").select("face", "view", (F.col("cost") - F.coalesce("same", F.lit(0))).alias("score"))
         best = option.groupBy("face").agg(F.min(F.struct("score", "view")).alias("m"))
         now = option.join(labels.select("face", F.col("label").alias("view")), ["face", "view"]).select("face", F.col("score").alias("_now"))
-        want = cut(best.join(now, "face").select("face", F.col("m.view").alias("view"), (F.col("_now") - F.col("m.score")).alias("gain")).where("gain > 1e-12"))
+        want = keep(best.join(now, "face").select("face", F.col("m.view").alias("view"), (F.col("_now") - F.col("m.score")).alias("gain")).where("gain > 1e-12"))
         rival = links.join(want.select(F.col("face").alias("v"), "gain"), "v").groupBy(F.col("u").alias("face")).agg(F.max(F.struct("gain", (-F.col("v")).alias("n"))).alias("r"))
         moves = want.join(rival, "face", "left").where(F.col("r").isNull() | (F.struct("gain", (-F.col("face")).alias("n")) > F.col("r")))
-        moves = cut(moves.select("face", "view", "gain"))
+        moves = keep(moves.select("face", "view", "gain"))
         total = moves.agg(F.sum("gain")).first()[0] or 0.0
         gains.append(total)
         if total > 0:
-            labels = cut(labels.join(moves.select("face", "view"), "face", "left").select("face", F.coalesce("view", "label").alias("label")))
+            labels = keep(labels.join(moves.select("face", "view"), "face", "left").select("face", F.coalesce("view", "label").alias("label")))
         if total == 0 or (len(gains) >= patience and sum(gains[-patience:]) < min_gain):
             return labels
     raise RuntimeError(f"labels still improve after {max_rounds} rounds")
@@ -72,17 +72,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     component among neighbours and then jumps to that component's own one, so
     long chains shrink in few rounds. Hot nodes only mean aggregation.
     """
-    links = cut(both_ways(edges).distinct())
-    comp = cut(nodes.select("node", F.col("node").alias("c")).distinct())
+    links = keep(both_ways(edges).distinct())
+    comp = keep(nodes.select("node", F.col("node").alias("c")).distinct())
     while True:
         near = links.join(comp.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("n"))
         step = comp.join(near, "node", "left").select("node", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         # hook the old representative to the new one, then jump
         hook = step.groupBy(F.col("old").alias("node")).agg(F.min("c").alias("h"))
         step = step.join(hook, "node", "left").select("node", "old", F.least("c", F.coalesce("h", "c")).alias("c"))
-        step = cut(step)
+        step = keep(step)
         top = step.select(F.col("node").alias("c"), F.col("c").alias("up"))
-        new = cut(step.join(top, "c", "left").select("node", "old", F.least(F.col("c"), F.coalesce("up", "c")).alias("c")))
+        new = keep(step.join(top, "c", "left").select("node", "old", F.least(F.col("c"), F.coalesce("up", "c")).alias("c")))
         comp = new.select("node", "c")
         if new.where("c <> old").limit(1).count() == 0:
             break
@@ -104,7 +104,7 @@ def valid_region(pixels: DataFrame, value: str, tile: int = gr.TILE) -> DataFram
     sized = gr.with_dims(pixels.select(*gr.KEY, F.col(value).alias("_v")))
     node = F.col("y").cast("bigint") * F.col("_w") + F.col("x")
     sized = sized.withColumn("node", F.struct("image_id", node.alias("n")))
-    black = cut(sized.where("_v = 0").select(*gr.KEY, "_h", "_w", "node"))
+    black = keep(sized.where("_v = 0").select(*gr.KEY, "_h", "_w", "node"))
     right = black.select("image_id", "y", (F.col("x") - 1).alias("x"), F.col("node").alias("f2"))
     down = black.select("image_id", (F.col("y") - 1).alias("y"), "x", F.col("node").alias("f2"))
     edges = black.join(right.unionByName(down), gr.KEY).select(F.col("node").alias("f1"), "f2")
@@ -135,13 +135,13 @@ def level_seams(
     k = len(channels)
     links = seams.select("n1", "n2", F.lit(1.0).alias("w")).unionByName(smooth.select("n1", "n2", F.lit(weight * weight).alias("w")))
     two = F.array(F.struct(F.col("n1").alias("u"), F.col("n2").alias("v"), "w"), F.struct(F.col("n2").alias("u"), F.col("n1").alias("v"), "w"))
-    links = cut(links.select(F.explode(two).alias("e")).select("e.*").groupBy("u", "v").agg(F.sum("w").alias("w")))
+    links = keep(links.select(F.explode(two).alias("e")).select("e.*").groupBy("u", "v").agg(F.sum("w").alias("w")))
     degree = links.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("deg"))
     signed = F.array(F.struct(F.col("n1").alias("node"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(channels)]),
                      F.struct(F.col("n2").alias("node"), *[(-F.col(c)).alias(f"b{i}") for i, c in enumerate(channels)]))
     right = seams.select(F.explode(signed).alias("s")).select("s.*").groupBy("node").agg(*[F.sum(f"b{i}").alias(f"b{i}") for i in range(k)])
     st = nodes.select("node").distinct().join(degree, "node", "left").join(right, "node", "left")
-    st = cut(st.select(
+    st = keep(st.select(
         "node", F.coalesce("deg", F.lit(0.0)).alias("deg"), *[F.lit(0.0).alias(f"x{i}") for i in range(k)],
         *[F.coalesce(f"b{i}", F.lit(0.0)).alias(f"r{i}") for i in range(k)], *[F.coalesce(f"b{i}", F.lit(0.0)).alias(f"p{i}") for i in range(k)]))
     sums = lambda df, a, b: np.array([v or 0.0 for v in df.agg(*[F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}")) for i in range(k)]).first()])
@@ -152,7 +152,7 @@ def level_seams(
         near = links.join(st.select(F.col("node").alias("v"), *[f"p{i}" for i in range(k)]), "v")
         flow = near.groupBy(F.col("u").alias("node")).agg(*[F.sum(F.col("w") * F.col(f"p{i}")).alias(f"_s{i}") for i in range(k)])
         st2 = st.join(flow, "node", "left").withColumns({f"a{i}": F.col("deg") * F.col(f"p{i}") - F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(k)})
-        st2 = cut(st2.drop(*[f"_s{i}" for i in range(k)]))
+        st2 = keep(st2.drop(*[f"_s{i}" for i in range(k)]))
         curve = sums(st2, "p", "a")
         alpha = [float(a / c) if c > 0 else 0.0 for a, c in zip(rr, curve)]
         moved = st2.withColumns({

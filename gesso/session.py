@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: rows up to which a lookup side may be broadcast; always checked by counting
-BROADCAST_ROWS = 200_000
+#: rows and bytes up to which a lookup side may be broadcast; always checked
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def local_session(cpus: str | int = "8", partitions: int | None = None) -> SparkSession:
@@ -97,16 +97,18 @@ def forget(df: DataFrame) -> None:
 
 
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if a count proves it small, else leave it.
+    """Mark ``df`` for broadcast if its rows and bytes prove small, else leave it.
 
-    The table is cut first so counting does not compute it twice. Without the
-    hint the join is an ordinary shuffle join that adaptive execution may
+    The table is written first so that measuring does not compute it twice.
+    Bytes are those of the rows as text, which holds for arrays too. Without
+    the hint the join is an ordinary shuffle join that adaptive execution may
     still split or convert.
     """
-    kept = df if getattr(df, "_is_cut", None) is True else cut(df)
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
+    kept = df if getattr(df, "_is_cut", None) is True else keep(df, "lookup")
+    size = F.octet_length(F.to_json(F.struct("*")))
+    seen = kept.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    small = seen["n"] <= max_rows and seen["bytes"] <= BROADCAST_BYTES
+    return F.broadcast(kept) if small else kept
 
 
 def fence(df: DataFrame, *columns: str) -> DataFrame:
