@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gesso.functions import geometry as g
 from gesso.operators import grid as gr
 from gesso.operators.scans import attach
-from gesso.session import cut, lookup
+from gesso.session import keep, lookup
 
 
 def guarded(h: Column, limit: float = 5.0) -> Column:
@@ -85,17 +85,19 @@ def extents(transforms: DataFrame, width: float, height: float, keys: Sequence[s
     )
 
 
-def bundle_adjust(ties: DataFrame, start: DataFrame, mosaic: str = "mosaic", rounds: int = 5, loss: str = "cauchy", scale: float = 1.0) -> DataFrame:
+def bundle_adjust(ties: DataFrame, start: DataFrame, mosaic: str = "mosaic", rounds: int | None = None, loss: str = "cauchy", scale: float = 1.0, tolerance: float = 1e-5) -> DataFrame:
     """Affine transforms of all cells of each mosaic by robust least squares.
 
     ``ties``: mosaic, c1, x1, y1, c2, x2, y2 (cell ids); ``start``: mosaic,
     cell, h, anchor (boolean, one cell per mosaic stays fixed). Per round one
-    aggregate gives 3x3 blocks per cell pair; the block system of a mosaic
-    (size of its grid, not of its ties) is solved in one group.
+    aggregate gives 3x3 blocks per cell pair; the system of a mosaic is solved
+    in one group by conjugate gradients on these blocks, in memory that grows
+    with its cells alone. Rounds go on until no transform changes by more than
+    ``tolerance``, or as often as ``rounds`` says.
     """
-    current = cut(start.select(mosaic, "cell", "h", "anchor"))
+    current = keep(start.select(mosaic, "cell", "h", "anchor"))
     weight = g.cauchy_weight if loss == "cauchy" else g.huber_weight
-    for _ in range(rounds):
+    for done in range(rounds or MAX_ROUNDS):
         lk = lookup(current)
         side = lambda i: lk.select(mosaic, F.col("cell").alias(f"c{i}"), F.col("h").alias(f"_h{i}"))
         rows = ties.join(side(1), [mosaic, "c1"]).join(side(2), [mosaic, "c2"])
@@ -109,34 +111,90 @@ def bundle_adjust(ties: DataFrame, start: DataFrame, mosaic: str = "mosaic", rou
         ]
         names = [f"s{a}{b}{i}{j}" for a, b in ((1, 1), (1, 2), (2, 2)) for i in range(3) for j in range(3)]
         blocks = rows.groupBy(mosaic, "c1", "c2").agg(*sums).select(mosaic, "c1", "c2", F.array(*names).alias("b"))
-        current = cut(_solve_blocks(blocks, current, mosaic))
+        current, before = keep(_solve_blocks(blocks, current, mosaic)), current
+        if rounds is None and _change(before, current, mosaic) <= tolerance:
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"transforms still change after {done + 1} rounds")
     return current.select(mosaic, "cell", "h")
 
 
+MAX_ROUNDS = 200
+
+
+def _change(before: DataFrame, after: DataFrame, mosaic: str) -> float:
+    """Largest change of a matrix entry, against one plus its size."""
+    both = after.select(mosaic, "cell", "h").join(before.select(mosaic, "cell", F.col("h").alias("_b")), [mosaic, "cell"])
+    gap = F.array_max(F.zip_with("h", "_b", lambda a, b: F.abs(a - b) / (1 + F.abs(b))))
+    return float(both.agg(F.max(gap)).first()[0] or 0.0)
+
+
+def _block_solve(first: np.ndarray, second: np.ndarray, blocks: np.ndarray, rhs: np.ndarray, free: np.ndarray, limit: int = 20_000) -> np.ndarray:
+    """Solve sum over pairs (i, j) of [[s0, -s1], [-s1', s2]] x = rhs on the free cells.
+
+    ``blocks``: pairs x 3 x k x k; ``rhs``: cells x k x columns. Conjugate
+    gradients for all columns, preconditioned by the cells' own blocks; only
+    blocks are kept, never a matrix of all cells.
+    """
+    k = blocks.shape[-1]
+    own = np.zeros((len(rhs), k, k))
+    np.add.at(own, first, blocks[:, 0])
+    np.add.at(own, second, blocks[:, 2])
+    back = np.zeros_like(own)
+    if free.any():
+        back[free] = np.linalg.pinv(own[free], rcond=1e-13, hermitian=True)
+    cross = blocks[:, 1]
+
+    def times(x: np.ndarray) -> np.ndarray:
+        y = own @ x
+        np.add.at(y, first, -(cross @ x[second]))
+        np.add.at(y, second, -(cross.transpose(0, 2, 1) @ x[first]))
+        y[~free] = 0
+        return y
+
+    x = np.zeros_like(rhs)
+    r = np.where(free[:, None, None], rhs, 0.0)
+    z = back @ r
+    p, rz = z.copy(), (r * z).sum(axis=(0, 1))
+    stop = 1e-22 * np.maximum(rz, 1e-300)
+    for _ in range(limit):
+        if (rz <= stop).all():
+            return x
+        ap = times(p)
+        curve = (p * ap).sum(axis=(0, 1))
+        alpha = np.divide(rz, curve, out=np.zeros_like(rz), where=(curve > 0) & (rz > stop))
+        if not alpha.any():
+            return x
+        x += alpha * p
+        r -= alpha * ap
+        z = back @ r
+        new = (r * z).sum(axis=(0, 1))
+        p = z + np.divide(new, rz, out=np.zeros_like(rz), where=rz > 0) * p
+        rz = new
+    raise RuntimeError(f"block system not solved after {limit} steps")
+
+
 def _solve_blocks(blocks: DataFrame, current: DataFrame, mosaic: str) -> DataFrame:
     kind = current.schema[mosaic].dataType.simpleString()
 
     def solve(b: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("cell").reset_index(drop=True)
         place = {c: i for i, c in enumerate(cells["cell"])}
-        n = len(cells)
-        m = np.zeros((3 * n, 3 * n))
-        for c1, c2, flat in zip(b["c1"], b["c2"], b["b"]):
-            s = np.asarray(flat, float).reshape(3, 3, 3)
-            i, j = slice(3 * place[c1], 3 * place[c1] + 3), slice(3 * place[c2], 3 * place[c2] + 3)
-            m[i, i] += s[0]
-            m[i, j] -= s[1]
-            m[j, i] -= s[1].T
-            m[j, j] += s[2]
         h = np.stack(cells["h"]).astype(float)
-        params = np.stack([h[:, 0:3].ravel(), h[:, 3:6].ravel()], axis=1)
-        fixed = np.repeat(cells["anchor"].to_numpy(), 3)
-        touched = np.abs(m).sum(axis=1) > 0
-        free = ~fixed & touched
-        if free.any() and fixed.any():
-            rhs = -m[np.ix_(free, fixed)] @ params[fixed]
-            params[free] = np.linalg.lstsq(m[np.ix_(free, free)], rhs, rcond=1e-10)[0]
-        out = [[*params[3 * i : 3 * i + 3, 0], *params[3 * i : 3 * i + 3, 1], 0.0, 0.0, 1.0] for i in range(n)]
+        params = np.stack([h[:, 0:3], h[:, 3:6]], axis=2)
+        fixed = cells["anchor"].to_numpy(bool)
+        if len(b) and fixed.any():
+            first, second = b["c1"].map(place).to_numpy(), b["c2"].map(place).to_numpy()
+            s = np.stack(b["b"]).astype(float).reshape(-1, 3, 3, 3)
+            free = ~fixed & np.isin(np.arange(len(cells)), np.concatenate([first, second]))
+            # anchors keep their values, whose terms go to the right side
+            held = np.where(free[:, None, None], 0.0, params)
+            rhs = np.zeros_like(params)
+            np.add.at(rhs, first, s[:, 1] @ held[second])
+            np.add.at(rhs, second, s[:, 1].transpose(0, 2, 1) @ held[first])
+            params[free] = _block_solve(first, second, s, rhs, free)[free]
+        out = [[*row[:, 0], *row[:, 1], 0.0, 0.0, 1.0] for row in params]
         return pd.DataFrame({mosaic: cells[mosaic], "cell": cells["cell"], "h": out, "anchor": cells["anchor"]})
 
     return blocks.groupBy(mosaic).cogroup(current.groupBy(mosaic)).applyInPandas(
@@ -144,16 +202,16 @@ def _solve_blocks(blocks: DataFrame, current: DataFrame, mosaic: str) -> DataFra
     )
 
 
-def bundle_adjust_homography(ties: DataFrame, start: DataFrame, mosaic: str = "mosaic", rounds: int = 5, loss: str = "cauchy", scale: float = 1.0) -> DataFrame:
+def bundle_adjust_homography(ties: DataFrame, start: DataFrame, mosaic: str = "mosaic", rounds: int | None = None, loss: str = "cauchy", scale: float = 1.0, tolerance: float = 1e-5) -> DataFrame:
     """Homographies (8 free numbers, h22 = 1) of all cells by Gauss-Newton.
 
     Same tables as ``bundle_adjust``. A round is one aggregate of 8x8 blocks
     and gradients per cell pair, then a damped step per mosaic. Start from the
-    affine solution.
+    affine solution. Rounds end as in ``bundle_adjust``.
     """
-    current = cut(start.select(mosaic, "cell", "h", "anchor"))
+    current = keep(start.select(mosaic, "cell", "h", "anchor"))
     weight = g.cauchy_weight if loss == "cauchy" else g.huber_weight
-    for _ in range(rounds):
+    for done in range(rounds or MAX_ROUNDS):
         lk = lookup(current)
         side = lambda i: lk.select(mosaic, F.col("cell").alias(f"c{i}"), F.col("h").alias(f"_h{i}"))
         rows = ties.join(side(1), [mosaic, "c1"]).join(side(2), [mosaic, "c2"])
@@ -176,7 +234,12 @@ def bundle_adjust_homography(ties: DataFrame, start: DataFrame, mosaic: str = "m
         sums += [both(j(i, k), r) for i in (1, 2) for k in range(8)]
         flat = rows.groupBy(mosaic, "c1", "c2").agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)])
         blocks = flat.select(mosaic, "c1", "c2", F.array(*[f"s{n}" for n in range(len(sums))]).alias("b"))
-        current = cut(_step_blocks(blocks, current, mosaic))
+        current, before = keep(_step_blocks(blocks, current, mosaic)), current
+        if rounds is None and _change(before, current, mosaic) <= tolerance:
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"homographies still change after {done + 1} rounds")
     return current.select(mosaic, "cell", "h")
 
 
@@ -186,28 +249,28 @@ def _step_blocks(blocks: DataFrame, current: DataFrame, mosaic: str) -> DataFram
     def step(b: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("cell").reset_index(drop=True)
         place = {c: i for i, c in enumerate(cells["cell"])}
-        n = len(cells)
-        m, grad = np.zeros((8 * n, 8 * n)), np.zeros(8 * n)
-        for c1, c2, flat in zip(b["c1"], b["c2"], b["b"]):
-            v = np.asarray(flat, float)
-            s, e = v[:192].reshape(3, 8, 8), v[192:].reshape(2, 8)
-            i, k = slice(8 * place[c1], 8 * place[c1] + 8), slice(8 * place[c2], 8 * place[c2] + 8)
-            m[i, i] += s[0]
-            m[i, k] -= s[1]
-            m[k, i] -= s[1].T
-            m[k, k] += s[2]
-            grad[i] += e[0]
-            grad[k] -= e[1]
         h = np.stack(cells["h"]).astype(float)
         h = h / h[:, 8:9]
-        free = ~np.repeat(cells["anchor"].to_numpy(), 8) & (np.abs(m).sum(axis=1) > 0)
-        delta = np.zeros(8 * n)
-        if free.any():
-            a = m[np.ix_(free, free)]
-            size = np.sqrt(np.maximum(np.diag(a), 1e-30))
-            scaled = a / size[:, None] / size[None, :] + 1e-9 * np.eye(len(a))
-            delta[free] = -np.linalg.lstsq(scaled, grad[free] / size, rcond=1e-12)[0] / size
-        h[:, :8] += delta.reshape(n, 8)
+        if len(b):
+            first, second = b["c1"].map(place).to_numpy(), b["c2"].map(place).to_numpy()
+            v = np.stack(b["b"]).astype(float)
+            s, e = v[:, :192].reshape(-1, 3, 8, 8), v[:, 192:].reshape(-1, 2, 8)
+            free = ~cells["anchor"].to_numpy(bool) & np.isin(np.arange(len(cells)), np.concatenate([first, second]))
+            grad, size = np.zeros((len(cells), 8)), np.zeros((len(cells), 8))
+            np.add.at(grad, first, e[:, 0])
+            np.add.at(grad, second, -e[:, 1])
+            diagonal = np.arange(8)
+            np.add.at(size, first, s[:, 0, diagonal, diagonal])
+            np.add.at(size, second, s[:, 2, diagonal, diagonal])
+            size = np.sqrt(np.maximum(size, 1e-30))
+            # unit diagonal, then a little damping
+            one, two = size[first], size[second]
+            s = np.stack([s[:, 0] / one[:, :, None] / one[:, None, :], s[:, 1] / one[:, :, None] / two[:, None, :], s[:, 2] / two[:, :, None] / two[:, None, :]], axis=1)
+            count = np.bincount(np.concatenate([first, second]), minlength=len(cells)).astype(float)
+            s[:, 0] += 1e-9 / count[first][:, None, None] * np.eye(8)
+            s[:, 2] += 1e-9 / count[second][:, None, None] * np.eye(8)
+            delta = _block_solve(first, second, s, -(grad / size)[:, :, None], free)[:, :, 0] / size
+            h[free, :8] += delta[free]
         return pd.DataFrame({mosaic: cells[mosaic], "cell": cells["cell"], "h": list(h), "anchor": cells["anchor"]})
 
     return blocks.groupBy(mosaic).cogroup(current.groupBy(mosaic)).applyInPandas(

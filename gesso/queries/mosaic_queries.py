@@ -217,13 +217,13 @@ def p25(t):
 
 @query("G8_bundle_adjust")
 def g8(t):
-    """Two mosaics of 12 cells in a row; ties between consecutive cells."""
+    """Two mosaics of 13 cells in a row; ties between consecutive cells."""
     rows = ties(t).select(
         (F.col("point_no") % 2).cast("int").alias("mosaic"), F.col("pair").alias("c1"), F.col("x2").alias("x1"), F.col("y2").alias("y1"),
-        ((F.col("pair") + 1) % 12).alias("c2"), F.col("x1").alias("x2"), F.col("y1").alias("y2")).where("c2 > c1")
+        (F.col("pair") + 1).alias("c2"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
     cell = rows.select("mosaic", F.explode(F.array("c1", "c2")).alias("cell")).distinct()
     start = cell.withColumns({"h": g.lit_matrix(g.IDENTITY9), "anchor": F.col("cell") == 0})
-    out = mo.bundle_adjust(rows, start, rounds=3)
+    out = mo.bundle_adjust(rows, start, tolerance=1e-3)
     return out.select("mosaic", "cell", F.round(F.col("h")[2], 2).alias("tx"), F.round(F.col("h")[5], 2).alias("ty"))
 
 
@@ -232,11 +232,11 @@ def g8_homography(t):
     """The same ties, homographies from the affine start."""
     rows = ties(t).select(
         (F.col("point_no") % 2).cast("int").alias("mosaic"), F.col("pair").alias("c1"), F.col("x2").alias("x1"), F.col("y2").alias("y1"),
-        ((F.col("pair") + 1) % 12).alias("c2"), F.col("x1").alias("x2"), F.col("y1").alias("y2")).where("c2 > c1")
+        (F.col("pair") + 1).alias("c2"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
     cell = rows.select("mosaic", F.explode(F.array("c1", "c2")).alias("cell")).distinct()
     start = cell.withColumns({"h": g.lit_matrix(g.IDENTITY9), "anchor": F.col("cell") == 0})
     affine = mo.bundle_adjust(rows, start, rounds=2).withColumn("anchor", F.col("cell") == 0)
-    out = mo.bundle_adjust_homography(rows, affine, rounds=2)
+    out = mo.bundle_adjust_homography(rows, affine, rounds=4)
     return out.select("mosaic", "cell", F.round(F.col("h")[2], 1).alias("tx"), F.round(F.col("h")[5], 1).alias("ty"))
 
 
