@@ -134,11 +134,15 @@ def s12(t):
     return back.select("image_id", "step", F.size("patches").cast("bigint").alias("patches"), F.round("mean", 4).alias("mean"), "applied")
 
 
-@query("S13_append_analytics", q.with_(*HEAD, _DE) + "SELECT image_id, round(avg(de00) FILTER (step = 'Brand#1'), 4) AS b1, round(avg(de00) FILTER (step = 'Brand#2'), 4) AS b2 FROM de GROUP BY image_id")
+STEPS = [f"Brand#{i}" for i in range(1, 26)]
+
+
+@query("S13_append_analytics", q.with_(*HEAD, _DE, "means AS MATERIALIZED (SELECT image_id, step, round(avg(de00), 4) AS m FROM de GROUP BY image_id, step)")
+       + "SELECT image_id, " + ", ".join(f"max(m) FILTER (step = '{s}') AS b{i}" for i, s in enumerate(STEPS, 1)) + " FROM means GROUP BY image_id")
 def s13(t):
     path = scratch_path(t.spark, "analytics")
-    tb.append_analytics(scored(t), ["Brand#1", "Brand#2"], path)
-    return t.spark.read.parquet(path).select("image_id", F.round("Brand#1", 4).alias("b1"), F.round("Brand#2", 4).alias("b2"))
+    tb.append_analytics(scored(t), STEPS, path)
+    return t.spark.read.parquet(path).select("image_id", *[F.round(f"`{s}`", 4).alias(f"b{i}") for i, s in enumerate(STEPS, 1)])
 
 
 @query("S15_keypoints", q.with_(KP) + "SELECT row, col, count(*) AS n, round(sum(x), 3) AS sx FROM kp GROUP BY row, col")
