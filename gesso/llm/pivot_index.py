@@ -171,8 +171,8 @@ def near_dup_vectors(vectors: DataFrame, least: float = LEAST_COSINE, pivots: in
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     groups = rooted.join(lows, "root").select("id", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
     known = hashed.select("label", "embedding", "id").join(groups, "id").drop("id")
-    # what can't link meets nothing here, as a null key
-    keyed = rows.withColumn("key", F.when(_can_link(), F.xxhash64("label", "embedding"))).join(
+    # what can't link meets nothing here; its ids spread it over the tasks
+    keyed = rows.withColumn("key", F.when(_can_link(), F.xxhash64("label", "embedding")).otherwise(F.xxhash64("vec_id"))).join(
         known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), F.xxhash64("label", "embedding").alias("k"), "n_links", "component_id"),
         (F.col("key") == F.col("k")) & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")),
         "left",
