@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from gesso.llm.spans import SPAN, SPAN_DDL, count_of, joined, map_texts
+from gesso.llm.spans import SPAN, SPAN_DDL, count_of, joined, map_texts, overlaps
 from gesso.session import keep
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -127,7 +127,7 @@ def _votes(kind: str, text: str, start: int, end: int) -> list[int]:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
     """Kind, start, end and the code of votes and shape of each candidate outside the base spans."""
-    out, low = [], None
+    out, low, taken = [], None, overlaps(base)
     for kind in KINDS:
         if kind == "mailword":
             low = low or text.lower()
@@ -137,7 +137,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             continue
         for m in _PATTERNS[kind].finditer(text):
             start, end = m.span()
-            if any(start < b and a < end for _, a, b in base):
+            if taken(start, end):
                 continue
             code = 0
             for v in _votes(kind, text, start, end):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from gesso.llm.spans import SPAN, SPAN_DDL, count_of, joined, map_texts
+from gesso.llm.spans import SPAN, SPAN_DDL, count_of, joined, map_texts, overlaps
 
 BASE_KINDS = ("assign", "access", "hex")
 #: kind of the spans that the method adds
@@ -74,23 +74,29 @@ class Novelty:
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, least: float = LEAST_NOVELTY) -> list[tuple[str, int, int]]:
-    """Incompressible strings after a cue, outside the base spans, by start."""
+    """Incompressible strings after a cue, outside the base spans, by start.
+
+    A string is measured once, from the first cue that reaches it; cues inside
+    it don't measure its rest again.
+    """
     low = text.lower()
     if not any(c in low for c in _CUES):
         return []
-    found, taken = {}, [(a, b) for _, a, b in base]
+    found, taken, done = [], overlaps(base), 0
     for cue in _CUE.finditer(text):
-        for run in _RUN.finditer(text, cue.end()):
+        if done > cue.end() + REACH:
+            continue
+        for run in _RUN.finditer(text, max(cue.end(), done)):
             if run.start() > cue.end() + REACH:
                 break
             a, b = run.span()
+            done = b
             while b > a and text[b - 1] in ".":
                 b -= 1
             mixed = any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b])
-            if b - a < LEAST_LENGTH or not mixed or (a, b) in found or any(a < y and x < b for x, y in taken):
-                continue
-            found[a, b] = novelty.per_character(text, a, b) >= least
-    return [(NOVEL, a, b) for (a, b), new in sorted(found.items()) if new]
+            if b - a >= LEAST_LENGTH and mixed and not taken(a, b) and novelty.per_character(text, a, b) >= least:
+                found.append((NOVEL, a, b))
+    return found
 
 
 def find_secrets(docs: DataFrame, identifiers: Sequence[str] = IDENTIFIERS, least: float = LEAST_NOVELTY) -> DataFrame:

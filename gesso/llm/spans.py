@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,24 @@ def map_texts(rows: DataFrame, text: str, schema: StructType, make: Callable[[],
     return rows.mapInArrow(run, schema)
 
 
+def overlaps(spans: Iterable[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """A test whether a range meets one of ``spans``, by search in their union."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def meets(start: int, end: int) -> bool:
+        at = bisect_left(starts, end) - 1
+        return at >= 0 and ends[at] > start
+
+    return meets
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

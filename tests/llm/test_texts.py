@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gesso.llm import bpe, html_layout, pii, pivot_index, secret_scan, simhash, token_rollup
+from gesso.llm.spans import overlaps
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -257,3 +259,23 @@ def test_pipeline(spark, tmp_path):
         stored = spark.createDataFrame(stored.collect(), docs.schema)
     result = corpus_pipeline.run(spark, folder).collect()
     assert result and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in result)
+
+
+def test_long_texts_take_linear_time():
+    start = time.perf_counter()
+    n = secret_scan.Novelty()
+    secret_scan.novel_spans("token1" * 400_000, [], n)
+    secret_scan.novel_spans("token 1a" * 100_000, [], n)
+    text = "a@b.co Anna Miller 555-123-4567 " * 30_000
+    base = pii.base_spans(text)
+    assert len(base) == 30_000 and len(pii.candidates(text, base)) == 60_000
+    assert time.perf_counter() - start < 60
+
+
+def test_overlaps(rng):
+    for _ in range(200):
+        spans = [("k", int(a), int(a + w)) for a, w in zip(rng.integers(0, 60, 6), rng.integers(1, 9, 6), strict=True)]
+        meets = overlaps(spans)
+        for a in range(70):
+            for b in (a + 1, a + 4):
+                assert meets(a, b) == any(a < y and x < b for _, x, y in spans)
