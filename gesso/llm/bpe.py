@@ -5,7 +5,7 @@ never be merged across, by any order of merges. Such pairs are certain cuts:
 each piece of the text (words and blanks as the vocabulary's pattern splits
 them) falls into fragments that are encoded by themselves and then
 concatenated. Fragments are short and repeat, so a task keeps the ids of those
-it has met, up to a fixed number.
+it has met lately, up to a fixed number.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from gesso.llm.spans import runs
+
 #: fixed pattern of byte-level BPE pieces
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: fragments whose ids a task keeps at a time
-KEPT = 400_000
-#: characters of text encoded between two flushes of a task's output
-_CHARS_AT_ONCE = 4_000_000
+#: pieces whose ids a process keeps, half of them from before the last turnover
+KEPT = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,6 +73,7 @@ class Coder:
         # most texts need no table beyond U+0558; for them the classes are spelled out, which is twice as fast
         self.high, self.low_pieces = re.compile("[\u0558-\U0010ffff]"), re.compile(_low_pieces())
         self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
         self.newer, self.library = regex.compile(newer) if newer else None, _splitter()
 
     def encode(self, text: str | None) -> list[int]:
@@ -101,10 +102,11 @@ class Coder:
         for piece in found:
             ids = known.get(piece)
             if ids is None:
-                ids = self._piece(piece)
+                ids = self.before.get(piece) or self._piece(piece)
                 if len(piece) < 64:
-                    if len(known) >= KEPT:
-                        known.clear()
+                    if len(known) >= KEPT // 2:
+                        self.before, self.known = known, {}
+                        known = self.known
                     known[piece] = ids
             out.extend(ids)
         return out
@@ -209,16 +211,6 @@ def coder(path: str, newer: str) -> Coder:
     return Coder(path, newer)
 
 
-def _batches(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows whose sizes sum up to about ``most``."""
-    start, total = 0, 0
-    for i, s in enumerate(sizes):
-        total += s
-        if total >= most or i + 1 == len(sizes):
-            yield batch.slice(start, i + 1 - start)
-            start, total = i + 1, 0
-
-
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
@@ -234,8 +226,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, newer)
         for batch in batches:
-            sizes = [n or 0 for n in pa.compute.utf8_length(batch[text]).to_pylist()]
-            for part in _batches(batch, sizes, _CHARS_AT_ONCE):
+            for part in runs(batch, pa.compute.utf8_length(batch[text])):
                 each = [np.array(c.encode(t.as_py()), np.int32) for t in part[text]]
                 ends = np.cumsum([0, *map(len, each)], dtype=np.int64)
                 flat = np.concatenate(each) if each else np.zeros(0, np.int32)
@@ -251,8 +242,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, newer)
         for batch in batches:
-            lengths = [n or 0 for n in pa.compute.list_value_length(batch[ids]).to_pylist()]
-            for part in _batches(batch, lengths, _CHARS_AT_ONCE):
+            for part in runs(batch, pa.compute.list_value_length(batch[ids])):
                 texts = [c.decode(x.values.to_numpy() if x.is_valid else None) for x in part[ids]]
                 yield _with(part, text, pa.array(texts, pa.string()))
 

@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
-from gesso.llm.spans import SPAN, SPAN_DDL, count_of, joined, map_texts, overlaps
+from gesso.llm.spans import SPAN, SPAN_DDL, count_of, joined, map_texts, overlaps, runs
 from gesso.session import keep
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -281,14 +281,18 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     texts stay null. ``n_chars``, if there is one, becomes the length of the new text.
     """
     model = train(extract(docs.select("text")))
-
-    @F.pandas_udf(StringType())
-    def masked(texts):
-        return texts.map(lambda t: t if not t else mask(t, decide(t, model)))
-
-    columns = {"text": masked("text")}
-    out = docs.withColumns(columns)
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch, pa.compute.utf8_length(batch[at])):
+                columns = list(part.columns)
+                columns[at] = pa.array([t if not t else mask(t, decide(t, model)) for t in part[at].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 

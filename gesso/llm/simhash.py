@@ -15,17 +15,18 @@ and no group emits all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gesso.llm.links import components
+from gesso.llm.spans import map_texts
 from gesso.session import keep
 
 #: bits of the segments; with three of them at most one bit of one segment differs
@@ -57,11 +58,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Column form of ``fingerprint``."""
-    for batch in texts:
-        yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
+def with_fingerprints(rows: DataFrame) -> DataFrame:
+    """``rows`` with the fingerprint ``fp`` in place of ``text``."""
+    schema = StructType([*[f for f in rows.schema.fields if f.name != "text"], StructField("fp", LongType())])
+    return map_texts(rows, "text", schema, lambda: lambda texts: [pa.array(map(fingerprint, texts), pa.int64())])
 
 
 def variants(fp: Column) -> Column:
@@ -150,7 +150,7 @@ def simhash_near_dups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     like any other. Repeated rows and ids keep a row each. Other columns,
     whatever their names, are not read. An empty table gives an empty result.
     """
-    rows = keep(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints")
+    rows = keep(with_fingerprints(docs.select("doc_id", "text")), "fingerprints")
     groups = simhash_groups(rows, max_bits)
     return rows.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -162,7 +162,7 @@ def drop_near_dups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     row = "gesso__row"
     stored = keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    rows = keep(stored.select("doc_id", row, fingerprints(F.col("text")).alias("fp")), "fingerprints")
+    rows = keep(with_fingerprints(stored.select("doc_id", row, "text")), "fingerprints")
     least = keep(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)).alias("low")), "prints")
     roots = components(near_links(least.select("fp"), max_bits))
     rooted = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,18 +15,35 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32
 SPAN_DDL = "array<struct<kind:string,start:int,end:int>>"
 
 
+#: characters of text that a task works on between two batches of output
+CHARS_AT_ONCE = 4_000_000
+
+
+def runs(batch: pa.RecordBatch, sizes: pa.Array, most: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose ``sizes`` sum up to about ``most``; a longer row is a run of its own."""
+    start, total, last = 0, 0, len(sizes) - 1
+    for i, size in enumerate(sizes.to_pylist()):
+        total += size or 0
+        if total >= most or i == last:
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0
+
+
 def map_texts(rows: DataFrame, text: str, schema: StructType, make: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
     """``rows`` without ``text`` and with the columns that ``make()`` computes from the texts of a batch.
 
-    ``schema`` is that of the result. ``make`` runs once a task.
+    ``schema`` is that of the result. ``make`` runs once a task, what it
+    returns on runs of about ``CHARS_AT_ONCE`` characters.
     """
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            kept = [batch[c] for c in batch.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([*kept, *work(batch[text].to_pylist())], names=names)
+            at = batch.schema.names.index(text)
+            for part in runs(batch, pa.compute.utf8_length(batch[at])):
+                kept = [c for i, c in enumerate(part.columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*kept, *work(part[at].to_pylist())], names=names)
 
     return rows.mapInArrow(run, schema)
 
