@@ -215,13 +215,15 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the array column ``ids``: the tokens of ``text`` by the vocabulary at ``path``.
 
-    The file must be at ``path`` on every machine. A null text has no tokens.
-    Other columns stay, except one that is already called ``ids``, which is replaced.
+    With ``decoded``, that column is what the tokens decode to, in the same
+    pass: one Python process a core instead of two. The file must be at
+    ``path`` on every machine. A null text has no tokens. Other columns stay,
+    except those already called ``ids`` or ``decoded``, which are replaced.
     """
-    docs, newer = docs.drop(ids), newer_letters()
+    docs, newer = docs.drop(ids, *([decoded] if decoded else [])), newer_letters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, newer)
@@ -230,9 +232,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 each = [np.array(c.encode(t.as_py()), np.int32) for t in part[text]]
                 ends = np.cumsum([0, *map(len, each)], dtype=np.int64)
                 flat = np.concatenate(each) if each else np.zeros(0, np.int32)
-                yield _with(part, ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
+                out = _with(part, ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
+                yield _with(out, decoded, pa.array([c.decode(x.tolist()) for x in each], pa.string())) if decoded else out
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
+    more = [StructField(decoded, StringType())] if decoded else []
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), *more]))
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -260,7 +264,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
             lengths = pa.compute.list_value_length(batch["ids"]).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], lengths, pa.array(raw, pa.string()), batch["decoded_sha256"]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    coded = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    coded = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     hashed = coded.select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     return hashed.mapInArrow(run, StructType([hashed.schema["doc_id"], *fields]))

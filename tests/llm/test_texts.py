@@ -132,6 +132,8 @@ def test_encode_equals_library(spark):
         want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
     assert Counter(map(tuple, bpe.token_digests(docs, PATH).collect())) == want
     assert bpe.token_digests(docs.limit(0), PATH).count() == 0
+    both = bpe.decode(bpe.encode(docs, PATH, decoded="n_tokens"), PATH)
+    assert both.columns == ["doc_id", "text", "ids", "n_tokens", "decoded"] and both.where("not decoded <=> n_tokens").count() == 0
 
 
 def test_forced_cuts_are_certain():
