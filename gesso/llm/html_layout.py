@@ -41,8 +41,11 @@ IMPLIED_SETS = {t: (frozenset(a.split()), frozenset(b.split())) for t, (a, b) in
 ENDS_P = (BLOCKS - frozenset("li dt dd tr thead tbody tfoot caption option optgroup html body".split())) | frozenset(["li", "dt", "dd"])
 SCOPE = frozenset("table td th caption html".split())
 
-_TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)>?)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+#: as HTML's tokenizer: quotes delimit a value right after "=" only, elsewhere they belong to a name or an unquoted value
+_TAG = re.compile(
+    r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?|=)*+)>?)", re.S
+)
+_ATTRIBUTE = re.compile(r"(=?[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
