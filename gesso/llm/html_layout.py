@@ -4,7 +4,8 @@ A page is read tag by tag into a stack of open elements, with the end tags that
 HTML implies, and rendered on the way: elements that browsers don't show are
 left out, blocks begin on lines of their own with blank lines where browsers
 have margins, list items get bullets or numbers and indents, and tables become
-aligned columns. All visible text is kept.
+aligned columns. All visible text is kept, that of formulas (math) and drawings
+(svg) included; style sheets are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from gesso.llm.spans import map_texts
 #: fixed values of HTML: elements without content, with raw content, never shown, blocks, blocks with margins
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style head title template noscript iframe object audio video canvas svg math datalist noembed noframes dialog".split())
+UNSEEN = frozenset("script style head title template noscript iframe object audio video canvas datalist noembed noframes".split())
+#: elements inside drawings and formulas that browsers don't show where they stand
+UNSEEN_IN = {"svg": frozenset("defs symbol desc metadata clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table hr".split())
 BLOCKS = SPACED | frozenset(
     "html body div section article aside nav header footer main address form fieldset details summary li dt dd figcaption tr thead tbody tfoot caption center option optgroup legend".split()
@@ -46,7 +49,9 @@ _TAG = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?|=)*+)>?)", re.S
 )
 _ATTRIBUTE = re.compile(r"(=?[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)\b", re.I)
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>][^\s>]*\Z")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -118,7 +123,8 @@ class Open:
 
     tag: str
     box: Box | None = None
-    unseen: bool = False
+    gone: bool = False  # not displayed, nor is anything inside
+    veiled: bool = False  # invisible, unless an element inside is made visible again
     count: int = 0
     rows: list[list[tuple[list[str], int]]] | None = None
     span: int = 1
@@ -152,7 +158,7 @@ class Page:
                 self.close(tag)
                 continue
             self.open(tag, m[3])
-            if tag in RAW:
+            if tag in RAW and not self.empty(m[3]):
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
                 stop = end.start() if end else len(source)
                 if tag in ("textarea", "xmp"):
@@ -165,8 +171,12 @@ class Page:
             self.pop()
         return "\n".join(self.stack[0].box.text())
 
+    def empty(self, raw: str) -> bool:
+        """Whether a start tag closes itself, as it can in drawings and formulas only."""
+        return raw.endswith("/") and bool(self.opened["svg"] or self.opened["math"]) and not _UNQUOTED_END.search(raw)
+
     def text(self, raw: str, unescape: bool = True) -> None:
-        if not raw or self.stack[-1].unseen:
+        if not raw or self.stack[-1].gone or self.stack[-1].veiled:
             return
         text = entities.unescape(raw) if unescape and "&" in raw else raw
         if self.opened["pre"]:
@@ -181,8 +191,11 @@ class Page:
             ends, bounds = IMPLIED_SETS[tag]
             self.close_any(ends, bounds)
         named = attributes(raw) if raw.strip() else {}
-        hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(named.get("style", "")))
-        unseen = self.stack[-1].unseen or tag in UNSEEN or hidden
+        style = named.get("style", "")
+        gone = self.stack[-1].gone or tag in UNSEEN or any(tag in inner and self.opened[t] for t, inner in UNSEEN_IN.items()) or "hidden" in named or (tag == "dialog" and "open" not in named) or bool(_GONE.search(style))
+        said = _VISIBILITY.findall(style)
+        veiled = said[-1].lower() in ("hidden", "collapse") if said else self.stack[-1].veiled
+        unseen = gone or veiled
         if tag == "img" and not unseen and named.get("alt"):
             self.box().words(" " + named["alt"] + " ")
         if tag == "input" and not unseen and named.get("type", "text").lower() in ("submit", "button", "reset", "text") and named.get("value"):
@@ -193,10 +206,10 @@ class Page:
         if tag == "hr" and not unseen:
             self.box().end_line()
             self.box().blank = True
-        if tag in VOID:
+        if tag in VOID or self.empty(raw):
             return
-        new = Open(tag, unseen=unseen)
-        if not unseen:
+        new = Open(tag, gone=gone, veiled=veiled)
+        if not gone:
             self.start(new, named)
         self.stack.append(new)
         self.opened[tag] += 1
@@ -210,6 +223,8 @@ class Page:
             box.end_line()
             nested = tag in ("ul", "ol") and self.opened["li"]
             box.blank |= tag in SPACED and not nested
+        if tag == "text" and self.opened["svg"]:
+            box.gap = bool(box.line)
         if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", named.get("start", "")):
             new.count = int(named["start"]) - 1
         if tag == "table":
@@ -229,7 +244,7 @@ class Page:
 
     def close(self, tag: str, implied: bool = False) -> None:
         if tag == "p" and not implied and not self.opened["p"]:
-            if not self.stack[-1].unseen:
+            if not self.stack[-1].gone:
                 self.box().end_line()
                 self.box().blank = True
             return
@@ -266,7 +281,7 @@ class Page:
             self.tables.pop()
         if self.lists and self.lists[-1] is done:
             self.lists.pop()
-        if done.unseen:
+        if done.gone:
             return
         outer = self.box()
         if done.box is not None:
@@ -290,6 +305,8 @@ class Page:
                 self.emit(outer, lines)
         elif done.tag in BLOCKS:
             outer.end_line()
+        elif done.tag == "text" and self.opened["svg"]:
+            outer.gap = bool(outer.line)
         nested = done.tag in ("ul", "ol") and self.opened["li"]
         outer.blank |= done.tag in SPACED and not nested
 

@@ -24,3 +24,19 @@ def test_stray_quotes(page, text):
 
 def test_attributes():
     assert attributes(""" a="1"b=2 c d='x' e= f  =  "g" h=o'b /""") == {"a": "1", "b": "2", "c": "", "d": "x", "e": "f", '"g"': "", "h": "o'b"}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> b", "a x=2 b"),
+        ("<svg><title/><rect style='display:none'/><defs><text>no</text></defs><text>Jan</text><text>Feb</text></svg>", "Jan Feb"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ('<span aria-hidden="true">drawn</span>', "drawn"),
+        ('<div style="visibility:hidden">no <b style="color:red; visibility:visible">yes</b> no</div>end', "yes\nend"),
+        ('<ul style="visibility:hidden"><li>no<li style="visibility: visible">b</ul>', "- b"),
+        ('<div style="display:none">no<b style="visibility:visible">no</b></div>end', "end"),
+    ],
+)
+def test_visible_text(page, text):
+    assert render(page) == text
