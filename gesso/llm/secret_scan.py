@@ -6,7 +6,8 @@ strings in a sensitive context are candidates: what follows a word like
 together with the text around it, primed with a dictionary of identifiers;
 the bytes it adds beyond what its surroundings alone take are its novelty. A
 name, a word or something said before adds little, random characters add
-about as many bytes as they have. Incompressible candidates are reported.
+about as many bytes as they have. Incompressible candidates are reported,
+whether they hold letters, digits or both.
 """
 
 from __future__ import annotations
@@ -93,8 +94,7 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, l
             done = b
             while b > a and text[b - 1] in ".":
                 b -= 1
-            mixed = any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b])
-            if b - a >= LEAST_LENGTH and mixed and not taken(a, b) and novelty.per_character(text, a, b) >= least:
+            if b - a >= LEAST_LENGTH and not taken(a, b) and novelty.per_character(text, a, b) >= least:
                 found.append((NOVEL, a, b))
     return found
 
