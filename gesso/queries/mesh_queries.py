@@ -321,10 +321,10 @@ def g10(t):
     k = F.col("p_partkey")
     two = t.part.select(k.alias("v"), F.explode(F.array(F.lit(1), F.lit(2))).alias("l"))
     nodes = two.select((F.col("v") * 10 + F.col("l")).alias("node"))
-    seams = t.part.where("p_size % 2 = 0").select((k * 10 + 1).alias("n1"), (k * 10 + 2).alias("n2"), (F.sin(F.col("p_retailprice")) * 0.1).alias("d0"))
+    seams = t.part.select((k * 10 + 1).alias("n1"), (k * 10 + 2).alias("n2"), (F.sin(F.col("p_retailprice")) * 0.1).alias("d0"))
     e = part_edges(t).withColumn("l", F.explode(F.array(F.lit(1), F.lit(2))))
     smooth = e.select((F.col("f1") * 10 + F.col("l")).alias("n1"), (F.col("f2") * 10 + F.col("l")).alias("n2"))
-    out, _ = gp.level_seams(nodes, seams, smooth, tolerance=1e-3)
+    out, _ = gp.level_seams(nodes, seams, smooth)
     return out.select("node", F.round("d0", 3).alias("d0"))
 
 
