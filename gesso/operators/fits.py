@@ -151,19 +151,24 @@ def nlls_fit(
     return gauss_newton(df, start, lambda p: model(p) - F.col(y), gradient, lower, upper, rounds)
 
 
-def refine_lights(obs: DataFrame, lights: DataFrame, keys: Sequence[str], rounds: int = 3) -> DataFrame:
+def refine_lights(
+    obs: DataFrame, lights: DataFrame, keys: Sequence[str], rounds: int | None = None, tolerance: float = 1e-4, max_rounds: int = 2000
+) -> DataFrame:
     """Alternate surface and light directions.
 
     Given the surface, each light direction is a linear least-squares problem
     (intensity = b . l), then brought back to unit length; given the lights,
-    the surface is refitted. Directions per light are one aggregate.
+    the surface is refitted. Directions per light are one aggregate. The rounds
+    go on until no component of a direction changes by more than ``tolerance``,
+    and raise after ``max_rounds``; ``rounds`` asks for so many instead.
     """
     from gesso.operators import relief
     from gesso.operators.scans import least_squares
     from gesso.session import cut
 
-    current = lights.select("light_id", "lx", "ly", "lz")
-    for _ in range(rounds):
+    axes = ("lx", "ly", "lz")
+    current = lights.select("light_id", *axes)
+    for _ in range(max_rounds if rounds is None else rounds):
         s = relief.photometric_stereo(obs, current, keys)
         b = s.select(*keys, *[(F.col("rho") * F.col(n)).alias(f"b{i}") for i, n in enumerate(("nx", "ny", "nz"))])
         rows = obs.join(b.where(F.col("b0").isNotNull()), list(keys))
@@ -171,5 +176,13 @@ def refine_lights(obs: DataFrame, lights: DataFrame, keys: Sequence[str], rounds
         n = F.sqrt(F.aggregate("coef", F.lit(0.0), lambda a, v: a + v * v))
         fresh = fit.select("light_id", *[F.try_divide(F.col("coef")[i], n).alias(f"_f{i}") for i in range(3)])
         merged = current.join(fresh, "light_id", "left")
-        current = cut(merged.select("light_id", *[F.coalesce(f"_f{i}", a).alias(a) for i, a in enumerate(("lx", "ly", "lz"))]))
+        moved = F.greatest(*[F.abs(F.coalesce(f"_f{i}", a) - F.col(a)) for i, a in enumerate(axes)])
+        fitted = cut(merged.select("light_id", *[F.coalesce(f"_f{i}", a).alias(a) for i, a in enumerate(axes)], moved.alias("_moved")))
+        current = fitted.drop("_moved")
+        if rounds is None:
+            change = fitted.agg(F.max("_moved")).first()[0]
+            if change is None or change <= tolerance:
+                return current
+    if rounds is None:
+        raise RuntimeError(f"light directions still change by {change} after {max_rounds} rounds")
     return current

@@ -267,5 +267,5 @@ def g17(t):
 
 @query("G16_refine_lights")
 def g16(t):
-    out = fits.refine_lights(observations(t), lights(t), ["pixel"], 2)
+    out = fits.refine_lights(observations(t), lights(t), ["pixel"])
     return out.select("light_id", *rounded(4, lx=F.col("lx"), ly=F.col("ly"), lz=F.col("lz")))
