@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gesso.llm import bpe, hash_tree, html_layout, mixing, pii, pivot_index, quality_table, secret_scan, simhash, token_rollup
+from gesso.llm import alignment, bpe, hash_tree, html_layout, mixing, pii, pivot_index, prefix_trie, quality_table, secret_scan, simhash, token_rollup
 from gesso.registry import Tables, query
 from gesso.session import scratch_path
 
 TREE = hash_tree.even_tree(8)
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op1_pii")
@@ -208,3 +209,46 @@ def op9(t: Tables) -> DataFrame:
 @query("op10_secrets")
 def op10(t: Tables) -> DataFrame:
     return secret_scan.secret_digests(t.documents)
+
+
+@query("op12_token_alignment")
+def op12(t: Tables) -> DataFrame:
+    return alignment.align_documents(t.documents, VOCABULARY, PIECE_MODEL)
+
+
+OP13 = f"""
+with o as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as position
+  from conversations where conv_id is not null),
+t as (select {_crc_table()}::bigint[] as t),
+ids as (
+  select conv_id, conv_id - conv_id % 5 as base,
+         xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(conv_id::varchar), '..'), lambda x: ('0x' || x)::bigint)),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 9 as h
+  from (select distinct conv_id from o), t),
+r as (
+  select ids.conv_id, position, role, text from ids join o on o.conv_id = base where position < h
+  union all
+  select ids.conv_id, position, role, text from ids join o on o.conv_id = ids.conv_id where position >= h),
+p0 as (
+  select conv_id, row_number() over w as depth, string_agg(md5(strlen(role) || ':' || role || text), '') over w as path, strlen(text) as bytes
+  from r window w as (partition by conv_id order by position rows unbounded preceding)),
+p as (select conv_id, depth, path, bytes from p0 union all select conv_id, 0, '', 0 from ids),
+n as (select path, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(bytes) as saved from p group by path),
+k as (select left(path, length(path) - 32) as path, count(*) as n_children from n where depth > 0 group by all),
+s as (
+  select p.path, count(*) filter (where k.path is null) as n_leaves, sum(n.saved) as saved_tokens
+  from n left join k on k.path = n.path join p on p.conv_id = n.conv_id and p.depth <= n.depth group by p.path),
+e as (
+  select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends
+  from (select conv_id, arg_max(path, depth) as path from p group by conv_id) group by path)
+select n.conv_id, n.depth::bigint as depth, q.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, coalesce(k.n_children, 0)::bigint as n_children,
+       s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, coalesce(e.ends, sha256('')) as ends_sha256
+from n left join n q on n.depth > 0 and q.path = left(n.path, length(n.path) - 32) left join k on k.path = n.path join s on s.path = n.path left join e on e.path = n.path
+"""
+
+
+@query("op13_prefix_trie", OP13)
+def op13(t: Tables) -> DataFrame:
+    return prefix_trie.prefix_trie(t.conversations)
