@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gesso.llm import alignment, bpe, hash_tree, html_layout, mixing, pii, pivot_index, prefix_trie, quality_table, secret_scan, simhash, token_rollup
+from gesso.llm import alignment, bpe, hash_tree, html_layout, mixing, pii, pivot_index, prefix_trie, quality_table, secret_scan, simhash, suffix_dedup, token_rollup
 from gesso.registry import Tables, query
 from gesso.session import scratch_path
 
@@ -211,6 +211,33 @@ def op10(t: Tables) -> DataFrame:
     return secret_scan.secret_digests(t.documents)
 
 
+OP11 = """
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, hex(coalesce(text, '')) as x from documents),
+parts as (
+  select r, doc_id, k, substr(x, 2 * k + 1, 498) as x
+  from (select r, doc_id, x, unnest(generate_series(0, (length(x) // 2 - 50)::int, 200)) as k from d where length(x) >= 100)),
+w as (
+  select r, coalesce(doc_id, 9223372036854775807::bigint) as place, k + i as s, md5_number(substr(x, 2 * i + 1, 100)) as window_
+  from (select *, unnest(generate_series(0, least(199, length(x) // 2 - 50)::int)) as i from parts)),
+c as (select window_, min(place) as low from w group by window_ having min(place) < max(place)),
+g as (select r, s, s - lag(s, 1, -1000) over (partition by r order by s) as step from w join c using (window_) where low < place),
+runs as (select r, s, sum(case when step > 50 then 1 else 0 end) over (partition by r order by s) as run from g),
+spans as (select r, min(s) as a, max(s) + 50 as b from runs group by r, run),
+ends as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) as before from spans),
+cut as (
+  select ends.r, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as kept, max(b) as tail
+  from ends join d on d.r = ends.r group by ends.r)
+select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(case when cut.r is null then unhex(x) else unhex(kept || substr(x, 2 * tail + 1)) end) as kept_sha256
+from d left join cut on cut.r = d.r
+"""
+
+
+@query("op11_suffix_dedup", OP11)
+def op11(t: Tables) -> DataFrame:
+    return suffix_dedup.remove_repeats(t.documents)
+
+
 @query("op12_token_alignment")
 def op12(t: Tables) -> DataFrame:
     return alignment.align_documents(t.documents, VOCABULARY, PIECE_MODEL)
