@@ -72,15 +72,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+#: has Spark delete a query's shuffle files when it ends instead of when the driver next collects garbage
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, name: str = "kept", tidy: bool = False) -> DataFrame:
     """Write ``df`` as parquet below the shared folder and read it back.
 
     Unlike a checkpoint the table is columnar, compressed and pruned when
-    read; like one it cuts the lineage and outlives a lost executor.
+    read; like one it cuts the lineage and outlives a lost executor. With
+    ``tidy`` the shuffle files of the writing query go when it ends: for jobs
+    whose stages each shuffle a good part of the input.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(TIDY, "false")
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(TIDY, before)
+    kept = spark.read.schema(df.schema).parquet(path)
     kept._is_cut = True
     kept._kept_at = path
     return kept
