@@ -240,19 +240,19 @@ def repeated_spans(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> Dat
     texts = docs.select(*_key(), "text").where(F.octet_length("text") >= LENGTH)
     names = texts.select("place", "text").mapInArrow(_first_names, "name long, low long, high long, n long")
     counted = names.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    shared = keep(counted.where(F.col("low") < F.col("high")).select("name", "n"), "names")
+    shared = keep(counted.where(F.col("low") < F.col("high")).select("name", "n"), "names", tidy=True)
     total = shared.agg(F.sum("n")).first()[0] or 0
     buckets = -(-total // bucket) or 1
     spots = texts.mapInArrow(_positions, "name long, place long, row long, at long").join(shared, "name")
-    listed = keep(spots.groupBy("place", "row").agg(F.collect_set(F.struct("name", "at", "n")).alias("spots")), "spots")
+    listed = keep(spots.groupBy("place", "row").agg(F.collect_set(F.struct("name", "at", "n")).alias("spots")), "spots", tidy=True)
     fields = "bucket long, name long, place long, row long, start long, covered binary, hot boolean"
     covered = listed.join(texts, ["place", "row"]).mapInArrow(_covered(hot, buckets), fields)
     if total > hot:
-        covered = keep(covered, "covered")
+        covered = keep(covered, "covered", tidy=True)
     decided = covered.where(~F.col("hot")).groupBy("bucket").applyInArrow(_decide, "place long, row long, span long")
     if total > hot:
         decided = decided.union(_hot_spans(covered.where("hot")))
-    return keep(decided.groupBy("place", "row").agg(F.collect_set("span").alias("spans")), "spans")
+    return keep(decided.groupBy("place", "row").agg(F.collect_set("span").alias("spans")), "spans", tidy=True)
 
 
 def _digest(text: bytes, spans: list[int] | None) -> tuple[int, int, int, str]:
