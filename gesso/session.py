@@ -81,8 +81,9 @@ def keep(df: DataFrame, name: str = "kept", tidy: bool = False) -> DataFrame:
 
     Unlike a checkpoint the table is columnar, compressed and pruned when
     read; like one it cuts the lineage and outlives a lost executor. With
-    ``tidy`` the shuffle files of the writing query go when it ends: for jobs
-    whose stages each shuffle a good part of the input.
+    ``tidy`` the shuffle files of the writing query go when it ends, and the
+    table is packed tighter: for jobs whose stages each shuffle a good part
+    of the input.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -90,7 +91,7 @@ def keep(df: DataFrame, name: str = "kept", tidy: bool = False) -> DataFrame:
     try:
         if tidy:
             spark.conf.set(TIDY, "true")
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd" if tidy else None)
     finally:
         if tidy:
             spark.conf.set(TIDY, before)
