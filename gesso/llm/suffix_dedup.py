@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gesso.llm.spans import runs
-from gesso.session import keep
+from gesso.session import forget, keep
 
 LENGTH, SEED = 50, 18
 #: rows of a bucket, and places of a name beyond which it is no bucket's
@@ -245,14 +245,18 @@ def repeated_spans(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> Dat
     buckets = -(-total // bucket) or 1
     spots = texts.mapInArrow(_positions, "name long, place long, row long, at long").join(shared, "name")
     listed = keep(spots.groupBy("place", "row").agg(F.collect_set(F.struct("name", "at", "n")).alias("spots")), "spots", tidy=True)
+    forget(shared)
     fields = "bucket long, name long, place long, row long, start long, covered binary, hot boolean"
     covered = listed.join(texts, ["place", "row"]).mapInArrow(_covered(hot, buckets), fields)
     if total > hot:
         covered = keep(covered, "covered", tidy=True)
+        forget(listed)
     decided = covered.where(~F.col("hot")).groupBy("bucket").applyInArrow(_decide, "place long, row long, span long")
     if total > hot:
         decided = decided.union(_hot_spans(covered.where("hot")))
-    return keep(decided.groupBy("place", "row").agg(F.collect_set("span").alias("spans")), "spans", tidy=True)
+    spans = keep(decided.groupBy("place", "row").agg(F.collect_set("span").alias("spans")), "spans", tidy=True)
+    forget(covered)
+    return spans
 
 
 def _digest(text: bytes, spans: list[int] | None) -> tuple[int, int, int, str]:
