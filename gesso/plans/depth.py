@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gesso.operators import grid as gr
-from gesso.session import cut
+from gesso.plans import tiles
 
 STRIP = 32
 
@@ -146,242 +146,13 @@ def integrate_dct(grad: DataFrame, strip: int = STRIP, tile: int = gr.TILE) -> D
 # -- sparse solver ----------------------------------------------------------------------
 
 
-def _equations(grad: DataFrame, tile: int) -> DataFrame:
-    """Per valid pixel: links er, el, ed, eu to valid neighbours and the right
-    side b of sum (z - z_neighbour) = b."""
-    g = gr.halo(grad.select(*gr.KEY, "p", "q", "valid"), 1, 1, "none", tile)
-    ok = F.col("valid")
-    both = {}
-    for name, shifted in (("er", gr.at_x("valid", 1)), ("el", gr.at_x("valid", -1)), ("ed", gr.at_y("valid", 1)), ("eu", gr.at_y("valid", -1))):
-        both[name] = F.when(ok & F.coalesce(shifted, F.lit(False)), 1).otherwise(0)
-    g = g.withColumns({**both, "_pl": F.coalesce(gr.at_x("p", -1), F.lit(0.0)), "_qu": F.coalesce(gr.at_y("q", -1), F.lit(0.0))})
-    b = F.col("el") * F.col("_pl") - F.col("er") * F.col("p") + F.col("eu") * F.col("_qu") - F.col("ed") * F.col("q")
-    return g.where("_core").select(*gr.KEY, "_h", "_w", "valid", "er", "el", "ed", "eu", b.alias("b"))
-
-
-def _apply(x: np.ndarray, links: tuple, sides: dict | None = None) -> np.ndarray:
-    """Five-point operator on a tile; ``sides`` holds neighbour tile borders."""
-    er, el, ed, eu = links
-    y = (er + el + ed + eu) * x
-    y[:, :-1] -= er[:, :-1] * x[:, 1:]
-    y[:, 1:] -= el[:, 1:] * x[:, :-1]
-    y[:-1] -= ed[:-1] * x[1:]
-    y[1:] -= eu[1:] * x[:-1]
-    if sides:
-        if sides.get("right") is not None:
-            y[:, -1] -= er[:, -1] * sides["right"]
-        if sides.get("left") is not None:
-            y[:, 0] -= el[:, 0] * sides["left"]
-        if sides.get("down") is not None:
-            y[-1] -= ed[-1] * sides["down"]
-        if sides.get("up") is not None:
-            y[0] -= eu[0] * sides["up"]
-    return y
-
-
-def _local_solve(r: np.ndarray, links: tuple, tolerance: float = 1e-9, limit: int = 3000) -> np.ndarray:
-    """Tile system with zero outside, by conjugate gradients."""
-    x, res = np.zeros_like(r), r.copy()
-    p = res.copy()
-    rr = float((res * res).sum())
-    stop = tolerance**2 * max(rr, 1e-300)
-    for _ in range(limit):
-        if rr <= stop:
-            break
-        ap = _apply(p, links)
-        curve = float((p * ap).sum())
-        if curve <= 0:
-            break
-        a = rr / curve
-        x += a * p
-        res -= a * ap
-        new = float((res * res).sum())
-        p = res + (new / rr) * p
-        rr = new
-    return x
-
-
-_STATE = "image_id {k}, ty int, tx int, ny int, nx int, links binary, x binary, r binary, z binary, p binary"
-
-
-def _pack(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a, dtype=np.float64).tobytes()
-
-
-def _links(raw: bytes, ny: int, nx: int) -> tuple:
-    return tuple(np.frombuffer(raw, dtype=np.uint8).reshape(4, ny, nx).astype(np.float64))
-
-
-def _open(raw: bytes, ny: int, nx: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.float64).reshape(-1, ny, nx).copy()
-
-
-def integrate_poisson(
-    grad: DataFrame, tile: int = 256, tolerance: float = 1e-5, max_steps: int = 5000
-) -> tuple[DataFrame, int, float]:
+def integrate_poisson(grad: DataFrame, tile: int = 256, tolerance: float = 1e-5, max_steps: int = 2000) -> tuple[DataFrame, int, float]:
     """Depth of masked gradients (p, q, valid): least squares over the links
     between valid neighbours, natural borders, minimum of each image at 0.
+    Returns (depth, steps, relative residual); see ``tiles.conjugate_gradients``."""
+    return tiles.conjugate_gradients(grad, tile, tolerance, max_steps)
 
-    Conjugate gradients over all images at once, one row per tile. A step
-    exchanges tile borders only; the preconditioner solves each tile exactly.
-    Returns (depth, steps, relative residual).
-    """
-    kind = _kind(grad)
-    eq = _equations(grad, max(tile, gr.TILE)).withColumns({"_ty": F.floor(F.col("y") / tile).cast("int"), "_tx": F.floor(F.col("x") / tile).cast("int")})
-    schema = _STATE.format(k=kind)
-
-    def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(pdf["_ty"].iloc[0]), int(pdf["_tx"].iloc[0])
-        ny = min(tile, int(pdf["_h"].iloc[0]) - ty * tile)
-        nx = min(tile, int(pdf["_w"].iloc[0]) - tx * tile)
-        planes = np.zeros((5, ny, nx))
-        iy, ix = pdf["y"].to_numpy() - ty * tile, pdf["x"].to_numpy() - tx * tile
-        for i, c in enumerate(("er", "el", "ed", "eu", "b")):
-            planes[i, iy, ix] = pdf[c].to_numpy()
-        b = planes[4]
-        z = _local_solve(b, tuple(planes[:4]))
-        return pd.DataFrame([[pdf["image_id"].iloc[0], ty, tx, ny, nx, planes[:4].astype(np.uint8).tobytes(), _pack(0 * b), _pack(b), _pack(z), _pack(z)]],
-                            columns=["image_id", "ty", "tx", "ny", "nx", "links", "x", "r", "z", "p"])
-
-    state = cut(eq.groupBy("image_id", "_ty", "_tx").applyInPandas(start, schema))
-
-    @F.pandas_udf("double")
-    def dot(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(np.frombuffer(u) @ np.frombuffer(v)) for u, v in zip(a, b)])
 
-    @F.pandas_udf("array<struct<ty:int,tx:int,side:string,strip:binary>>")
-    def borders(ty: pd.Series, tx: pd.Series, ny: pd.Series, nx: pd.Series, p: pd.Series) -> pd.Series:
-        out = []
-        for a, b, n, m, raw in zip(ty, tx, ny, nx, p):
-            q = _open(raw, n, m)[0]
-            out.append([
-                {"ty": a, "tx": b - 1, "side": "right", "strip": _pack(q[:, 0])}, {"ty": a, "tx": b + 1, "side": "left", "strip": _pack(q[:, -1])},
-                {"ty": a - 1, "tx": b, "side": "down", "strip": _pack(q[0])}, {"ty": a + 1, "tx": b, "side": "up", "strip": _pack(q[-1])},
-            ])
-        return pd.Series(out)
-
-    sides = ("right", "left", "down", "up")
-
-    @F.pandas_udf("binary")
-    def times(ny: pd.Series, nx: pd.Series, links: pd.Series, p: pd.Series, right: pd.Series, left: pd.Series, down: pd.Series, up: pd.Series) -> pd.Series:
-        out = []
-        for n, m, l, raw, *strips in zip(ny, nx, links, p, right, left, down, up):
-            near = {s: None if v is None else np.frombuffer(v) for s, v in zip(sides, strips)}
-            out.append(_pack(_apply(_open(raw, n, m)[0], _links(l, n, m), near)))
-        return pd.Series(out)
-
-    @F.pandas_udf("binary")
-    def combine(a: pd.Series, b: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([(np.frombuffer(u) + k * np.frombuffer(v)).tobytes() for u, v, k in zip(a, b, f)])
-
-    @F.pandas_udf("binary")
-    def precondition(ny: pd.Series, nx: pd.Series, links: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([_pack(_local_solve(_open(v, n, m)[0], _links(l, n, m))) for n, m, l, v in zip(ny, nx, links, r)])
-
-    first = state.agg(F.sum(dot("r", "z")).alias("rz"), F.sum(dot("r", "r")).alias("rr")).first()
-    rz, rr0 = first["rz"] or 0.0, first["rr"] or 0.0
-    rr, steps = rr0, 0
-    while steps < max_steps and rr > tolerance**2 * rr0 and rz > 0:
-        strips = state.select("image_id", F.explode(borders("ty", "tx", "ny", "nx", "p")).alias("s")).select("image_id", "s.*")
-        packed = strips.groupBy("image_id", "ty", "tx").agg(*[F.max(F.when(F.col("side") == s, F.col("strip"))).alias(s) for s in sides])
-        moved = state.join(packed, ["image_id", "ty", "tx"], "left").withColumn("ap", times("ny", "nx", "links", "p", *sides)).drop(*sides)
-        moved = cut(moved)
-        curve = moved.agg(F.sum(dot("p", "ap"))).first()[0]
-        if not curve or curve <= 0:
-            break
-        alpha = rz / curve
-        fresh = moved.withColumns({"x": combine("x", "p", F.lit(alpha)), "r": combine("r", "ap", F.lit(-alpha))}).drop("ap")
-        fresh = cut(fresh.withColumn("z", precondition("ny", "nx", "links", "r")))
-        got = fresh.agg(F.sum(dot("r", "z")).alias("rz"), F.sum(dot("r", "r")).alias("rr")).first()
-        beta, rz, rr = got["rz"] / rz, got["rz"], got["rr"]
-        state = fresh.withColumn("p", combine("z", "p", F.lit(beta)))
-        steps += 1
-    if steps >= max_steps and rr > tolerance**2 * rr0:
-        raise RuntimeError(f"residual {np.sqrt(rr / rr0):.3g} after {steps} steps")
-
-    def unfold(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x = _open(row.x, row.ny, row.nx)[0]
-                yy, xx = np.mgrid[0 : row.ny, 0 : row.nx]
-                yield pd.DataFrame({"image_id": row.image_id, "y": yy.ravel() + row.ty * tile, "x": xx.ravel() + row.tx * tile, "z": x.ravel()})
-
-    depth = state.select("image_id", "ty", "tx", "ny", "nx", "x").mapInPandas(unfold, f"image_id {kind}, y int, x int, z double")
-    depth = depth.join(grad.where("valid").select(*gr.KEY), gr.KEY, "left_semi")
-    low = depth.groupBy("image_id").agg(F.min("z").alias("_lo"))
-    out = gr.attach(depth, low, ["image_id"]).select(*gr.KEY, (F.col("z") - F.col("_lo")).alias("z"))
-    return out, steps, float(np.sqrt(rr / rr0)) if rr0 > 0 else 0.0
-
-
-def integrate_poisson_tiled(grad: DataFrame, tile: int = 4096, overlap: int = 256, sweeps: int = 3, relax: float = 1.0) -> DataFrame:
-    """Overlapping tiles, each solved with the current values around it.
-
-    All tiles of a sweep use the values of the previous sweep, so the result
-    does not depend on an order; it takes more sweeps than updating in turn.
-    """
-    kind = _kind(grad)
-    eq = cut(_equations(grad, gr.TILE).select(*gr.KEY, "valid", "er", "el", "ed", "eu", "b", F.lit(0.0).alias("z")))
-    columns = ["image_id", "y", "x", "valid", "er", "el", "ed", "eu", "b", "z"]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
-        iy, ix = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
-        planes = np.zeros((6, iy.max() + 1, ix.max() + 1))
-        for i, c in enumerate(("er", "el", "ed", "eu", "b", "z")):
-            planes[i, iy, ix] = pdf[c].to_numpy()
-        # the outermost margin line keeps its value; inside it is solved
-        touch = pdf["_edge"].to_numpy()
-        fixed = np.zeros(planes.shape[1:], bool)
-        fixed[iy[touch], ix[touch]] = True
-        z = planes[5]
-        links = tuple(planes[:4])
-        held = np.where(fixed, z, 0.0)
-        new = np.where(fixed, z, _masked_solve(planes[4] - _apply(held, links), fixed, links))
-        inner = pdf["_core"].to_numpy()
-        out = pdf.loc[inner, columns].copy()
-        got = new[iy[inner], ix[inner]]
-        out["z"] = (1 - relax) * out["z"].to_numpy() + relax * got
-        return out
-
-    schema = f"image_id {kind}, y int, x int, valid boolean, er int, el int, ed int, eu int, b double, z double"
-    for _ in range(sweeps):
-        h = gr.halo(eq, overlap, overlap, "none", tile)
-        size = max(tile, 2 * max(overlap, 1))
-        edge = F.lit(False)
-        for a, k, s in (("y", "_ty", "_h"), ("x", "_tx", "_w")):
-            low, high = F.col(k) * size - overlap, F.col(k) * size + size - 1 + overlap
-            edge = edge | ((F.col(a) == low) & (low > 0)) | ((F.col(a) == high) & (high < F.col(s) - 1))
-        eq = cut(h.withColumn("_edge", edge).select(*columns, "_core", "_edge", "_ty", "_tx").groupBy("image_id", "_ty", "_tx").applyInPandas(solve, schema))
-    low = eq.where("valid").groupBy("image_id").agg(F.min("z").alias("_lo"))
-    return gr.attach(eq.where("valid"), low, ["image_id"]).select(*gr.KEY, (F.col("z") - F.col("_lo")).alias("z"))
-
-
-def _masked_solve(rhs: np.ndarray, fixed: np.ndarray, links: tuple, tolerance: float = 1e-9, limit: int = 5000) -> np.ndarray:
-    """Conjugate gradients on the free pixels; links to fixed ones count in
-    the diagonal only."""
-    free = ~fixed
-
-    def op(v: np.ndarray) -> np.ndarray:
-        return _apply(v * free, links) * free
-
-    x, r = np.zeros_like(rhs), rhs * free
-    p = r.copy()
-    rr = float((r * r).sum())
-    stop = tolerance**2 * max(rr, 1e-300)
-    for _ in range(limit):
-        if rr <= stop:
-            break
-        ap = op(p)
-        curve = float((p * ap).sum())
-        if curve <= 0:
-            break
-        a = rr / curve
-        x += a * p
-        r -= a * ap
-        new = float((r * r).sum())
-        p = r + (new / rr) * p
-        rr = new
-    else:
-        if rr > stop:
-            raise RuntimeError(f"a tile is not solved after {limit} steps")
-    return x
+def integrate_poisson_tiled(grad: DataFrame, tile: int = 4096, overlap: int = 256, tolerance: float = 1e-5, max_sweeps: int = 500, relax: float = 1.0) -> tuple[DataFrame, int, float]:
+    """The same by sweeps over overlapping tiles: (depth, sweeps, relative residual); see ``tiles.schwarz_sweeps``."""
+    return tiles.schwarz_sweeps(grad, tile, overlap, tolerance, max_sweeps, relax)

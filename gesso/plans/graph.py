@@ -6,10 +6,11 @@ plans stay short and survive lost executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gesso.operators import grid as gr
@@ -98,22 +99,101 @@ def label_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return used.join(comp.withColumnRenamed("node", "face"), "face")
 
 
+def region_labels(mask: np.ndarray) -> np.ndarray:
+    """4-connected regions of a plane: 0 outside, regions numbered from 1; runs of pixels are united, not pixels."""
+    h, w = mask.shape
+    padded = np.zeros((h, w + 2), np.int8)
+    padded[:, 1:-1] = mask
+    step = np.diff(padded, axis=1)
+    row, start = np.nonzero(step == 1)
+    stop = np.nonzero(step == -1)[1]
+    n = len(row)
+    if not n:
+        return np.zeros((h, w), np.int32)
+    # runs of the next row that a run touches: those that end after its start and start before its end
+    width = w + 1
+    lo = np.searchsorted(row * width + stop, (row + 1) * width + start, "right")
+    hi = np.searchsorted(row * width + start, (row + 1) * width + stop, "left")
+    times = np.maximum(hi - lo, 0)
+    u = np.repeat(np.arange(n), times)
+    v = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+    part = np.arange(n)
+    while True:
+        low = part.copy()
+        for a, b in ((u, v), (v, u)):
+            np.minimum.at(low, part[a], part[b])
+            np.minimum.at(low, a, part[b])
+        low = low[low]
+        if (low == part).all():
+            break
+        part = low
+    number = np.unique(part, return_inverse=True)[1] + 1
+    out = np.zeros((h, w), np.int32)
+    flat = np.repeat(row * w + start, stop - start) + np.arange((stop - start).sum()) - np.repeat(np.cumsum(stop - start) - (stop - start), stop - start)
+    out.ravel()[flat] = np.repeat(number, stop - start)
+    return out
+
+
 def valid_region(pixels: DataFrame, value: str, tile: int = gr.TILE) -> DataFrame:
     """Pixels that belong to the picture: not black background joined to an
-    image corner, one pixel away from it and from the border. Adds ``valid``."""
+    image corner, one pixel away from it and from the border. Adds ``valid``.
+
+    Black regions are labelled inside tiles; the graph that joins them has a
+    node for each region at a tile border only, so it grows with the borders
+    and not with the black area.
+    """
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    size = gr.tile_for(tile, 1)
     sized = gr.with_dims(pixels.select(*gr.KEY, F.col(value).alias("_v")))
-    node = F.col("y").cast("bigint") * F.col("_w") + F.col("x")
-    sized = sized.withColumn("node", F.struct("image_id", node.alias("n")))
-    black = keep(sized.where("_v = 0").select(*gr.KEY, "_h", "_w", "node"))
-    right = black.select("image_id", "y", (F.col("x") - 1).alias("x"), F.col("node").alias("f2"))
-    down = black.select("image_id", (F.col("y") - 1).alias("y"), "x", F.col("node").alias("f2"))
-    edges = black.join(right.unionByName(down), gr.KEY).select(F.col("node").alias("f1"), "f2")
-    comp = connected_components(black.select("node"), edges)
-    corner = F.col("y").isin(0) | (F.col("y") == F.col("_h") - 1)
-    corner = corner & ((F.col("x") == 0) | (F.col("x") == F.col("_w") - 1))
-    seeds = black.where(corner).select("node").join(comp, "node").select("component").distinct()
-    back = comp.join(seeds, "component", "left_semi").select("node", F.lit(True).alias("_bg"))
-    flags = sized.join(back, "node", "left").select(*gr.KEY, "_h", "_w", F.when(F.col("_bg"), 1).otherwise(0).alias("_b"))
+    sized = sized.withColumns({"_ty": F.floor(F.col("y") / size).cast("int"), "_tx": F.floor(F.col("x") / size).cast("int")})
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx, h, w = (int(pdf[c].iloc[0]) for c in ("_ty", "_tx", "_h", "_w"))
+        y0, x0 = ty * size, tx * size
+        ny, nx = min(size, h - y0), min(size, w - x0)
+        there, black = np.zeros((ny, nx), bool), np.zeros((ny, nx), bool)
+        iy, ix = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
+        there[iy, ix], black[iy, ix] = True, pdf["_v"].to_numpy() == 0
+        found = region_labels(black)
+        corners = {int(found[y - y0, x - x0]) for y in (0, h - 1) for x in (0, w - 1) if y0 <= y < y0 + ny and x0 <= x < x0 + nx} - {0}
+        first = (ty * (w // size + 1) + tx) << 32
+        name = lambda line: [first + int(k) if k else None for k in line]
+        row = [pdf["image_id"].iloc[0], ty, tx, ny, nx, h, w, found.tobytes(), there.tobytes(), [first + k for k in sorted(corners)]]
+        return pd.DataFrame([[*row, name(found[0]), name(found[-1]), name(found[:, 0]), name(found[:, -1])]], columns=columns)
+
+    columns = ["image_id", "_ty", "_tx", "ny", "nx", "_h", "_w", "labels", "there", "corners", "north", "south", "west", "east"]
+    schema = f"image_id {kind}, _ty int, _tx int, ny int, nx int, _h int, _w int, labels binary, there binary, corners array<long>, north array<long>, south array<long>, west array<long>, east array<long>"
+    tiles = keep(sized.groupBy("image_id", "_ty", "_tx").applyInPandas(label, schema), "labels")
+
+    def line(side: str, ty: Column, tx: Column, axis: str, name: str) -> DataFrame:
+        rows = tiles.select("image_id", ty.alias("by"), tx.alias("bx"), F.lit(axis).alias("axis"), F.posexplode(side).alias("at", "n"))
+        return rows.where("n IS NOT NULL").select("image_id", "by", "bx", "axis", "at", F.struct("image_id", "n").alias(name))
+
+    ty, tx, key = F.col("_ty"), F.col("_tx"), ["image_id", "by", "bx", "axis", "at"]
+    one = line("east", ty, tx, "x", "f1").unionByName(line("south", ty, tx, "y", "f1"))
+    two = line("west", ty, tx - 1, "x", "f2").unionByName(line("north", ty - 1, tx, "y", "f2"))
+    edges = keep(one.join(two, key).select("f1", "f2").distinct(), "links")
+    seeds = keep(tiles.select("image_id", F.explode("corners").alias("n")).select(F.struct("image_id", "n").alias("node")), "seeds")
+    nodes = edges.select(F.col("f1").alias("node")).unionByName(edges.select(F.col("f2").alias("node"))).unionByName(seeds).distinct()
+    comp = connected_components(nodes, edges)
+    back = comp.join(comp.join(seeds, "node", "left_semi").select("component").distinct(), "component", "left_semi")
+    # the labels of a tile that are background: at most as many as its border has pixels, and its corners
+    width = F.floor(F.col("_w") / size) + 1
+    owned = tiles.select("image_id", "_ty", "_tx", (ty * width + tx).cast("bigint").alias("_tile"))
+    marks = back.select(F.col("node.image_id").alias("image_id"), F.shiftright("node.n", 32).alias("_tile"), F.col("node.n").bitwiseAND((1 << 32) - 1).cast("int").alias("k"))
+    marks = marks.groupBy("image_id", "_tile").agg(F.collect_set("k").alias("back")).join(owned, ["image_id", "_tile"]).drop("_tile")
+
+    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                found = np.frombuffer(t.labels, np.int32).reshape(t.ny, t.nx)
+                there = np.frombuffer(t.there, bool).reshape(t.ny, t.nx)
+                marked = np.isin(found, t.back) if t.back is not None else np.zeros(found.shape, bool)
+                yy, xx = np.nonzero(there)
+                yield pd.DataFrame({"image_id": t.image_id, "y": yy + t.ty * size, "x": xx + t.tx * size, "_h": t.h, "_w": t.w, "_b": marked[there].astype(np.int32)})
+
+    drawn = tiles.join(marks, ["image_id", "_ty", "_tx"], "left").select("image_id", F.col("_ty").alias("ty"), F.col("_tx").alias("tx"), "ny", "nx", F.col("_h").alias("h"), F.col("_w").alias("w"), "labels", "there", "back")
+    flags = drawn.mapInPandas(unfold, f"image_id {kind}, y int, x int, _h int, _w int, _b int")
     h = gr.halo(flags, 1, 1, "none", tile)
     near = F.max("_b").over(gr.along_x().rangeBetween(-1, 1))
     h = h.withColumn("_n", near).withColumn("_n", F.max("_n").over(gr.along_y().rangeBetween(-1, 1)))

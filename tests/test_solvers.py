@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gesso.operators.texture import cheapest_view
 from gesso.plans import depth as dp
 from gesso.plans import graph as gp
+from gesso.plans import tiles
 
 
 def grad_frame(spark, p, q, ok=None):
@@ -70,15 +71,42 @@ def test_masked_poisson_matches_dense_least_squares(spark, rng, tile):
     assert res < 1e-8 and (steps <= 2 if tile == 64 else steps < 60)
 
 
-def test_tiled_sweeps_approach_the_exact_depth(spark):
-    y, x = np.mgrid[0:20, 0:20]
-    z = 1 - ((x - 10) / 10) ** 2 - ((y - 10) / 10) ** 2
-    df = grad_frame(spark, *forward(z))
-    errors = []
-    for sweeps in (1, 6):
-        got = to_plane(dp.integrate_poisson_tiled(df, tile=12, overlap=5, sweeps=sweeps), "z", z.shape)
-        errors.append(np.abs((got - got.mean()) - (z - z.mean())).max())
-    assert errors[1] < 0.5 * errors[0]
+def test_tiled_sweeps_equal_the_steps(spark, rng):
+    y, x = np.mgrid[0:22, 0:25]
+    ok = (y - 12) ** 2 + (x - 10) ** 2 > 12
+    p, q = rng.normal(size=ok.shape), rng.normal(size=ok.shape)
+    df = grad_frame(spark, p, q, ok)
+    swept, sweeps, res = dp.integrate_poisson_tiled(df, tile=12, overlap=5, tolerance=1e-4)
+    stepped, _, _ = dp.integrate_poisson(df, tile=12, tolerance=1e-7)
+    a, b, want = to_plane(swept, "z", ok.shape), to_plane(stepped, "z", ok.shape), dense(p, q, ok)
+    assert res <= 1e-4 and sweeps > 0
+    assert np.allclose(b[ok] - b[ok].mean(), want[ok] - want[ok].mean(), atol=1e-5)
+    assert np.allclose(a[ok] - a[ok].mean(), want[ok] - want[ok].mean(), atol=1e-2)
+    left = tiles.residuals(df, swept).agg(F.max(F.abs("residual"))).first()[0]
+    assert left < 1e-2
+    with pytest.raises(RuntimeError, match="after 1 sweeps"):
+        dp.integrate_poisson_tiled(df, tile=12, overlap=5, tolerance=1e-9, max_sweeps=1)
+
+
+def test_steps_stay_flat_from_4_to_64_tiles(spark, rng):
+    steps = []
+    for side in (16, 64):
+        y, x = np.mgrid[0:side, 0:side]
+        p, q = np.sin(x / 5.0) + rng.normal(size=x.shape), np.cos(y / 7.0) + rng.normal(size=x.shape)
+        _, n, res = dp.integrate_poisson(grad_frame(spark, p, q), tile=8, tolerance=1e-3)
+        steps.append(n)
+        assert res <= 1e-3
+    assert steps[1] <= 1.3 * steps[0] + 2, steps
+
+
+def test_images_of_their_own_and_without_valid_pixels(spark, rng):
+    one, two = rng.normal(size=(2, 9, 9)), 50 * rng.normal(size=(2, 9, 9))
+    df = grad_frame(spark, *one).unionByName(grad_frame(spark, *two).withColumn("image_id", F.lit(1))).unionByName(grad_frame(spark, *one).withColumns({"image_id": F.lit(2), "valid": F.lit(False)}))
+    out, _, _ = dp.integrate_poisson(df, tile=5, tolerance=1e-7)
+    for i, (p, q) in enumerate((one, two)):
+        got, want = to_plane(out.where(F.col("image_id") == i), "z", p.shape), dense(p, q, np.ones(p.shape, bool))
+        assert np.allclose(got - got.mean(), want - want.mean(), atol=1e-4)
+    assert out.where("image_id = 2").count() == 0
 
 
 def test_labelling_lowers_the_energy_and_ends_stable(spark, rng):
@@ -118,6 +146,44 @@ def test_valid_region_drops_background_only(spark):
         assert r["valid"] == want, (r["y"], r["x"])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_region_labels_equal_a_flood_fill(seed):
+    mask = np.random.default_rng(seed).random((17, 23)) < 0.55
+    got, want, n = gp.region_labels(mask), np.zeros(mask.shape, int), 0
+    for start in zip(*np.nonzero(mask), strict=True):
+        if want[start]:
+            continue
+        n, stack = n + 1, [start]
+        while stack:
+            y, x = stack.pop()
+            if 0 <= y < 17 and 0 <= x < 23 and mask[y, x] and not want[y, x]:
+                want[y, x] = n
+                stack += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    assert ((got == 0) == (want == 0)).all() and got.max() == n
+    assert len(set(zip(got[mask], want[mask], strict=True))) == n
+
+
+def test_valid_region_follows_background_through_many_tiles(spark, rng):
+    p = np.ones((20, 26))
+    for k, y in enumerate(range(0, 20, 4)):  # a snake from one corner through all tiles
+        p[y] = 0
+        p[y : y + 5, 25 if k % 2 == 0 else 0] = 0
+    p[2, 10:14] = 0  # an island that no corner reaches
+    rows = [(i, y, x, float(p[y, x])) for i in (0, 1) for y in range(20) for x in range(26) if i == 0 or y < 3]
+    got = {(r["image_id"], r["y"], r["x"]): r["valid"] for r in gp.valid_region(spark.createDataFrame(rows, "image_id int, y int, x int, v double"), "v", 5).collect()}
+    for i, h in ((0, 20), (1, 3)):
+        dark, seen, stack = p[:h] == 0, set(), [(y, x) for y in (0, h - 1) for x in (0, 25)]
+        while stack:
+            y, x = stack.pop()
+            if 0 <= y < h and 0 <= x < 26 and dark[y, x] and (y, x) not in seen:
+                seen.add((y, x))
+                stack += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        for y in range(h):
+            for x in range(26):
+                near = any((y + a, x + b) in seen for a in (-1, 0, 1) for b in (-1, 0, 1))
+                assert got[i, y, x] == (not near and 0 < y < h - 1 and 0 < x < 25), (i, y, x)
+
+
 def test_seam_levelling_matches_dense_solution(spark, rng):
     nodes = list(range(12))
     seams = [(0, 6, 0.5), (2, 8, -0.25), (5, 11, 0.1)]
