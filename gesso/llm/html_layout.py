@@ -40,13 +40,17 @@ IMPLIED = {
     "body": ("head", "html"),
 }
 IMPLIED_SETS = {t: (frozenset(a.split()), frozenset(b.split())) for t, (a, b) in IMPLIED.items()}
+#: what a head may hold; any other start tag, and any text, ends it
+HEAD = frozenset("base basefont bgsound link meta title style script template noscript noframes html head".split())
+#: boxes (list items, quotes, cells, tables) drawn one in another; deeper ones go on without indents and columns of their own
+MOST_BOXES = 64
 #: what a paragraph ends at, and what an end tag doesn't reach beyond
 ENDS_P = (BLOCKS - frozenset("li dt dd tr thead tbody tfoot caption option optgroup html body".split())) | frozenset(["li", "dt", "dd"])
 SCOPE = frozenset("table td th caption html".split())
 
 #: as HTML's tokenizer: quotes delimit a value right after "=" only, elsewhere they belong to a name or an unquoted value
 _TAG = re.compile(
-    r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?|=)*+)>?)", re.S
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?|=)*+)>?)", re.S
 )
 _ATTRIBUTE = re.compile(r"(=?[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
 _GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -139,6 +143,7 @@ class Page:
         self.tables: list[Open] = []
         self.lists: list[Open] = []
         self.opened: Counter[str] = Counter()  # open elements by tag, so that no lookup walks a deep stack
+        self.body = False  # whether the page's body has begun, with or without its tag
 
     def box(self) -> Box:
         return self.boxes[-1]
@@ -152,6 +157,10 @@ class Page:
             self.text(source[at : m.start()])
             at = m.end()
             if m[2] is None:
+                if (self.opened["svg"] or self.opened["math"]) and source.startswith("<![CDATA[", m.start()):
+                    stop = source.find("]]>", m.start() + 9)
+                    stop, at = (len(source), len(source)) if stop < 0 else (stop, stop + 3)
+                    self.text(source[m.start() + 9 : stop], False)
                 continue
             tag = m[2].lower()
             if m[1]:
@@ -176,6 +185,8 @@ class Page:
         return raw.endswith("/") and bool(self.opened["svg"] or self.opened["math"]) and not _UNQUOTED_END.search(raw)
 
     def text(self, raw: str, unescape: bool = True) -> None:
+        if self.stack[-1].tag in ("head", "html") and raw.strip(" \t\n\f\r"):
+            self.end_head()
         if not raw or self.stack[-1].gone or self.stack[-1].veiled:
             return
         text = entities.unescape(raw) if unescape and "&" in raw else raw
@@ -184,7 +195,16 @@ class Page:
         elif self.stack[-1].tag not in ("table", "tr", "tbody", "thead", "tfoot") or text.strip(" \t\n\f\r"):
             self.box().words(text)
 
+    def end_head(self) -> None:
+        self.body = True
+        if self.stack[-1].tag == "head":
+            self.pop()
+
     def open(self, tag: str, raw: str) -> None:
+        if self.stack[-1].tag in ("head", "html") and tag not in HEAD:
+            self.end_head()
+        if tag == "head" and (self.body or self.opened["head"]):
+            return  # a second head, or one inside the body, is none
         if tag in ENDS_P and self.opened["p"]:
             self.close("p", implied=True)
         if tag in IMPLIED_SETS:
@@ -213,7 +233,7 @@ class Page:
             self.start(new, named)
         self.stack.append(new)
         self.opened[tag] += 1
-        for kind, own in ((self.boxes, new.box), (self.tables, new if new.rows is not None else None), (self.lists, new if tag in ("ul", "ol", "menu") else None)):
+        for kind, own in ((self.boxes, new.box), (self.tables, new if tag == "table" and not gone else None), (self.lists, new if tag in ("ul", "ol", "menu") else None)):
             if own is not None:
                 kind.append(own)
 
@@ -227,18 +247,32 @@ class Page:
             box.gap = bool(box.line)
         if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", named.get("start", "")):
             new.count = int(named["start"]) - 1
-        if tag == "table":
+        deep = len(self.boxes) > MOST_BOXES
+        if deep and tag == "li":
+            box.line.append(self.mark())
+        if deep and tag in ("td", "th"):
+            box.gap = bool(box.line)
+        if tag == "table" and not deep:
             new.rows = []
-        if tag == "tr" and (table := self.table()):
+        table = self.table()
+        if tag == "tr" and table and table.rows is not None:
             table.rows.append([])
-        if tag in ("td", "th") and (table := self.table()):
+        if tag in ("td", "th") and table and table.rows is not None:
             if not table.rows:
                 table.rows.append([])
             span = named.get("colspan", "1")
             new.span = min(1000, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 9 else 1
-        if tag in ("li", "dd", "blockquote", "td", "th", "caption", "table"):
+        if not deep and tag in ("li", "dd", "blockquote", "td", "th", "caption", "table"):
             new.box = Box()
 
+    def mark(self) -> str:
+        """The bullet or number of the next item of the innermost list."""
+        up = self.lists[-1] if self.lists else None
+        if up is None or up.tag != "ol":
+            return "- "
+        up.count += 1
+        return f"{up.count}. "
+
     def table(self) -> Open | None:
         return self.tables[-1] if self.tables else None
 
@@ -277,7 +311,7 @@ class Page:
         self.opened[done.tag] -= 1
         if done.box is not None:
             self.boxes.pop()
-        if done.rows is not None:
+        if self.tables and self.tables[-1] is done:
             self.tables.pop()
         if self.lists and self.lists[-1] is done:
             self.lists.pop()
@@ -286,16 +320,12 @@ class Page:
         outer = self.box()
         if done.box is not None:
             lines = done.box.text()
-            if done.tag in ("td", "th") and (table := self.table()):
+            if done.tag in ("td", "th") and (table := self.table()) and table.rows:
                 table.rows[-1].append((lines, done.span))
             elif done.rows is not None:
                 self.emit(outer, lines + aligned(done.rows))
             elif done.tag == "li":
-                up = self.lists[-1] if self.lists else None
-                mark = "- "
-                if up is not None and up.tag == "ol":
-                    up.count += 1
-                    mark = f"{up.count}. "
+                mark = self.mark()
                 self.emit(outer, [(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(lines or [""])] if lines else [])
             elif done.tag == "blockquote":
                 self.emit(outer, ["> " + x if x else ">" for x in lines])

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gesso.llm.words import BLANK_RUN, unit_draw, word_count
+from gesso.llm.words import BLANK_RUN, free_prefix, unit_draw, word_count
 from gesso.session import keep
 
 #: fixed by the contract: weights of the sources in code point order, repeating
@@ -142,7 +142,8 @@ def mixed_rows(docs: DataFrame, quality: Column | None = None, weights: Sequence
     The mix itself runs on a narrow table. Only the order of the last document
     of each source meets the stored rows, so texts are not shuffled.
     """
-    own = {c: f"gesso__{c}" for c in (*NARROW, "epochs", "last")}
+    prefix = free_prefix(docs.columns)
+    own = {c: prefix + c for c in (*NARROW, "epochs", "last")}
     stored = keep(_draws(docs, quality, seed, own), "rows")
     narrow = stored.select("source", "doc_id", *[F.col(own[c]).alias(c) for c in ("size", "key", "tie", "row")])
     _, ends = mix(narrow, weights, most)
@@ -152,4 +153,4 @@ def mixed_rows(docs: DataFrame, quality: Column | None = None, weights: Sequence
     more = F.when(F.col(own["last"]).isNotNull() & (order <= F.col(own["last"])), 1).otherwise(0)
     joined = stored.join(ends, F.col("source").eqNullSafe(F.col(own["source"])))
     copies = F.array_repeat(F.lit(0), (F.col(own["epochs"]) + more).cast("int"))
-    return joined.select(*[stored[c] for c in docs.columns], F.explode(copies).alias(own["epochs"])).drop(own["epochs"])
+    return joined.select(*[stored[f"`{c}`"] for c in docs.columns], F.explode(copies).alias(own["epochs"])).drop(own["epochs"])

@@ -167,35 +167,43 @@ def _unpack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return votes, codes % 16
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+#: reliability of a labeler before it has shown any
+START = 0.8
+
+
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each vote pattern and, by labeler, how often it votes for a true and against a false span.
 
     Silence says nothing. The start is the majority; two pseudo-counts on
-    each side keep reliabilities off 0 and 1.
+    each side keep reliabilities off 0 and 1. A labeler that votes one way only
+    can't be told from the share of true spans, so its reliability stays where
+    it starts. Raises if the posterior still moves after ``rounds``.
     """
     for_, against = (votes == 1).astype(float), (votes == -1).astype(float)
     margin = votes.sum(1)
     post = np.where(margin >= 2, 0.9, np.where(margin == 1, 0.4, 0.05))
-    hits = np.full((LABELERS, 2), 0.8)
+    hits = np.full((LABELERS, 2), START)
+    one_way = ~(for_.any(0) & against.any(0))
     for _ in range(rounds):
         t, f = post * counts, (1 - post) * counts
         hits = np.stack([(t @ for_ + 4) / (t @ (for_ + against) + 5), (f @ against + 4) / (f @ (for_ + against) + 5)], 1)
         hits = np.clip(hits, 0.5, 0.99)  # a labeler is never taken for a liar
+        hits[one_way] = START
         prior = np.clip((t.sum() + 1) / (counts.sum() + 10), 0.01, 0.5)
         true = np.log(prior) + for_ @ np.log(hits[:, 0]) + against @ np.log(1 - hits[:, 0])
         false = np.log(1 - prior) + for_ @ np.log(1 - hits[:, 1]) + against @ np.log(hits[:, 1])
         new = 1 / (1 + np.exp(np.clip(false - true, -500, 500)))
         if np.abs(new - post).max() < 1e-9:
-            break
+            return post, hits
         post = new
-    return post, hits
+    raise RuntimeError(f"reliabilities still move after {rounds} rounds")
 
 
 def _features(votes: np.ndarray, shape: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(votes)), votes == 1, votes == -1, np.eye(4)[shape // 4], np.eye(4)[shape % 4]]).astype(float)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1.0, rounds: int = 500) -> np.ndarray:
     """Newton steps on soft labels, weighted by counts."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -203,8 +211,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float
         step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (counts * (y - p)) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
-            break
-    return w
+            return w
+    raise RuntimeError(f"weights still move after {rounds} steps")
 
 
 def fit(patterns: list[tuple[str, int, int]]) -> SpanModel:

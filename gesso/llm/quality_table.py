@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gesso.llm.words import words
+from gesso.llm.words import free_prefix, words
 from gesso.session import fence
 
 WINDOW = 5
@@ -38,14 +38,17 @@ class Rule:
     side: str
     percent: int
     least_words: int = 1
+    by_language: bool = False  # only where ``lang`` names a language of ``LANGUAGES``
 
 
+#: the languages whose function words are listed
+LANGUAGES = ("en", "fr", "de", "es")
 #: the method's verdict; bounds sit well outside what prose, lists and code reach
 RULES = (
     Rule("long_words", "word_chars", "n_words", "above", 2000),
     Rule("short_words", "word_chars", "n_words", "below", 200),
     Rule("symbols", "n_symbols", "n_words", "above", 50),
-    Rule("stop_words", "n_stop_words", "n_words", "below", 1, 200),
+    Rule("stop_words", "n_stop_words", "n_words", "below", 1, 200, True),
     Rule("repeated_lines", "n_dup_lines", "n_lines", "above", 50, 20),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
@@ -95,12 +98,14 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 10) | (100 * repeated > 20 * n)
 
 
-def failed_rules(rules: Sequence[Rule] = RULES, prefix: str = "") -> Column:
-    """The names of the rules that a row fails, in table order, comma-joined."""
+def failed_rules(rules: Sequence[Rule] = RULES, prefix: str = "", lang: Column | None = None) -> Column:
+    """The names of the rules that a row fails, in table order, comma-joined. Without ``lang`` rules by language don't apply."""
     tests = []
+    listed = F.lit(False) if lang is None else F.coalesce(F.lower(F.substring(lang.cast("string"), 1, 2)).isin(*LANGUAGES), F.lit(False))
     for r in rules:
         left, right = 100 * F.col(prefix + r.top), r.percent * F.col(prefix + r.base)
         fails = (left > right if r.side == "above" else left < right) & (F.col(prefix + "n_words") >= r.least_words)
+        fails = fails & listed if r.by_language else fails
         tests.append(F.when(fails, F.lit(r.name)))
     return F.concat_ws(",", *tests)
 
@@ -109,16 +114,18 @@ def judge_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules`` a row of ``docs(doc_id, text)``.
 
     Null and empty texts have zero counts and fail. Repeated rows are judged
-    each. Other columns are not read.
+    each. Of other columns only ``lang`` is read, if there is one: stop words
+    are asked of texts in the languages listed only.
     """
-    judged = with_counts(docs.select("doc_id", "text"), "").drop("text")
-    judged = judged.withColumns({"base_failed": base_failed(), "failed_rules": failed_rules(rules)})
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    judged = with_counts(docs.select("doc_id", "text", lang.alias("lang")), "").drop("text")
+    judged = judged.withColumns({"base_failed": base_failed(), "failed_rules": failed_rules(rules, lang=F.col("lang"))})
     kept = ~F.col("base_failed") & (F.col("failed_rules") == "")
     return judged.select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), "failed_rules")
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass; all columns and their names stay."""
-    prefix = "gesso__"
-    good = ~base_failed(prefix) & (failed_rules(rules, prefix) == "")
+    prefix = free_prefix(docs.columns)
+    good = ~base_failed(prefix) & (failed_rules(rules, prefix, F.col("lang") if "lang" in docs.columns else None) == "")
     return with_counts(docs, prefix).where(good).select(*[F.col(f"`{c}`") for c in docs.columns])

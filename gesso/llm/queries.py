@@ -177,13 +177,14 @@ def op8(t: Tables) -> DataFrame:
 
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(quality_table.STOP_WORDS))
+_LISTED = f" and lower(substr(lang, 1, 2)) in {quality_table.LANGUAGES!r}"
 _FAILS = ", ".join(
-    f"case when 100 * {r.top} {'>' if r.side == 'above' else '<'} {r.percent} * {r.base} and n_words >= {r.least_words} then '{r.name}' end" for r in quality_table.RULES
+    f"case when 100 * {r.top} {'>' if r.side == 'above' else '<'} {r.percent} * {r.base} and n_words >= {r.least_words}{_LISTED if r.by_language else ''} then '{r.name}' end" for r in quality_table.RULES
 )
 OP9 = rf"""
-with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+with d as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as text from documents),
 w as (
-  select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+  select r, doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
 grams as (
   select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as g
@@ -191,7 +192,7 @@ grams as (
 twice as (select r, i from (select r, i, count(*) over (partition by r, g) as n from grams) where n > 1),
 cover as (select r, sum(least(5, i - before)) as n from (select r, i, lag(i, 1, i - 5) over (partition by r order by i) as before from twice) group by r),
 c as (
-  select w.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+  select w.doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
          coalesce(cover.n, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines,
          len(list_filter(w, lambda x: lower(x) in ({_STOPS})))::bigint as n_stop_words

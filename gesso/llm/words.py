@@ -30,3 +30,10 @@ def unit_draw(*parts: Column) -> Column:
     name = F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     bits = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(float(1 << 52))
+
+
+def free_prefix(columns: list[str], start: str = "gesso__") -> str:
+    """A prefix that no column name begins with."""
+    while any(c.lower().startswith(start) for c in columns):
+        start += "_"
+    return start
