@@ -338,7 +338,7 @@ def g11(t):
 @query("G15_valid_region")
 def g15(t):
     px = grid(t).withColumn("v", F.when(F.col("v") < 0.6, 0.0).otherwise(F.col("v")))
-    return gp.valid_region(px, "v", 16)
+    return gp.valid_region(px, "v")
 
 
 def gradient(t, masked=False):
