@@ -10,6 +10,7 @@ from gesso.operators import mesh as m
 from gesso.operators import texture as tx
 from gesso.plans import depth as dp
 from gesso.plans import graph as gp
+from gesso.plans import tiles
 from gesso.queries import sqltext as q
 from gesso.queries.geometry_queries import SCAL, TRI, tri
 from gesso.queries.grid_queries import DIMS, four, lerp
@@ -148,6 +149,26 @@ def j16(t):
     return m.nearest_triangle(pts, faces.withColumn("f", F.col("f") * 1000 + F.col("mesh_id"))).select("id", "f", F.round("distance", 4).alias("distance"))
 
 
+# distance to a triangle: its plane where the foot is inside, else the nearest of its three sides
+_SIDES = ", ".join(
+    f"sqrt(pow(x-x{i}-s{i}*(x{j}-x{i}),2)+pow(y-y{i}-s{i}*(y{j}-y{i}),2)+pow(z-z{i}-s{i}*(z{j}-z{i}),2))" for i, j in ((1, 2), (2, 3), (3, 1))
+)
+_SHARES = ", ".join(
+    f"greatest(0e0, least(1e0, ((x-x{i})*(x{j}-x{i})+(y-y{i})*(y{j}-y{i})+(z-z{i})*(z{j}-z{i}))/(pow(x{j}-x{i},2)+pow(y{j}-y{i},2)+pow(z{j}-z{i},2)))) AS s{i}" for i, j in ((1, 2), (2, 3), (3, 1))
+)
+_INSIDE = " AND ".join(
+    f"((y{j}-y{i})*(z-z{i})-(z{j}-z{i})*(y-y{i}))*nx+((z{j}-z{i})*(x-x{i})-(x{j}-x{i})*(z-z{i}))*ny+((x{j}-x{i})*(y-y{i})-(y{j}-y{i})*(x-x{i}))*nz >= 0" for i, j in ((1, 2), (2, 3), (3, 1))
+)
+
+
+@query("J16_nearest_distance", q.with_(q.GRID, DIMS, FACES, VERTS, CORNERS, POINTS) + f""", tn AS (SELECT *, (y2-y1)*(z3-z1)-(z2-z1)*(y3-y1) AS nx, (z2-z1)*(x3-x1)-(x2-x1)*(z3-z1) AS ny, (x2-x1)*(y3-y1)-(y2-y1)*(x3-x1) AS nz FROM fv),
+ pr AS (SELECT pt.id, pt.x * 0.4e0 AS x, pt.y, pt.z, tn.* EXCLUDE (mesh_id, f, v1, v2, v3) FROM pt, tn),
+ sh AS (SELECT *, {_SHARES}, abs((x-x1)*nx+(y-y1)*ny+(z-z1)*nz)/sqrt(nx*nx+ny*ny+nz*nz) AS flat FROM pr)
+SELECT id, round(min(CASE WHEN {_INSIDE} THEN flat ELSE least({_SIDES}) END), 4) AS distance FROM sh GROUP BY id""")
+def j16_distance(t):
+    return j16(t).select("id", "distance")
+
+
 @query("X5_unique_points", "SELECT DISTINCT 0 AS id, round(l_quantity / 3, 8) AS x, round(l_discount, 8) AS y, round(l_tax, 8) AS z FROM lineitem")
 def x5(t):
     p = t.lineitem.select(F.lit(0).alias("id"), (F.col("l_quantity") / 3).alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
@@ -192,6 +213,21 @@ def p19(t):
     return tx.visible_faces(faces3d(t), views(t), 40).groupBy("view").agg(F.count("*").alias("faces"))
 
 
+_RAYS = """, ry AS (SELECT vis.mesh_id, vis.f, vis.view, unnest([x1, x2, x3]) AS ox, unnest([y1, y2, y3]) AS oy, unnest([z1, z2, z3]) AS oz, ex, ey, ez FROM vis JOIN fn USING (mesh_id, f) JOIN vw ON vw.mesh_id = vis.mesh_id AND vw.view = vis.view),
+ hx AS (SELECT ry.*, w.f AS wall, x2-x1 AS ax, y2-y1 AS ay, z2-z1 AS az, x3-x1 AS bx, y3-y1 AS by_, z3-z1 AS bz, ox-x1 AS sx, oy-y1 AS sy, oz-z1 AS sz, ex-ox AS dx, ey-oy AS dy, ez-oz AS dz
+   FROM ry JOIN fv w ON w.mesh_id = ry.mesh_id AND w.f <> ry.f AND greatest(x1,x2,x3) >= least(ox,ex) - 1e-6 AND least(x1,x2,x3) <= greatest(ox,ex) + 1e-6 AND greatest(y1,y2,y3) >= least(oy,ey) - 1e-6 AND least(y1,y2,y3) <= greatest(oy,ey) + 1e-6),
+ px2 AS (SELECT *, dy*bz-dz*by_ AS p0, dz*bx-dx*bz AS p1, dx*by_-dy*bx AS p2, sy*az-sz*ay AS q0, sz*ax-sx*az AS q1, sx*ay-sy*ax AS q2 FROM hx),
+ ds AS (SELECT *, ax*p0+ay*p1+az*p2 AS det FROM px2),
+ ht AS (SELECT mesh_id, f, view, (sx*p0+sy*p1+sz*p2)/det AS u, (dx*q0+dy*q1+dz*q2)/det AS v, (bx*q0+by_*q1+bz*q2)/det AS t FROM ds WHERE abs(det) > 1e-12),
+ oc AS (SELECT DISTINCT mesh_id, f, view FROM ht WHERE u >= -1e-6 AND v >= -1e-6 AND u + v <= 1 + 1e-6 AND t > 1e-6 AND t < 1)
+SELECT vis.mesh_id, vis.f, vis.view FROM vis ANTI JOIN oc USING (mesh_id, f, view)"""
+
+
+@query("J17_seen_faces", q.with_(q.GRID, DIMS, FACES, VERTS, VIEWS, _FACEGEO) + _RAYS)
+def j17_seen(t):
+    return j17(t).select("mesh_id", "f", "view")
+
+
 @query("J17_occlusion")
 def j17(t):
     f, v = faces3d(t), views(t)
@@ -335,7 +371,11 @@ def g11(t):
     return tx.apply_adjustment(tr, px, ["c0"], step=8).select("patch", "y", "x", F.round("c0", 5).alias("c0"))
 
 
-@query("G15_valid_region")
+@query("G15_valid_region", "WITH RECURSIVE " + q.GRID + ", " + DIMS + """, bk AS (SELECT image_id, y, x, h, w FROM grid JOIN dims USING (image_id) WHERE v < 0.6e0),
+ fl(image_id, y, x) AS (SELECT image_id, y, x FROM bk WHERE y IN (0, h - 1) AND x IN (0, w - 1)
+   UNION SELECT bk.image_id, bk.y, bk.x FROM fl JOIN (SELECT unnest([0, 0, 1, -1]) AS dy, unnest([1, -1, 0, 0]) AS dx) s ON true JOIN bk ON bk.image_id = fl.image_id AND bk.y = fl.y + dy AND bk.x = fl.x + dx),
+ nb AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM fl, (SELECT unnest(range(-1, 2)) AS dy) a, (SELECT unnest(range(-1, 2)) AS dx) b)
+SELECT g.image_id, g.y, g.x, nb.x IS NULL AND g.y > 0 AND g.x > 0 AND g.y < h - 1 AND g.x < w - 1 AS valid FROM grid g JOIN dims USING (image_id) LEFT JOIN nb ON nb.image_id = g.image_id AND nb.y = g.y AND nb.x = g.x""")
 def g15(t):
     px = grid(t).withColumn("v", F.when(F.col("v") < 0.6, 0.0).otherwise(F.col("v")))
     return gp.valid_region(px, "v")
@@ -363,6 +403,25 @@ def g3(t):
     return out.select(*KEYS, F.round("z", 2).alias("z"))
 
 
+_ZERO = q.with_(q.GRID) + "SELECT image_id, y, x, 0e0 AS residual FROM grid WHERE v > 0.05e0"
+
+
+def _residual(t, out):
+    left = tiles.residuals(gradient(t, True), out)
+    return left.select(*KEYS, F.when(F.abs("residual") <= 2e-3, F.lit(0.0)).otherwise(F.col("residual")).alias("residual"))
+
+
+@query("G3_residual", _ZERO)
+def g3_residual(t):
+    """What the depth leaves of each valid pixel's equation, beyond the tolerance: nothing."""
+    return _residual(t, dp.integrate_poisson(gradient(t, True), tile=64)[0])
+
+
+@query("G4_residual", _ZERO)
+def g4_residual(t):
+    return _residual(t, dp.integrate_poisson_tiled(gradient(t, True), tile=64, overlap=16)[0])
+
+
 @query("G4_integrate_poisson_tiled")
 def g4(t):
     out, _, _ = dp.integrate_poisson_tiled(gradient(t, True), tile=64, overlap=16)
