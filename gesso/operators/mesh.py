@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gesso.functions import geometry as g
+from gesso.operators import boxtree as bt
 from gesso.operators import grid as gr
 from gesso.operators.scans import attach, exact_quantiles
 from gesso.session import cut, lookup
@@ -200,66 +201,22 @@ def rasterise(triangles: DataFrame, keys: Sequence[str], step: int = 64, slack:
 # -- neighbour searches ------------------------------------------------------------
 
 
-def _grid_size(points: DataFrame, k: int, crowd: int = 256) -> float:
-    """Cell width for about k + 1 points per cell on a surface, halved until no
-    cell is crowded, so that a dense cluster is searched with small cells."""
-    r = points.agg(F.count(F.lit(1)).alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
-    widths = sorted([r["x"] or 0.0, r["y"] or 0.0, r["z"] or 0.0], reverse=True)
-    area = max(widths[0], 1e-9) * max(widths[1], widths[0] * 1e-3, 1e-9)
-    size = max((area * (k + 1) / max(r["n"], 1)) ** 0.5, 1e-9)
-    for _ in range(40):
-        full = points.groupBy(*[F.floor(F.col(a) / size).alias(f"_g{a}") for a in "xyz"]).count().agg(F.max("count")).first()[0]
-        if not full or full <= max(crowd, 8 * k):
-            break
-        size /= 2
-    return size
-
-
-def nearest_points(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = True, size: float | None = None) -> DataFrame:
+def nearest_points(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = True, bucket: int = 32) -> DataFrame:
     """The k nearest ``points`` (id, x, y, z) of each query (id, x, y, z):
-    id, neighbour, distance, rank. Exact.
+    id, neighbour, distance, rank; ties by the neighbour's id. Exact.
 
-    A query looks at the 27 grid cells around it. Its answer is final once the
-    k-th distance is within one cell width; the others go on with cells twice
-    as wide. Of points at the same place at most k + 1 can matter, so piles of
-    copies are thinned before the join. Sets with fewer than k points give
-    fewer rows (see ``padded_neighbours``).
+    A search in a tree of boxes (see ``boxtree``) with ``bucket`` points a
+    leaf. Of points at the same place at most k + 1 can matter, so piles of
+    copies are thinned before. Sets with fewer than k points give fewer rows
+    (see ``padded_neighbours``). Rows without finite coordinates are nobody's
+    neighbour and have none; ids are unique.
     """
     need = k + (1 if exclude_self else 0)
     pile = Window.partitionBy("x", "y", "z").orderBy("id")
-    pool = points.select("id", "x", "y", "z").withColumn("_n", F.row_number().over(pile)).where(F.col("_n") <= need).drop("_n")
-    pool = cut(pool)
-    span = pool.agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
-    widest = max([span[a] or 0.0 for a in "xyz"] + [1e-9])
-    size = size or _grid_size(pool, k)
-    todo = cut(queries.select("id", "x", "y", "z"))
-    done = None
-    while True:
-        whole = size > 2 * widest and todo.limit(1).count() > 0
-        q = todo
-        for a in "xyz":
-            q = q.withColumn(f"_g{a}", F.explode(F.sequence(F.floor(F.col(a) / size) - 1, F.floor(F.col(a) / size) + 1)))
-        p = pool.select(F.col("id").alias("neighbour"), *[F.col(a).alias(f"n{a}") for a in "xyz"])
-        p = p.withColumns({f"_g{a}": F.floor(F.col(f"n{a}") / size) for a in "xyz"})
-        pair = q.join(p, ["_gx", "_gy", "_gz"])
-        if exclude_self:
-            pair = pair.where("neighbour <> id")
-        d = F.sqrt(sum((F.pow(F.col(a) - F.col(f"n{a}"), 2) for a in "xyz"), F.lit(0.0)))
-        order = Window.partitionBy("id").orderBy("distance", "neighbour")
-        ranked = pair.select("id", "neighbour", d.alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked = cut(ranked)
-        final = ranked.groupBy("id").agg(F.max("distance").alias("_d"), F.count(F.lit(1)).alias("_c")).where((F.col("_c") == k) & (F.col("_d") <= size))
-        if whole:
-            part = ranked
-        else:
-            part = ranked.join(final.select("id"), "id", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        if whole:
-            return done
-        todo = cut(todo.join(final, "id", "left_anti"))
-        if todo.limit(1).count() == 0:
-            return done
-        size *= 2
+    pool = points.where(bt.finite(*"xyz")).select("id", "x", "y", "z").withColumn("_n", F.row_number().over(pile)).where(F.col("_n") <= need)
+    boxes = pool.select(F.col("id").alias("neighbour"), *"xyz", *[F.col(a).cast("double").alias(f"{a}{i}") for i in (0, 1) for a in "xyz"])
+    found = bt.search(queries, boxes, "neighbour", list("xyz"), k, bt.to_points, need, exclude_self, bucket=bucket)
+    return found.withColumnRenamed("item", "neighbour")
 
 
 def padded_neighbours(found: DataFrame, k: int) -> DataFrame:
@@ -269,38 +226,20 @@ def padded_neighbours(found: DataFrame, k: int) -> DataFrame:
     return found.select("id", "neighbour", "distance", "rank").unionByName(more)
 
 
-def nearest_triangle(queries: DataFrame, triangles: DataFrame) -> DataFrame:
+def nearest_triangle(queries: DataFrame, triangles: DataFrame, bucket: int = 32) -> DataFrame:
     """Nearest triangle and foot point of each query point: id, f, distance,
-    foot. ``triangles``: f, x1..z3.
+    foot; ties by f. ``triangles``: f, x1..z3. Exact.
 
-    Cells start as wide as the widest triangle, so a triangle lies in few of
-    them; unfinished queries continue with wider cells.
+    A search in a tree of boxes (see ``boxtree``). Triangles of different size
+    have buckets of their own, so one as wide as the mesh is one more candidate
+    for each query and nothing else. Rows without finite coordinates take no part.
     """
-    wide = triangles.select(F.greatest(*[F.greatest(f"{a}1", f"{a}2", f"{a}3") - F.least(f"{a}1", f"{a}2", f"{a}3") for a in "xyz"]).alias("s"))
-    size = max(wide.agg(F.max("s")).first()[0] or 0.0, 1e-6)
-    ends = {a: (F.least(f"{a}1", f"{a}2", f"{a}3"), F.greatest(f"{a}1", f"{a}2", f"{a}3")) for a in "xyz"}
-    box = triangles.agg(*[F.min(e[0]).alias(f"{a}0") for a, e in ends.items()], *[F.max(e[1]).alias(f"{a}9") for a, e in ends.items()]).first()
-    qbox = queries.agg(*[F.min(a).alias(f"{a}0") for a in "xyz"], *[F.max(a).alias(f"{a}9") for a in "xyz"]).first()
-    widest = max(max(box[f"{a}9"], qbox[f"{a}9"]) - min(box[f"{a}0"], qbox[f"{a}0"]) for a in "xyz")
-    todo, done = cut(queries.select("id", "x", "y", "z")), None
-    while True:
-        whole = size > 2 * widest
-        t = triangles
-        for a, (lo, hi) in ends.items():
-            t = t.withColumn(f"_g{a}", F.explode(F.sequence(F.floor(lo / size) - 1, F.floor(hi / size) + 1)))
-        q = todo.withColumns({f"_g{a}": F.floor(F.col(a) / size) for a in "xyz"})
-        pair = q.join(t, ["_gx", "_gy", "_gz"])
-        pair = g.add_closest_point(pair, (F.col("x"), F.col("y"), F.col("z")), corner(1), corner(2), corner(3))
-        d = F.sqrt(sum((F.pow(F.col(a) - F.col("foot")[i], 2) for i, a in enumerate("xyz")), F.lit(0.0)))
-        best = cut(pair.select("id", F.struct(d.alias("distance"), "f", "foot").alias("m")).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.*"))
-        part = best if whole else best.where(F.col("distance") <= size)
-        done = part if done is None else done.unionByName(part)
-        if whole:
-            return done.select("id", "f", "distance", "foot")
-        todo = cut(todo.join(part.select("id"), "id", "left_anti"))
-        if todo.limit(1).count() == 0:
-            return done.select("id", "f", "distance", "foot")
-        size *= 2
+    corners = [f"{a}{i}" for i in (1, 2, 3) for a in "xyz"]
+    ends = [f(*[F.col(f"{a}{i}").cast("double") for i in (1, 2, 3)]).alias(f"{a}{n}") for n, f in (("0", F.least), ("9", F.greatest)) for a in "xyz"]
+    held = triangles.where(bt.finite(*corners)).select("f", *[F.col(c).alias(f"p{c}") for c in corners], *ends)
+    held = held.select("f", *[f"p{c}" for c in corners], *[f"{a}0" for a in "xyz"], *[F.col(f"{a}9").alias(f"{a}1") for a in "xyz"])
+    found = bt.search(queries, held, "f", [f"p{c}" for c in corners], 1, bt.to_triangles, foot=True, bucket=bucket)
+    return found.select("id", F.col("item").alias("f"), "distance", "foot")
 
 
 def tangent_cells(samples: DataFrame, k: int = 16, padding: float = 0.01, reach: float = 20.0) -> DataFrame:

@@ -11,11 +11,11 @@ def points(spark, pts):
     return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id long, x double, y double, z double")
 
 
-@pytest.mark.parametrize("size", [None, 0.05])
-def test_nearest_points_with_copies_and_outliers(spark, rng, size):
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_nearest_points_with_copies_and_outliers(spark, rng, bucket):
     pts = rng.normal(size=(80, 3))
     pts = np.vstack([pts, np.tile(pts[0], (40, 1)), [[30, 30, 30]]])  # a pile of copies, one far point
-    got = m.nearest_points(points(spark, pts), points(spark, pts), 3, size=size).collect()
+    got = m.nearest_points(points(spark, pts), points(spark, pts), 3, bucket=bucket).collect()
     d = np.linalg.norm(pts[:, None] - pts[None], axis=2)
     np.fill_diagonal(d, np.inf)
     assert len(got) == 3 * len(pts)
