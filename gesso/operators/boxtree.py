@@ -13,6 +13,7 @@ surest first, and each step's distances rule out buckets of the next one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,7 +37,14 @@ BROADCAST_NODES = 50_000
 BLOCK = 64
 #: buckets by distance that a block verifies in the second step
 SECOND = 4
+#: the second step is left out where a block has no more candidates than this on average; the result is the same
+FEW = 16
+#: buckets in more than this share of all pairs (one in HOT) are joined by broadcast, at most HOT of them
+HOT = 1000
+#: rounding of distances
+SLACK = 1 + 1e-14
 AXIS_BITS = 21
+NODES = f"array<struct<_g int, _b long, {', '.join(f'{c} double' for c in BOX)}, n long>>"
 
 
 def finite(*columns: str) -> Column:
@@ -92,6 +100,7 @@ class BoxTree:
     levels: list[DataFrame]
     sizes: list[int]
     width: float
+    box: tuple[float, ...]
 
     @property
     def top(self) -> list:
@@ -105,7 +114,7 @@ class BoxTree:
 def build(items: DataFrame, ident: str, payload: Sequence[str], bucket: int = 32) -> BoxTree:
     """The tree of ``items`` (``ident``, box columns x0..z1, ``payload``).
 
-    Boxes are grouped by the power of four of their width below the widest, so
+    Boxes are grouped by the power of four of their width (twenty at most), so
     a few wide triangles have buckets of their own and don't widen those of
     their small neighbours. Lists are bounded: ``bucket`` items or eight boxes.
     """
@@ -113,29 +122,39 @@ def build(items: DataFrame, ident: str, payload: Sequence[str], bucket: int = 32
     widest = items.agg(F.max(width)).first()[0] or 0.0
     group = F.lit(0)
     if widest > 0:
-        share = F.when(width > 0, F.floor(F.log2(width / widest) / 2))
-        group = F.greatest(F.coalesce(share, F.lit(-SIZES)), F.lit(1 - SIZES)).cast("int")
+        least = int(np.floor(np.log2(widest) / 2)) - SIZES + 1
+        group = F.greatest(F.when(width > 0, F.floor(F.log2(width) / 2)), F.lit(least)).cast("int")
     rows = items.select(ident, *payload, *BOX, group.alias("_g"))
     rows = _numbered(rows, [(F.col(lo) + F.col(h)) / 2 for lo, h in zip(LOW, HIGH)], ["_g"], ident, bucket)
     ends = [F.min(c).alias(c) for c in LOW] + [F.max(c).alias(c) for c in HIGH]
     held = rows.groupBy("_g", "_b").agg(*ends, F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(ident, *payload))).alias("_items"))
     held = held.select("_g", "_b", *BOX, "n", *[F.col("_items")[c].alias(f"_p_{c}") for c in (ident, *payload)])
-    levels, sizes = [keep(held, "buckets")], []
-    sizes.append(levels[0].count())
-    wide = levels[0].agg(F.avg(F.greatest(*[F.col(h) - F.col(lo) for lo, h in zip(LOW, HIGH)]))).first()[0]
+    levels = [keep(held, "buckets")]
+    seen = levels[0].agg(F.count(F.lit(1)), F.avg(F.greatest(*[F.col(h) - F.col(lo) for lo, h in zip(LOW, HIGH)])), *ends).first()
+    sizes, wide, box = [seen[0]], seen[1], tuple(v or 0.0 for v in seen[2:])
     while sizes[-1] > ROOTS:
         below = levels[-1].withColumn("_up", F.shiftright("_b", FAN_BITS))
         above = below.groupBy("_g", F.col("_up").alias("_b")).agg(*ends, F.sum("n").alias("n"), F.collect_list(F.struct("_b", *BOX, "n")).alias("kids"))
         levels.append(keep(above, "boxes"))
         sizes.append(levels[-1].count())
     forget(rows)
-    return BoxTree(levels, sizes, wide or 0.0)
+    return BoxTree(levels, sizes, wide or 0.0, box)
 
 
-def query_blocks(queries: DataFrame, width: float) -> DataFrame:
-    """Blocks of up to 64 neighbouring queries (id, x, y, z) inside one cell of ``width``."""
-    rows = _numbered(queries.select("id", "x", "y", "z"), [F.col(a) for a in "xyz"], [], "id", BLOCK)
-    cells = [F.floor(F.col(a) / width).alias(f"_{a}") for a in "xyz"] if width > 0 else [F.col(a).alias(f"_{a}") for a in "xyz"]
+def query_blocks(queries: DataFrame, tree: BoxTree) -> DataFrame:
+    """Blocks of up to 64 neighbouring queries (id, x, y, z) inside one cell.
+
+    A cell is as wide as a usual bucket. Far from all items distances to them
+    differ by little, so there cells shrink with the distance, at last to one
+    query, and the blocks' own extent doesn't blur those differences.
+    """
+    rows = _numbered(queries, [F.col(a) for a in "xyz"], [], "id", BLOCK)
+    gaps = [F.greatest(F.lit(0.0), F.lit(lo) - F.col(a), F.col(a) - F.lit(hi)) for a, lo, hi in zip("xyz", tree.box[:3], tree.box[3:])]
+    cells = [F.col(a).alias(f"_{a}") for a in "xyz"]
+    if tree.width > 0:
+        away = F.greatest(F.sqrt(sum((v * v for v in gaps), F.lit(0.0))), F.lit(tree.width))
+        rows = rows.withColumn("_w", tree.width * F.pow(F.lit(2.0), F.floor(F.log2(tree.width / away))))
+        cells = ["_w", *[F.floor(F.col(a) / F.col("_w")).alias(f"_{a}") for a in "xyz"]]
     ends = [F.min(a).alias(c) for a, c in zip("xyz", LOW)] + [F.max(a).alias(c) for a, c in zip("xyz", HIGH)]
     out = rows.groupBy("_b", *cells).agg(F.min("_at").alias("_q"), *ends, F.array_sort(F.collect_list(F.struct("id", "x", "y", "z"))).alias("_items"))
     blocks = keep(out.select("_q", *BOX, *[F.col("_items")[c].alias(f"_q_{c}") for c in ("id", "x", "y", "z")]), "blocks")
@@ -151,7 +170,7 @@ def _prune(rows: DataFrame, need: int) -> DataFrame:
     rows = rows.withColumn("_sum", F.sum("n").over(Window.partitionBy("_q").orderBy("_far", "_g", "_b")))
     reach = F.min(F.when(F.col("_sum") >= need, F.col("_far"))).over(Window.partitionBy("_q"))
     rows = rows.withColumn("_reach", reach)
-    return rows.where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * (1 + 1e-9))).drop("_reach")
+    return rows.where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * SLACK)).drop("_reach")
 
 
 def candidate_buckets(blocks: DataFrame, tree: BoxTree, need: int) -> DataFrame:
@@ -160,7 +179,7 @@ def candidate_buckets(blocks: DataFrame, tree: BoxTree, need: int) -> DataFrame:
     at = [F.col(c).alias(f"q{c}") for c in BOX]
     if not top:
         return blocks.select("_q", F.lit(0).alias("_g"), F.lit(0).cast("long").alias("_b"), *[F.lit(0.0).alias(c) for c in ("_near", "_far")], F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("_sum")).limit(0)
-    nodes = F.array(*[F.struct(F.lit(r["_g"]).alias("_g"), F.lit(r["_b"]).cast("long").alias("_b"), *[F.lit(r[c]).alias(c) for c in BOX], F.lit(r["n"]).cast("long").alias("n")) for r in top])
+    nodes = F.from_json(F.lit(json.dumps([r.asDict() for r in top])), NODES)
     rows = _prune(blocks.select("_q", *at, F.inline(nodes)), need)
     for level, size in list(zip(tree.levels, tree.sizes))[:0:-1]:
         kids = level.select("_g", "_b", "kids")
@@ -170,13 +189,24 @@ def candidate_buckets(blocks: DataFrame, tree: BoxTree, need: int) -> DataFrame:
     return rows.select("_q", "_g", "_b", "_near", "_far", "n", "_sum")
 
 
-Kernel = Callable[[np.ndarray, Sequence[np.ndarray]], tuple[np.ndarray, np.ndarray | None]]
+#: distances (queries by items) and, for chosen pairs, their feet
+Kernel = Callable[[np.ndarray, Sequence[np.ndarray]], tuple[np.ndarray, Callable | None]]
+
+
+def _often(pairs: DataFrame) -> DataFrame:
+    """Buckets wanted by more than a thousandth of all pairs, so fewer than a thousand; they are broadcast and heat no task."""
+    wanted = pairs.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_wanted"))
+    return keep(wanted.where(F.col("_wanted") * HOT > F.lit(pairs.count())).select("_g", "_b"), "often")
 
 
-def _verify(pairs: DataFrame, blocks: DataFrame, tree: BoxTree, limits: DataFrame | None, ident: str, payload: Sequence[str], k: int, kernel: Kernel, exclude_self: bool, foot: bool) -> DataFrame:
+def _verify(pairs: DataFrame, blocks: DataFrame, tree: BoxTree, often: DataFrame, limits: DataFrame | None, ident: str, payload: Sequence[str], k: int, kernel: Kernel, exclude_self: bool, foot: bool) -> DataFrame:
     """Up to k items a query and bucket, none beyond the query's limit: _q, _i, id, item, distance (, foot)."""
-    bucket = tree.levels[0].select("_g", "_b", *[f"_p_{c}" for c in (ident, *payload)])
-    rows = pairs.select("_q", "_g", "_b").join(bucket, ["_g", "_b"]).drop("_g", "_b")
+    spark = pairs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = tree.levels[0].select("_g", "_b", *BOX, *[f"_p_{c}" for c in (ident, *payload)])
+    hot = F.broadcast(bucket.join(F.broadcast(often), ["_g", "_b"]))
+    narrow = pairs.select("_q", "_g", "_b").repartition(tasks, "_q", "_g", "_b")
+    rows = narrow.join(hot, ["_g", "_b"]).unionByName(narrow.join(F.broadcast(often), ["_g", "_b"], "left_anti").join(bucket, ["_g", "_b"])).drop("_g", "_b")
     rows = rows.join(blocks.drop(*BOX), "_q")
     rows = rows.join(limits, "_q", "left") if limits is not None else rows.withColumn("_limits", F.lit(None).cast("array<double>"))
     names = [f"_p_{c}" for c in payload]
@@ -188,51 +218,62 @@ def _verify(pairs: DataFrame, blocks: DataFrame, tree: BoxTree, limits: DataFram
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out = {f.name: [] for f in schema.fields}
             for row in batch.to_dict("records"):
                 ids, items = np.asarray(row["_q_id"]), np.asarray(row[f"_p_{ident}"])
                 at = np.stack([row["_q_x"], row["_q_y"], row["_q_z"]], axis=1)
-                distance, feet = kernel(at, [np.asarray(row[c], float) for c in names])
+                limit = np.full(len(ids), np.inf) if row["_limits"] is None else np.asarray(row["_limits"])
+                low, high = (np.array([row[c] for c in side]) for side in (LOW, HIGH))
+                gap = np.maximum(0.0, np.maximum(low - at, at - high))
+                (some,) = np.nonzero(np.sqrt((gap * gap).sum(axis=1)) <= limit * SLACK)
+                if not len(some):
+                    continue
+                distance, feet = kernel(at[some], [np.asarray(row[c], float) for c in names])
                 if exclude_self:
-                    distance = np.where(ids[:, None] == items[None, :], np.inf, distance)
-                if row["_limits"] is not None:
-                    distance = np.where(distance <= np.asarray(row["_limits"])[:, None], distance, np.inf)
-                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                i, j = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
+                    distance = np.where(ids[some, None] == items[None, :], np.inf, distance)
+                distance = np.where(distance <= limit[some, None], distance, np.inf)
+                best = np.argsort(distance, axis=1, kind="stable")[:, :k] if k > 1 else distance.argmin(axis=1)[:, None]
+                i, j = np.repeat(np.arange(len(some)), best.shape[1]), best.ravel()
                 hit = np.isfinite(distance[i, j])
                 i, j = i[hit], j[hit]
-                part = {"_q": np.full(len(i), row["_q"]), "_i": i.astype("int32"), "id": ids[i], "item": items[j], "distance": distance[i, j]}
+                out["_q"].append(np.full(len(i), row["_q"]))
+                out["_i"].append(some[i].astype("int32"))
+                out["id"].append(ids[some[i]])
+                out["item"].append(items[j])
+                out["distance"].append(distance[i, j])
                 if foot:
-                    part["foot"] = list(feet[i, j])
-                out.append(pd.DataFrame(part))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    out["foot"].extend(feet(i, j))
+            if out["_q"]:
+                yield pd.DataFrame({c: v if c == "foot" else np.concatenate(v) for c, v in out.items()})
 
     return rows.mapInPandas(nearest, schema)
 
 
 def search(queries: DataFrame, items: DataFrame, ident: str, payload: Sequence[str], k: int, kernel: Kernel, need: int | None = None, exclude_self: bool = False, foot: bool = False, bucket: int = 32) -> DataFrame:
     """The k nearest items of each query, ties by ``ident``: id, item, distance, rank (, foot). Exact."""
-    tree = build(items, ident, payload, bucket)
-    blocks = query_blocks(queries.where(finite("x", "y", "z")), tree.width)
     need = need or k
+    items = keep(items, "items")
+    tree = build(items, ident, payload, bucket)
+    blocks = query_blocks(keep(queries.where(finite("x", "y", "z")).select("id", "x", "y", "z"), "queries"), tree)
     left, found, limits = keep(candidate_buckets(blocks, tree, need), "candidates"), None, None
-    used = [blocks, left]
+    often = _often(left)
+    used = [items, blocks, left, often]
     by_id = Window.partitionBy("id").orderBy("distance", "item")
-    for step in ("surest", "nearest", "rest"):
+    crowded = left.count() > FEW * blocks.count()
+    for step in ("surest", "nearest", "rest") if crowded else ("surest", "rest"):
         if step == "surest":
             # the buckets that alone hold enough items within the reach
             left = left.withColumn("_now", F.col("_sum") - F.col("n") < need)
         else:
             limits = keep(_limits(found, blocks, k), "limits")
             order = Window.partitionBy("_q").orderBy("_near", "_far", "_g", "_b")
-            near = left.join(limits.select("_q", "_reach"), "_q", "left").where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * (1 + 1e-9))).drop("_reach")
+            near = left.join(limits.select("_q", "_reach"), "_q", "left").where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * SLACK)).drop("_reach")
             left = keep(near.withColumn("_now", F.row_number().over(order) <= SECOND if step == "nearest" else F.lit(True)), "candidates")
             used += [limits, left]
-            if left.limit(1).count() == 0:
+            if left.isEmpty():
                 break
         lists = limits.select("_q", "_limits") if limits is not None else None
-        fresh = _verify(left.where("_now"), blocks, tree, lists, ident, payload, k, kernel, exclude_self, foot)
+        fresh = _verify(left.where("_now"), blocks, tree, often, lists, ident, payload, k, kernel, exclude_self, foot)
         both = fresh if found is None else found.drop("rank").unionByName(fresh)
         if found is not None:
             used.append(found)
@@ -265,24 +306,29 @@ def to_points(at: np.ndarray, columns: Sequence[np.ndarray]) -> tuple[np.ndarray
     return np.sqrt((delta * delta).sum(axis=2)), None
 
 
-def to_triangles(at: np.ndarray, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of queries to triangles and the feet: the foot on the plane if it lies inside, else the nearest on a side."""
+def to_triangles(at: np.ndarray, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, Callable]:
+    """Distances of queries to triangles: to the plane if the foot lies inside, else to the nearest side."""
     corners = [np.stack(columns[3 * i : 3 * i + 3], axis=1) for i in range(3)]
     normal = np.cross(corners[1] - corners[0], corners[2] - corners[0])
     square = (normal * normal).sum(axis=1)
-    flat = square > 0
-    height = ((at[:, None, :] - corners[0][None]) * normal[None]).sum(axis=2) / np.where(flat, square, 1.0)
-    foot = at[:, None, :] - height[:, :, None] * normal[None]
-    inside = np.broadcast_to(flat[None], height.shape)
-    best, feet = np.full(height.shape, np.inf), np.zeros(foot.shape)
-    for i in range(3):
-        start, side = corners[i], corners[(i + 1) % 3] - corners[i]
-        inside = inside & ((np.cross(side[None], foot - start[None]) * normal[None]).sum(axis=2) >= 0)
+    along = lambda v, w: np.einsum("qtk,tk->qt", v, w)
+    height = along(at[:, None, :] - corners[0][None], normal) / np.where(square > 0, square, 1.0)
+    inside = np.broadcast_to(square > 0, height.shape)
+    best, side_no, share_on = np.full(height.shape, np.inf), np.zeros(height.shape, int), np.zeros(height.shape)
+    sides = [corners[(i + 1) % 3] - corners[i] for i in range(3)]
+    for i, side in enumerate(sides):
+        off = at[:, None, :] - corners[i][None]
+        # the normal component of ``off`` drops out, so this asks for the foot's place
+        inside = inside & (along(off, np.cross(normal, side)) >= 0)
         length = (side * side).sum(axis=1)
-        share = np.clip(((at[:, None, :] - start[None]) * side[None]).sum(axis=2) / np.where(length > 0, length, 1.0), 0.0, 1.0)
-        spot = start[None] + share[:, :, None] * side[None]
-        apart = np.sqrt(((at[:, None, :] - spot) ** 2).sum(axis=2))
+        share = np.clip(along(off, side) / np.where(length > 0, length, 1.0), 0.0, 1.0)
+        off = off - share[:, :, None] * side[None]
+        apart = np.sqrt(np.einsum("qtk,qtk->qt", off, off))
         nearer = apart < best
-        best, feet = np.where(nearer, apart, best), np.where(nearer[:, :, None], spot, feet)
-    plane = np.abs(height) * np.sqrt(square)[None]
-    return np.where(inside, plane, best), np.where(inside[:, :, None], foot, feet)
+        best, side_no, share_on = np.where(nearer, apart, best), np.where(nearer, i, side_no), np.where(nearer, share, share_on)
+
+    def feet(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        start, side = np.stack(corners)[side_no[i, j], j], np.stack(sides)[side_no[i, j], j]
+        return np.where(inside[i, j, None], at[i] - height[i, j, None] * normal[j], start + share_on[i, j, None] * side)
+
+    return np.where(inside, np.abs(height) * np.sqrt(square)[None], best), feet
