@@ -111,8 +111,8 @@ class BoxTree:
             forget(level)
 
 
-def build(items: DataFrame, ident: str, payload: Sequence[str], bucket: int = 32) -> BoxTree:
-    """The tree of ``items`` (``ident``, box columns x0..z1, ``payload``).
+def build(items: DataFrame, ident: str, payload: Sequence[str], bucket: int = 32, keys: Sequence[str] = ()) -> BoxTree:
+    """The tree of ``items`` (``ident``, box columns x0..z1, ``payload``), or one tree for each value of ``keys``.
 
     Boxes are grouped by the power of four of their width (twenty at most), so
     a few wide triangles have buckets of their own and don't widen those of
@@ -124,17 +124,18 @@ def build(items: DataFrame, ident: str, payload: Sequence[str], bucket: int = 32
     if widest > 0:
         least = int(np.floor(np.log2(widest) / 2)) - SIZES + 1
         group = F.greatest(F.when(width > 0, F.floor(F.log2(width) / 2)), F.lit(least)).cast("int")
-    rows = items.select(ident, *payload, *BOX, group.alias("_g"))
-    rows = _numbered(rows, [(F.col(lo) + F.col(h)) / 2 for lo, h in zip(LOW, HIGH)], ["_g"], ident, bucket)
+    rows = items.select(*keys, ident, *payload, *BOX, group.alias("_g"))
+    rows = _numbered(rows, [(F.col(lo) + F.col(h)) / 2 for lo, h in zip(LOW, HIGH)], [*keys, "_g"], ident, bucket)
     ends = [F.min(c).alias(c) for c in LOW] + [F.max(c).alias(c) for c in HIGH]
-    held = rows.groupBy("_g", "_b").agg(*ends, F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(ident, *payload))).alias("_items"))
-    held = held.select("_g", "_b", *BOX, "n", *[F.col("_items")[c].alias(f"_p_{c}") for c in (ident, *payload)])
+    held = rows.groupBy(*keys, "_g", "_b").agg(*ends, F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(ident, *payload))).alias("_items"))
+    held = held.select(*keys, "_g", "_b", *BOX, "n", *[F.col("_items")[c].alias(f"_p_{c}") for c in (ident, *payload)])
     levels = [keep(held, "buckets")]
     seen = levels[0].agg(F.count(F.lit(1)), F.avg(F.greatest(*[F.col(h) - F.col(lo) for lo, h in zip(LOW, HIGH)])), *ends).first()
     sizes, wide, box = [seen[0]], seen[1], tuple(v or 0.0 for v in seen[2:])
-    while sizes[-1] > ROOTS:
+    # many trees have more roots in all, but each ends at a single number
+    while sizes[-1] > ROOTS and (not keys or levels[-1].agg(F.max("_b")).first()[0] > 0):
         below = levels[-1].withColumn("_up", F.shiftright("_b", FAN_BITS))
-        above = below.groupBy("_g", F.col("_up").alias("_b")).agg(*ends, F.sum("n").alias("n"), F.collect_list(F.struct("_b", *BOX, "n")).alias("kids"))
+        above = below.groupBy(*keys, "_g", F.col("_up").alias("_b")).agg(*ends, F.sum("n").alias("n"), F.collect_list(F.struct("_b", *BOX, "n")).alias("kids"))
         levels.append(keep(above, "boxes"))
         sizes.append(levels[-1].count())
     forget(rows)

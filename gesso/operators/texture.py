@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from gesso.functions import geometry as g
 from gesso.operators import grid as gr
 from gesso.operators.mesh import corner, face_edges, rasterise
+from gesso.operators.raycast import blocked
 from gesso.operators.scans import attach, global_rank
 from gesso.session import cut, lookup
 
@@ -72,56 +73,16 @@ def view_cull(pairs: DataFrame, max_angle: float = 75.0) -> DataFrame:
     return rows.where(F.col("angle") <= max_angle).drop("_r0", "_r1", "_r2", "_cosine", "_px", "_py", "_pz")
 
 
-def occluded(pairs: DataFrame, faces: DataFrame, views: DataFrame, cell: float) -> DataFrame:
-    """Face-view pairs where a ray from a corner to the camera hits another face.
-
-    Rays are cut into the columns of a plane grid they cross, faces are
-    entered in every cell under them, and the exact ray-triangle test runs on
-    equal cells only. The ray stops at the top of the mesh.
-    """
+def occluded(pairs: DataFrame, faces: DataFrame, views: DataFrame) -> DataFrame:
+    """Face-view pairs where a ray from a corner to the camera hits another face."""
     eyes = lookup(views.select("mesh_id", "view", "ex", "ey", "ez"))
-    corners = F.array(*[F.struct(*[c.alias(k) for k, c in zip("xyz", corner(i))]) for i in (1, 2, 3)])
-    top = faces.groupBy("mesh_id").agg(F.max(F.greatest("z1", "z2", "z3")).alias("_top"))
-    rays = pairs.select("mesh_id", "f", "view").join(faces, ["mesh_id", "f"]).select("mesh_id", "f", "view", F.explode(corners).alias("o"))
-    rays = attach(rays.join(eyes, ["mesh_id", "view"]), top, ["mesh_id"])
-    up = F.col("ez") - F.col("o.z")
-    # share of the ray below the highest point; 1 for level or falling rays
-    share = F.when(up > 0, F.least(F.lit(1.0), (F.col("_top") - F.col("o.z")) / up + 1e-9)).otherwise(F.lit(1.0))
-    rays = rays.withColumns({"_s": share, "_dx": F.col("ex") - F.col("o.x"), "_dy": F.col("ey") - F.col("o.y"), "_dz": up})
-    ex, ey = F.col("o.x") + F.col("_s") * F.col("_dx"), F.col("o.y") + F.col("_s") * F.col("_dy")
-    rays = rays.withColumns({"_ex": ex, "_ey": ey})
-    rays = rays.withColumn("_cx", F.explode(F.sequence(F.floor(F.least(F.col("o.x"), F.col("_ex")) / cell), F.floor(F.greatest(F.col("o.x"), F.col("_ex")) / cell))))
-    # part of the ray inside this column of cells
-    t0 = F.coalesce(F.try_divide(F.col("_cx") * cell - F.col("o.x"), F.col("_dx")), F.lit(0.0))
-    t1 = F.coalesce(F.try_divide((F.col("_cx") + 1) * cell - F.col("o.x"), F.col("_dx")), F.col("_s"))
-    low = F.greatest(F.lit(0.0), F.least(t0, t1))
-    high = F.least(F.col("_s"), F.greatest(t0, t1))
-    rays = rays.withColumns({"_a": F.least(low, F.col("_s")), "_b": F.greatest(high, F.lit(0.0))})
-    ya, yb = F.col("o.y") + F.col("_a") * F.col("_dy"), F.col("o.y") + F.col("_b") * F.col("_dy")
-    rays = rays.withColumn("_cy", F.explode(F.sequence(F.floor((F.least(ya, yb) - 1e-9) / cell), F.floor((F.greatest(ya, yb) + 1e-9) / cell))))
-    rays = rays.select("mesh_id", "f", "view", "o", "_dx", "_dy", "_dz", "_cx", "_cy")
-    lo = lambda a: F.floor((F.least(f"{a}1", f"{a}2", f"{a}3") - 1e-9) / cell)
-    hi = lambda a: F.floor((F.greatest(f"{a}1", f"{a}2", f"{a}3") + 1e-9) / cell)
-    walls = faces.withColumn("_cx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("_cy", F.explode(F.sequence(lo("y"), hi("y"))))
-    walls = walls.withColumnRenamed("f", "_wall")
-    hit = rays.join(walls, ["mesh_id", "_cx", "_cy"]).where("f <> _wall")
-    d = (F.col("_dx"), F.col("_dy"), F.col("_dz"))
-    e1, e2 = g.sub(corner(2), corner(1)), g.sub(corner(3), corner(1))
-    p = g.cross(d, e2)
-    det = g.dot(e1, p)
-    hit = hit.withColumns({"_det": det, **{f"_p{i}": c for i, c in enumerate(p)}}).where(F.abs("_det") > 1e-12)
-    s = g.sub((F.col("o.x"), F.col("o.y"), F.col("o.z")), corner(1))
-    u = g.dot(s, tuple(F.col(f"_p{i}") for i in range(3))) / F.col("_det")
-    qv = g.cross(s, e1)
-    v = g.dot(d, qv) / F.col("_det")
-    t = g.dot(e2, qv) / F.col("_det")
-    hit = hit.withColumns({"_u": u, "_v": v, "_t": t})
-    eps = 1e-6
-    return hit.where(f"_u >= {-eps} AND _v >= {-eps} AND _u + _v <= {1 + eps} AND _t > {eps} AND _t < 1").select("mesh_id", "f", "view").distinct()
-
-
-def unoccluded(pairs: DataFrame, faces: DataFrame, views: DataFrame, cell: float) -> DataFrame:
-    return pairs.join(occluded(pairs, faces, views, cell), ["mesh_id", "f", "view"], "left_anti")
+    corners = [f"{a}{i}" for i in (1, 2, 3) for a in "xyz"]
+    sights = pairs.select("mesh_id", "f", "view").join(faces.select("mesh_id", "f", *corners), ["mesh_id", "f"])
+    return blocked(sights.join(eyes, ["mesh_id", "view"]), faces)
+
+
+def unoccluded(pairs: DataFrame, faces: DataFrame, views: DataFrame) -> DataFrame:
+    return pairs.join(occluded(pairs, faces, views), ["mesh_id", "f", "view"], "left_anti")
 
 
 def face_quality(triangles: DataFrame, pixels: DataFrame, norm: str = "sum", step: int = 64) -> DataFrame:

@@ -231,7 +231,7 @@ def j17_seen(t):
 @query("J17_occlusion")
 def j17(t):
     f, v = faces3d(t), views(t)
-    return tx.unoccluded(tx.visible_faces(f, v), f, v, 1.0)
+    return tx.unoccluded(tx.visible_faces(f, v), f, v)
 
 
 _TRI2 = "t2 AS (SELECT id AS f, CAST(id % 4 AS INTEGER) AS view, ax, ay, bx, by_, cx, cy, abs((bx-ax)*(cy-ay)-(cx-ax)*(by_-ay)) / 2 AS area, (bx-ax)*(cy-ay)-(cx-ax)*(by_-ay) AS d FROM tri)"

@@ -87,8 +87,7 @@ def test_occlusion_and_culling_against_brute_force(spark, rng):
     assert {(r["f"], r["view"]) for r in seen.collect()} == want
     eye = {view: np.array(e) for _, view, *e in eyes}
     hidden = {(k, view) for k, view in want if any(brute_ray(o, eye[view] - o, tri[j]) for o in tri[k] for j in tri if j != k)}
-    for cell in (0.7, 2.0):
-        assert {(r["f"], r["view"]) for r in tx.occluded(seen, faces, views, cell).collect()} == hidden
+    assert {(r["f"], r["view"]) for r in tx.occluded(seen, faces, views).collect()} == hidden
     assert hidden
 
 
