@@ -6,13 +6,18 @@ residual and Jacobian sum is one aggregate over the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gesso.operators.scans import attach
+from gesso.session import cut, forget, keep, lookup
+
+#: numbers of light products (patterns by twice the square of the lights) up to which they come to the driver, 64 MB
+PRODUCTS = 8_000_000
 
 
 def fit_circle(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -151,6 +156,62 @@ def nlls_fit(
     return gauss_newton(df, start, lambda p: model(p) - F.col(y), gradient, lower, upper, rounds)
 
 
+def _by_light(obs: DataFrame, lights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row a pixel: arrays by light number ``i`` of its observations ``c``, of the lit ones ``n``, and their sums ``t`` and ``s``."""
+    from gesso.operators.relief import LIT
+
+    lit = F.col("intensity") > LIT
+    rows = obs.join(lookup(lights.select("light_id", "i")), "light_id").where(F.col("intensity").isNotNull())
+    sums = rows.groupBy(*keys, "i").agg(
+        F.count(F.lit(1)).alias("c"), F.count_if(lit).alias("n"), F.sum("intensity").alias("t"), F.coalesce(F.sum(F.when(lit, F.col("intensity"))), F.lit(0.0)).alias("s")
+    )
+    whole = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "c", "n", "t", "s"))).alias("_r"))  # one entry a light
+    return whole.select(*[F.col("_r")[c].alias(c) for c in "icnts"]).where(F.size(F.filter("n", lambda n: n > 0)) >= 3)
+
+
+def _light_products(pixels: DataFrame, k: int) -> DataFrame:
+    """(pattern, place, value): per pattern of counts the entries of the sums of s s' and s t' (k by k each) over its pixels.
+
+    A task adds up its pixels by matrix products and gives one partial sum a
+    pattern, so what is shuffled doesn't depend on the number of pixels.
+    """
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            row = np.repeat(np.arange(len(batch)), batch["i"].map(len).to_numpy())
+            light = np.concatenate(batch["i"].to_numpy())
+            dense = {}
+            for name in "cnts":
+                dense[name] = np.zeros((len(batch), k))
+                dense[name][row, light] = np.concatenate(batch[name].to_numpy())
+            kinds, which = np.unique(np.hstack([dense["c"], dense["n"]]).astype("int64"), axis=0, return_inverse=True)
+            which = which.ravel()
+            for at, kind in enumerate(kinds):
+                s, t = dense["s"][which == at], dense["t"][which == at]
+                part = np.concatenate([(s.T @ s).ravel(), (s.T @ t).ravel()])
+                name = tuple(kind.tolist())
+                held[name] = held[name] + part if name in held else part
+        for name, part in held.items():
+            yield pd.DataFrame({"pattern": [list(name)], "values": [part]})
+
+    partial = pixels.mapInPandas(add, "pattern array<bigint>, values array<double>")
+    flat = partial.select("pattern", F.posexplode("values").alias("place", "value"))
+    return flat.groupBy("pattern", "place").agg(F.sum("value").alias("value"))
+
+
+def _next_directions(axes: np.ndarray, counts: np.ndarray, lit: np.ndarray, ss: np.ndarray, st: np.ndarray) -> np.ndarray:
+    """One round on the products: surface by the directions, directions by the surface. Lights without a fit keep theirs."""
+    surface = np.linalg.pinv(np.einsum("pk,ki,kj->pij", lit, axes, axes), rcond=1e-9, hermitian=True) @ axes.T
+    normal = surface @ ss @ surface.transpose(0, 2, 1)
+    gram, right = np.einsum("pk,pij->kij", counts, normal), np.einsum("pis,psk->ki", surface, st)
+    fresh = np.einsum("kij,kj->ki", np.linalg.pinv(gram, rcond=1e-12, hermitian=True), right)
+    length = np.sqrt((fresh * fresh).sum(axis=1, keepdims=True))
+    return np.where(length > 0, fresh / np.where(length > 0, length, 1.0), axes)
+
+
 def refine_lights(
     obs: DataFrame, lights: DataFrame, keys: Sequence[str], rounds: int | None = None, tolerance: float = 1e-4, max_rounds: int = 2000
 ) -> DataFrame:
@@ -158,13 +219,54 @@ def refine_lights(
 
     Given the surface, each light direction is a linear least-squares problem
     (intensity = b . l), then brought back to unit length; given the lights,
-    the surface is refitted. Directions per light are one aggregate. The rounds
-    go on until no component of a direction changes by more than ``tolerance``,
-    and raise after ``max_rounds``; ``rounds`` asks for so many instead.
+    the surface is refitted. The rounds go on until no component of a direction
+    changes by more than ``tolerance``, and raise after ``max_rounds``;
+    ``rounds`` asks for so many instead.
+
+    A pixel's surface is linear in its lit intensities, by a matrix that only
+    its pattern (observations and lit observations by light) decides. So one
+    pass adds up a light-by-light product matrix a pattern, and the rounds run
+    on these, whatever the number of pixels. If patterns and lights are so many
+    that the products pass ``PRODUCTS`` numbers, each round is a pass over the
+    observations; the result is the same. Missing intensities are left out.
     """
+    axes = ("lx", "ly", "lz")
+    known = [tuple(r) for r in lights.select("light_id", *axes).orderBy("light_id").collect()]  # lamps of one stand
+    k, kind = len(known), lights.schema["light_id"].dataType.simpleString()
+    out = f"light_id {kind}, lx double, ly double, lz double"
+    spark = obs.sparkSession
+    if k == 0:
+        return spark.createDataFrame([], out)
+    numbered = spark.createDataFrame([(r[0], i) for i, r in enumerate(known)], f"light_id {kind}, i int")
+    pixels = keep(_by_light(obs, numbered, keys), "pixels")
+    most = PRODUCTS // (2 * k * k)
+    if pixels.select("i", "c", "n").distinct().limit(most + 1).count() > most:
+        forget(pixels)
+        return _refine_by_passes(obs.where(F.col("intensity").isNotNull()), lights, keys, rounds, tolerance, max_rounds)
+    found = _light_products(pixels, k).toPandas()
+    forget(pixels)
+    current, change = np.array([r[1:] for r in known], float), None
+    if len(found):
+        which, patterns = pd.factorize(found["pattern"].map(tuple))
+        values = np.zeros((len(patterns), 2 * k * k))
+        values[which, found["place"]] = found["value"]
+        patterns = np.array(list(patterns), float)
+        ss, st = values[:, : k * k].reshape(-1, k, k), values[:, k * k :].reshape(-1, k, k)
+        for _ in range(max_rounds if rounds is None else rounds):
+            fresh = _next_directions(current, patterns[:, :k], patterns[:, k:], ss, st)
+            change, current = float(np.abs(fresh - current).max()), fresh
+            if rounds is None and change <= tolerance:
+                break
+        else:
+            if rounds is None:
+                raise RuntimeError(f"light directions still change by {change} after {max_rounds} rounds")
+    return spark.createDataFrame([(r[0], *map(float, v)) for r, v in zip(known, current)], out)
+
+
+def _refine_by_passes(obs: DataFrame, lights: DataFrame, keys: Sequence[str], rounds: int | None, tolerance: float, max_rounds: int) -> DataFrame:
+    """``refine_lights`` with a pass over the observations a round."""
     from gesso.operators import relief
     from gesso.operators.scans import least_squares
-    from gesso.session import cut
 
     axes = ("lx", "ly", "lz")
     current = lights.select("light_id", *axes)

@@ -18,6 +18,8 @@ from gesso.session import cut, fence, lookup
 
 AXES = ("lx", "ly", "lz")
 PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
+#: intensity above which an observation counts as lit
+LIT = 0.05
 
 
 def lit_mask(df: DataFrame, threshold: float = 0.05, value: str = "intensity") -> DataFrame:
@@ -90,7 +92,7 @@ def _solve(df: DataFrame, relative: float | None = None) -> DataFrame:
     return fence(df.withColumns(solved).withColumn("full_rank", full).drop(*helpers), "b0", "b1", "b2")
 
 
-def photometric_stereo(obs: DataFrame, lights: DataFrame, keys: Sequence[str], threshold: float = 0.05, min_lights: int = 3) -> DataFrame:
+def photometric_stereo(obs: DataFrame, lights: DataFrame, keys: Sequence[str], threshold: float = LIT, min_lights: int = 3) -> DataFrame:
     """Least-squares albedo and unit normal per pixel, in one aggregate.
 
     Lit observations only; a pixel needs ``min_lights`` distinct lights, and
