@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gesso.operators.scans import attach
+from gesso.operators.scans import _solve_stack, attach
 from gesso.session import cut, forget, keep, lookup
 
 #: numbers of light products (patterns by twice the square of the lights) up to which they come to the driver, 64 MB
@@ -202,18 +202,34 @@ def _light_products(pixels: DataFrame, k: int) -> DataFrame:
     return flat.groupBy("pattern", "place").agg(F.sum("value").alias("value"))
 
 
+def _inverses(a: np.ndarray) -> np.ndarray:
+    """Inverses of symmetric 3x3 sums by the rule of ``photometric_stereo``: as they are if their determinant passes
+    1e-6, else with the null direction filled in, else (rank one) by their trace."""
+    det, trace = np.linalg.det(a), np.trace(a, axis1=1, axis2=2)
+    crossed = np.stack([np.cross(a[:, i], a[:, j]) for i, j in ((0, 1), (0, 2), (1, 2))], axis=1)
+    size = (crossed * crossed).sum(axis=2)
+    best, each = size.argmax(axis=1), np.arange(len(a))
+    u, most = crossed[each, best], size[each, best]
+    full, rank2 = np.abs(det) > 1e-6, np.sqrt(most) > 1e-9 * trace * trace
+    out = np.eye(3)[None] / np.where(trace > 0, trace, 1.0)[:, None, None]
+    out[full] = np.linalg.inv(a[full])
+    lift = rank2 & ~full
+    out[lift] = np.linalg.inv(a[lift] + u[lift, :, None] * u[lift, None, :] / most[lift, None, None])
+    return out
+
+
 def _next_directions(axes: np.ndarray, counts: np.ndarray, lit: np.ndarray, ss: np.ndarray, st: np.ndarray) -> np.ndarray:
     """One round on the products: surface by the directions, directions by the surface. Lights without a fit keep theirs."""
-    surface = np.linalg.pinv(np.einsum("pk,ki,kj->pij", lit, axes, axes), rcond=1e-9, hermitian=True) @ axes.T
+    surface = _inverses(np.einsum("pk,ki,kj->pij", lit, axes, axes)) @ axes.T
     normal = surface @ ss @ surface.transpose(0, 2, 1)
     gram, right = np.einsum("pk,pij->kij", counts, normal), np.einsum("pis,psk->ki", surface, st)
-    fresh = np.einsum("kij,kj->ki", np.linalg.pinv(gram, rcond=1e-12, hermitian=True), right)
+    fresh = _solve_stack(gram, right[:, :, None])[:, :, 0]
     length = np.sqrt((fresh * fresh).sum(axis=1, keepdims=True))
     return np.where(length > 0, fresh / np.where(length > 0, length, 1.0), axes)
 
 
 def refine_lights(
-    obs: DataFrame, lights: DataFrame, keys: Sequence[str], rounds: int | None = None, tolerance: float = 1e-4, max_rounds: int = 2000
+    obs: DataFrame, lights: DataFrame, keys: Sequence[str], rounds: int | None = None, tolerance: float = 1e-4, max_rounds: int = 100_000
 ) -> DataFrame:
     """Alternate surface and light directions.
 
