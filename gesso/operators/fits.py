@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gesso.operators.scans import _solve_stack, attach
-from gesso.session import cut, forget, keep, lookup
+from gesso.session import forget, keep, lookup
 
-#: numbers of light products (patterns by twice the square of the lights) up to which they come to the driver, 64 MB
-PRODUCTS = 8_000_000
+#: numbers of light products (patterns by twice the square of the lights) up to which they come to the driver, packed: 16 MB
+PRODUCTS = 2_000_000
+#: numbers of light products that a task holds at once, 64 MB
+HELD = 8_000_000
 
 
 def fit_circle(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -170,14 +172,19 @@ def _by_light(obs: DataFrame, lights: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def _light_products(pixels: DataFrame, k: int) -> DataFrame:
-    """(pattern, place, value): per pattern of counts the entries of the sums of s s' and s t' (k by k each) over its pixels.
+    """(pattern, products), both packed: per pattern of counts the sums of s s' and s t' (k by k each) over its pixels.
 
-    A task adds up its pixels by matrix products and gives one partial sum a
-    pattern, so what is shuffled doesn't depend on the number of pixels.
+    A task adds up its pixels by matrix products, ``HELD`` numbers at a time;
+    what it gives is sorted by pattern and added up again in one pass, so no
+    task holds more however many patterns there are.
     """
+    numbers = 2 * k * k
+
+    def packed(held: dict[bytes, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"pattern": list(held), "products": [part.tobytes() for part in held.values()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
+        held: dict[bytes, np.ndarray] = {}
         for batch in batches:
             if not len(batch):
                 continue
@@ -189,17 +196,31 @@ def _light_products(pixels: DataFrame, k: int) -> DataFrame:
                 dense[name][row, light] = np.concatenate(batch[name].to_numpy())
             kinds, which = np.unique(np.hstack([dense["c"], dense["n"]]).astype("int64"), axis=0, return_inverse=True)
             which = which.ravel()
-            for at, kind in enumerate(kinds):
-                s, t = dense["s"][which == at], dense["t"][which == at]
-                part = np.concatenate([(s.T @ s).ravel(), (s.T @ t).ravel()])
-                name = tuple(kind.tolist())
+            order = np.argsort(which, kind="stable")
+            for kind, own in zip(kinds, np.split(order, np.cumsum(np.bincount(which))[:-1])):
+                s, t = dense["s"][own], dense["t"][own]
+                part, name = np.concatenate([(s.T @ s).ravel(), (s.T @ t).ravel()]), kind.tobytes()
+                held[name] = held[name] + part if name in held else part
+                if len(held) * numbers > HELD:
+                    yield packed(held)
+                    held = {}
+        if held:
+            yield packed(held)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            for name, part in zip(batch["pattern"], batch["products"]):
+                part, name = np.frombuffer(part), bytes(name)
+                if name not in held and len(held) * numbers > HELD:
+                    yield packed(held)
+                    held = {}
                 held[name] = held[name] + part if name in held else part
-        for name, part in held.items():
-            yield pd.DataFrame({"pattern": [list(name)], "values": [part]})
+        if held:
+            yield packed(held)
 
-    partial = pixels.mapInPandas(add, "pattern array<bigint>, values array<double>")
-    flat = partial.select("pattern", F.posexplode("values").alias("place", "value"))
-    return flat.groupBy("pattern", "place").agg(F.sum("value").alias("value"))
+    schema = "pattern binary, products binary"
+    return pixels.mapInPandas(add, schema).repartition("pattern").sortWithinPartitions("pattern").mapInPandas(merge, schema)
 
 
 def _inverses(a: np.ndarray) -> np.ndarray:
@@ -218,11 +239,22 @@ def _inverses(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def _next_directions(axes: np.ndarray, counts: np.ndarray, lit: np.ndarray, ss: np.ndarray, st: np.ndarray) -> np.ndarray:
-    """One round on the products: surface by the directions, directions by the surface. Lights without a fit keep theirs."""
+def _unpacked(rows: pd.DataFrame, k: int) -> tuple[np.ndarray, ...]:
+    """Observations and lit observations by light, sums of s s' and of s t' of each pattern."""
+    patterns = np.frombuffer(b"".join(map(bytes, rows["pattern"])), np.int64).reshape(len(rows), 2 * k).astype(float)
+    values = np.frombuffer(b"".join(map(bytes, rows["products"]))).reshape(len(rows), 2, k, k)
+    return patterns[:, :k], patterns[:, k:], values[:, 0], values[:, 1]
+
+
+def _direction_sums(axes: np.ndarray, counts: np.ndarray, lit: np.ndarray, ss: np.ndarray, st: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least-squares sums of each light's direction, with the surface by the directions ``axes``."""
     surface = _inverses(np.einsum("pk,ki,kj->pij", lit, axes, axes)) @ axes.T
     normal = surface @ ss @ surface.transpose(0, 2, 1)
-    gram, right = np.einsum("pk,pij->kij", counts, normal), np.einsum("pis,psk->ki", surface, st)
+    return np.einsum("pk,pij->kij", counts, normal), np.einsum("pis,psk->ki", surface, st)
+
+
+def _next_directions(axes: np.ndarray, gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Unit directions of the sums. Lights without a fit keep theirs."""
     fresh = _solve_stack(gram, right[:, :, None])[:, :, 0]
     length = np.sqrt((fresh * fresh).sum(axis=1, keepdims=True))
     return np.where(length > 0, fresh / np.where(length > 0, length, 1.0), axes)
@@ -242,9 +274,10 @@ def refine_lights(
     A pixel's surface is linear in its lit intensities, by a matrix that only
     its pattern (observations and lit observations by light) decides. So one
     pass adds up a light-by-light product matrix a pattern, and the rounds run
-    on these, whatever the number of pixels. If patterns and lights are so many
-    that the products pass ``PRODUCTS`` numbers, each round is a pass over the
-    observations; the result is the same. Missing intensities are left out.
+    on these, whatever the number of pixels: on the driver up to ``PRODUCTS``
+    numbers, beyond that as a pass over the table of products a round, of
+    which only the sums by light reach the driver. Missing intensities are
+    left out.
     """
     axes = ("lx", "ly", "lz")
     known = [tuple(r) for r in lights.select("light_id", *axes).orderBy("light_id").collect()]  # lamps of one stand
@@ -254,53 +287,45 @@ def refine_lights(
     if k == 0:
         return spark.createDataFrame([], out)
     numbered = spark.createDataFrame([(r[0], i) for i, r in enumerate(known)], f"light_id {kind}, i int")
-    pixels = keep(_by_light(obs, numbered, keys), "pixels")
-    most = PRODUCTS // (2 * k * k)
-    if pixels.select("i", "c", "n").distinct().limit(most + 1).count() > most:
-        forget(pixels)
-        return _refine_by_passes(obs.where(F.col("intensity").isNotNull()), lights, keys, rounds, tolerance, max_rounds)
-    found = _light_products(pixels, k).toPandas()
-    forget(pixels)
-    current, change = np.array([r[1:] for r in known], float), None
-    if len(found):
-        which, patterns = pd.factorize(found["pattern"].map(tuple))
-        values = np.zeros((len(patterns), 2 * k * k))
-        values[which, found["place"]] = found["value"]
-        patterns = np.array(list(patterns), float)
-        ss, st = values[:, : k * k].reshape(-1, k, k), values[:, k * k :].reshape(-1, k, k)
-        for _ in range(max_rounds if rounds is None else rounds):
-            fresh = _next_directions(current, patterns[:, :k], patterns[:, k:], ss, st)
-            change, current = float(np.abs(fresh - current).max()), fresh
-            if rounds is None and change <= tolerance:
-                break
+    products = keep(_light_products(_by_light(obs, numbered, keys), k), "products")
+    current, patterns = np.array([r[1:] for r in known], float), products.count()
+    if patterns:
+        if patterns * 2 * k * k <= PRODUCTS:
+            held = _unpacked(pd.DataFrame(products.collect(), columns=products.columns), k)
+            current = _refined(current, lambda at: _direction_sums(at, *held), rounds, tolerance, max_rounds)
         else:
-            if rounds is None:
-                raise RuntimeError(f"light directions still change by {change} after {max_rounds} rounds")
+            current = _refine_by_passes(products, current, rounds, tolerance, max_rounds)
+    forget(products)
     return spark.createDataFrame([(r[0], *map(float, v)) for r, v in zip(known, current)], out)
 
 
-def _refine_by_passes(obs: DataFrame, lights: DataFrame, keys: Sequence[str], rounds: int | None, tolerance: float, max_rounds: int) -> DataFrame:
-    """``refine_lights`` with a pass over the observations a round."""
-    from gesso.operators import relief
-    from gesso.operators.scans import least_squares
-
-    axes = ("lx", "ly", "lz")
-    current = lights.select("light_id", *axes)
+def _refined(axes: np.ndarray, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], rounds: int | None, tolerance: float, max_rounds: int) -> np.ndarray:
+    """The rounds of ``refine_lights``."""
+    change = None
     for _ in range(max_rounds if rounds is None else rounds):
-        s = relief.photometric_stereo(obs, current, keys)
-        b = s.select(*keys, *[(F.col("rho") * F.col(n)).alias(f"b{i}") for i, n in enumerate(("nx", "ny", "nz"))])
-        rows = obs.join(b.where(F.col("b0").isNotNull()), list(keys))
-        fit = least_squares(rows, ["light_id"], [F.col("b0"), F.col("b1"), F.col("b2")], [F.col("intensity")])
-        n = F.sqrt(F.aggregate("coef", F.lit(0.0), lambda a, v: a + v * v))
-        fresh = fit.select("light_id", *[F.try_divide(F.col("coef")[i], n).alias(f"_f{i}") for i in range(3)])
-        merged = current.join(fresh, "light_id", "left")
-        moved = F.greatest(*[F.abs(F.coalesce(f"_f{i}", a) - F.col(a)) for i, a in enumerate(axes)])
-        fitted = cut(merged.select("light_id", *[F.coalesce(f"_f{i}", a).alias(a) for i, a in enumerate(axes)], moved.alias("_moved")))
-        current = fitted.drop("_moved")
-        if rounds is None:
-            change = fitted.agg(F.max("_moved")).first()[0]
-            if change is None or change <= tolerance:
-                return current
+        fresh = _next_directions(axes, *sums(axes))
+        change, axes = float(np.abs(fresh - axes).max()), fresh
+        if rounds is None and change <= tolerance:
+            return axes
     if rounds is None:
         raise RuntimeError(f"light directions still change by {change} after {max_rounds} rounds")
-    return current
+    return axes
+
+
+def _refine_by_passes(products: DataFrame, axes: np.ndarray, rounds: int | None, tolerance: float, max_rounds: int) -> np.ndarray:
+    """The rounds with a pass over ``products`` each; a task gives one row of sums."""
+    k = len(axes)
+
+    def sums(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            gram, right = np.zeros((k, 3, 3)), np.zeros((k, 3))
+            for batch in batches:
+                if len(batch):
+                    g, r = _direction_sums(at, *_unpacked(batch, k))
+                    gram, right = gram + g, right + r
+            yield pd.DataFrame({"sums": [np.concatenate([gram.ravel(), right.ravel()])]})
+
+        whole = np.sum([r["sums"] for r in products.mapInPandas(part, "sums array<double>").collect()], axis=0)
+        return whole[: 9 * k].reshape(k, 3, 3), whole[9 * k :].reshape(k, 3)
+
+    return _refined(axes, sums, rounds, tolerance, max_rounds)
