@@ -396,13 +396,14 @@ def sample(df: DataFrame, columns: Sequence[str], wanted: DataFrame, sy: str, sx
     """Bilinear values at fractional positions: ``wanted`` has image_id, sy, sx.
 
     One equi-join on the block holding the position. Positions outside the
-    image have no row in the result.
+    image have no row in the result. Neither side is broadcast: ``wanted`` is
+    often unfolded from a few rows, by whose size Spark would judge it.
     """
     b = blocks(df, columns, tile).select(
         "image_id", F.col("y").alias("_by"), F.col("x").alias("_bx"), "_h", "_w", *[f"{c}_{s}" for c in columns for s in ("00", "01", "10", "11")]
     )
     at = wanted.withColumns({"_by": F.floor(sy).cast("int"), "_bx": F.floor(sx).cast("int")})
-    joined = at.join(b, ["image_id", "_by", "_bx"])
+    joined = at.hint("merge").join(b.hint("merge"), ["image_id", "_by", "_bx"])
     joined = joined.where((F.col(sy) <= F.col("_h") - 1) & (F.col(sx) <= F.col("_w") - 1))
     fy, fx = F.col(sy) - F.col("_by"), F.col(sx) - F.col("_bx")
     return joined.select(*wanted.columns, *[bilinear(c, fy, fx).alias(c) for c in columns])
@@ -428,7 +429,7 @@ def valid_positions(mask: DataFrame, wanted: DataFrame, sy: str, sx: str, tile:
     b = b.select("image_id", F.col("y").alias("_by"), F.col("x").alias("_bx"), "_h", "_w", all_four.alias("_four"))
     at = wanted.withColumns({"_by": F.floor(sy).cast("int"), "_bx": F.floor(sx).cast("int")})
     inside = (F.col(sy) <= F.col("_h") - 1) & (F.col(sx) <= F.col("_w") - 1)
-    joined = at.join(b, ["image_id", "_by", "_bx"], "left")
+    joined = at.hint("merge").join(b.hint("merge"), ["image_id", "_by", "_bx"], "left")
     return joined.select(*wanted.columns, F.coalesce(inside & F.col("_four"), F.lit(False)).alias("ok"))
 
 

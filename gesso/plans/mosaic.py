@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gesso.functions import geometry as g
 from gesso.operators import grid as gr
 from gesso.operators.scans import attach
-from gesso.session import keep, lookup
+from gesso.session import keep, lookup, spread
 
 
 def guarded(h: Column, limit: float = 5.0) -> Column:
@@ -303,7 +303,8 @@ def warp_to_panorama(pixels: DataFrame, transforms: DataFrame, columns: Sequence
         F.floor(F.min(px)).alias("x0"), F.ceil(F.max(px)).alias("x1"), F.floor(F.min(py)).alias("y0"), F.ceil(F.max(py)).alias("y1"), F.first("h").alias("h")
     )
     tiles = box.withColumn("_ty", F.explode(F.sequence(F.floor(F.col("y0") / step), F.floor(F.col("y1") / step))))
-    tiles = tiles.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("x0") / step), F.floor(F.col("x1") / step)))).repartition("image_id", "_ty", "_tx")
+    tiles = tiles.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("x0") / step), F.floor(F.col("x1") / step))))
+    tiles = spread(tiles, "image_id", "_ty", "_tx")
     span = lambda a, b, t: F.sequence(F.greatest(F.col(a), F.col(t) * step), F.least(F.col(b), F.col(t) * step + step - 1))
     out = tiles.withColumn("py", F.explode(span("y0", "y1", "_ty"))).withColumn("px", F.explode(span("x0", "x1", "_tx")))
     out = out.withColumn("_i", invert3(F.col("h")))

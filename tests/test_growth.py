@@ -42,3 +42,16 @@ def test_light_products_are_a_packed_row_a_pattern(spark, rng, monkeypatch, most
     got = {r[0]: np.array(r[1:]) for r in fits.refine_lights(obs, lights, ["pixel"], 1).collect()}
     for light, want in one_plain_round(obs, lights).items():
         assert got[light] == pytest.approx(want, abs=1e-9)
+
+
+def test_panorama_pixels_are_spread_and_not_broadcast(spark):
+    from gesso.functions import geometry as g
+    from gesso.plans import mosaic as mo
+
+    px = spark.range(0, 40 * 40).selectExpr("0 as image_id", "cast(id div 40 as int) as y", "cast(id % 40 as int) as x", "id * 0.5D as v")
+    h = spark.range(1).select(F.lit(0).alias("image_id"), g.lit_matrix([1.0, 0.0, 3.0, 0.0, 1.0, 2.0, 0.0, 0.0, 1.0]).alias("h"))
+    out = mo.warp_to_panorama(px, h, ["v"], 8, 8)
+    joins = [x for x in plan_of(out).splitlines() if "Join" in x and "_by" in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    assert "REPARTITION_BY_NUM" in plan_of(out)
+    assert out.count() == 1600
