@@ -11,7 +11,7 @@ from gesso.functions import geometry as g
 from gesso.operators import boxtree as bt
 from gesso.operators import grid as gr
 from gesso.operators.scans import attach, exact_quantiles
-from gesso.session import cut, lookup
+from gesso.session import cut, lookup, spread
 
 CORNERS = ("v1", "v2", "v3")
 
@@ -164,6 +164,21 @@ def contained_patches(boxes: DataFrame) -> DataFrame:
     return best.select("view", "patch", F.col("m.o.patch").alias("into"), (F.col("x0") - F.col("m.o.x0")).alias("dx"), (F.col("y0") - F.col("m.o.y0")).alias("dy"))
 
 
+def raster_tiles(triangles: DataFrame, keys: Sequence[str], step: int, slack: float = 0.0) -> DataFrame:
+    """A row per triangle and tile of ``step`` pixels that its box meets, spread over the tasks: the part of the box in
+    the tile is ``_x0.._x1``, ``_y0.._y1``."""
+    t = triangles.withColumns({
+        "_x0": F.ceil(F.least("ax", "bx", "cx") - slack), "_x1": F.floor(F.greatest("ax", "bx", "cx") + slack),
+        "_y0": F.ceil(F.least("ay", "by", "cy") - slack), "_y1": F.floor(F.greatest("ay", "by", "cy") + slack),
+    }).where("_x0 <= _x1 AND _y0 <= _y1")
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) / step), F.floor(F.col(b) / step))
+    t = t.withColumn("_ty", F.explode(cells("_y0", "_y1"))).withColumn("_tx", F.explode(cells("_x0", "_x1")))
+    t = spread(t, *keys, "_ty", "_tx")
+    ends = lambda a, b, k: (F.greatest(F.col(a), F.col(k) * step), F.least(F.col(b), F.col(k) * step + step - 1))
+    (x0, x1), (y0, y1) = ends("_x0", "_x1", "_tx"), ends("_y0", "_y1", "_ty")
+    return t.withColumns({"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1}).drop("_ty", "_tx")
+
+
 def rasterise(triangles: DataFrame, keys: Sequence[str], step: int = 64, slack: float = 0.0) -> DataFrame:
     """Pixels (integer centres) covered by 2-D triangles ax..cy: keys, y, x and
     weights wa, wb, wc.
@@ -171,14 +186,8 @@ def rasterise(triangles: DataFrame, keys: Sequence[str], step: int = 64, slack:
     The box of a triangle is first cut into tiles that are spread over the
     tasks and only then unfolded, so one huge triangle is many rows of work.
     """
-    t = triangles.withColumns({
-        "_x0": F.ceil(F.least("ax", "bx", "cx") - slack), "_x1": F.floor(F.greatest("ax", "bx", "cx") + slack),
-        "_y0": F.ceil(F.least("ay", "by", "cy") - slack), "_y1": F.floor(F.greatest("ay", "by", "cy") + slack),
-    }).where("_x0 <= _x1 AND _y0 <= _y1")
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / step), F.floor(F.col(b) / step))
-    t = t.withColumn("_ty", F.explode(cells("_y0", "_y1"))).withColumn("_tx", F.explode(cells("_x0", "_x1"))).repartition(*keys, "_ty", "_tx")
-    span = lambda a, b, k: F.sequence(F.greatest(F.col(a), F.col(k) * step), F.least(F.col(b), F.col(k) * step + step - 1))
-    t = t.withColumn("y", F.explode(span("_y0", "_y1", "_ty"))).withColumn("x", F.explode(span("_x0", "_x1", "_tx")))
+    t = raster_tiles(triangles, keys, step, slack)
+    t = t.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))
     w = g.barycentric(F.col("x"), F.col("y"), *[F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy")])
     t = t.withColumns({"wa": w[0], "wb": w[1]}).withColumn("wc", 1 - F.col("wa") - F.col("wb"))
     keep = g.inside((F.col("wa"), F.col("wb"), F.col("wc")))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, StructField, StructType
 
 from gesso.functions import geometry as g
 from gesso.operators import grid as gr
-from gesso.operators.mesh import corner, face_edges, rasterise
+from gesso.operators.mesh import corner, face_edges, raster_tiles, rasterise
 from gesso.operators.raycast import blocked
 from gesso.operators.scans import attach, global_rank
 from gesso.session import cut, lookup
@@ -228,12 +231,83 @@ def apply_adjustment(triangles: DataFrame, pixels: DataFrame, columns: Sequence[
     interpolate; those within ``rim`` of a face extrapolate from the nearest
     one; others keep their colour.
     """
-    adj = triangles.select("patch", "f", "ax", "ay", "bx", "by", "cx", "cy", *[F.col(c).alias(f"adj_{c}") for c in columns])
-    cov = rasterise(adj, ["patch", "f"], step, slack=rim)
-    weights = ("wa", "wb", "wc")
-    value = {c: sum((F.col(f"adj_{c}")[k] * F.col(w) for k, w in enumerate(weights)), F.lit(0.0)) for c in columns}
-    depth = F.least(*weights)
-    cov = cov.select("patch", "y", "x", F.struct(F.col("inner").alias("i"), depth.alias("d"), (-F.col("f")).alias("f")).alias("k"), F.struct(*[v.alias(c) for c, v in value.items()]).alias("v"))
-    best = cov.groupBy("patch", "y", "x").agg(F.max_by("v", "k").alias("v"))
+    adj = triangles.where("patch IS NOT NULL").select("patch", "f", *[F.col(c).cast("double") for c in _SIDES], *[F.col(c).cast("array<double>").alias(f"adj_{c}") for c in columns])
+    best = _nearest_faces(raster_tiles(adj, ["patch", "f"], step, rim), pixels.schema["patch"].dataType, columns, rim, step)
+    key = F.struct("inner", "depth", (-F.col("f")).alias("f"))
+    best = best.groupBy("patch", "y", "x").agg(F.max_by(F.struct(*[f"v_{c}" for c in columns]), key).alias("v"))
     rows = pixels.join(best, ["patch", "y", "x"], "left")
-    return rows.withColumns({c: F.col(c) + F.coalesce(F.col(f"v.{c}"), F.lit(0.0)) for c in columns}).drop("v")
+    return rows.withColumns({c: F.col(c) + F.coalesce(F.col(f"v.v_{c}"), F.lit(0.0)) for c in columns}).drop("v")
+
+
+_SIDES = ("ax", "ay", "bx", "by", "cx", "cy")
+#: pixels a task unfolds at once, and rows of best faces it holds before it hands them on
+_AT_ONCE = 1 << 19
+
+
+def _nearest_faces(tiles: DataFrame, patch: DataType, columns: Sequence[str], rim: float, step: int) -> DataFrame:
+    """The face that decides each pixel, of those that a task has seen: patch, y, x, inner, depth, f, v_<column>.
+
+    ``tiles`` as by ``raster_tiles``. A task unfolds some triangles at a time
+    and keeps one row a pixel, so what is shuffled doesn't grow with the number
+    of faces that cover a pixel. Weights and distances are those of ``rasterise``.
+    """
+    names = [f"v_{c}" for c in columns]
+    schema = StructType([
+        StructField("patch", patch), StructField("y", IntegerType()), StructField("x", IntegerType()), StructField("inner", BooleanType()),
+        StructField("depth", DoubleType()), StructField("f", tiles.schema["f"].dataType), *[StructField(n, DoubleType()) for n in names],
+    ])
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        """One row a pixel: inner faces first, then the largest depth (none is least), then the smallest number."""
+        ordered = rows.sort_values(["inner", "depth", "f"], ascending=[False, False, True], na_position="last", kind="stable")
+        return ordered.drop_duplicates(["patch", "y", "x"])
+
+    def covered(part: pd.DataFrame) -> pd.DataFrame:
+        x0, x1, y0, y1 = (part[c].to_numpy(np.int64) for c in ("_x0", "_x1", "_y0", "_y1"))
+        wide = x1 - x0 + 1
+        each = wide * (y1 - y0 + 1)
+        row = np.repeat(np.arange(len(part)), each)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+        iy, ix = y0[row] + place // wide[row], x0[row] + place % wide[row]
+        y, x = iy.astype(float), ix.astype(float)
+        ax, ay, bx, by, cx, cy = (part[c].to_numpy(float)[row] for c in _SIDES)
+        twice = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (rx - px) * (qy - py)
+        whole = twice(ax, ay, bx, by, cx, cy)
+        whole = np.where(whole == 0, np.nan, whole)
+        wa, wb = twice(x, y, bx, by, cx, cy) / whole, twice(ax, ay, x, y, cx, cy) / whole
+        wc = 1 - wa - wb
+
+        def near(px, py, qx, qy):
+            d2 = (qx - px) ** 2 + (qy - py) ** 2
+            s = np.where(d2 == 0, 0.0, ((x - px) * (qx - px) + (y - py) * (qy - py)) / np.where(d2 == 0, 1.0, d2))
+            s = np.clip(s, 0.0, 1.0)
+            return (x - px - s * (qx - px)) ** 2 + (y - py - s * (qy - py)) ** 2 <= rim * rim
+
+        inner = (wa >= 0) & (wb >= 0) & (wc >= 0)
+        (hit,) = np.nonzero(inner | near(ax, ay, bx, by) | near(bx, by, cx, cy) | near(ax, ay, cx, cy))
+        out = {"patch": part["patch"].to_numpy()[row[hit]], "y": iy[hit].astype("int32"), "x": ix[hit].astype("int32"), "inner": inner[hit]}
+        out |= {"depth": np.fmin(np.fmin(wa, wb), wc)[hit], "f": part["f"].to_numpy()[row[hit]]}
+        for c, n in zip(columns, names):
+            corners = np.array([[np.nan] * 3 if v is None else [v[k] if k < len(v) and v[k] is not None else np.nan for k in range(3)] for v in part[f"adj_{c}"]])
+            at = corners[row[hit]]
+            out[n] = 0.0 + at[:, 0] * wa[hit] + at[:, 1] * wb[hit] + at[:, 2] * wc[hit]
+        return best(pd.DataFrame(out))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for batch in batches:
+            share = max(1, _AT_ONCE // (step * step))
+            for i in range(0, len(batch), share):
+                held.append(covered(batch.iloc[i : i + share]))
+                rows += len(held[-1])
+                if rows > _AT_ONCE:
+                    held = [best(pd.concat(held))]
+                    rows = len(held[0])
+                    if rows > _AT_ONCE // 2:
+                        yield held.pop()
+                        rows = 0
+        if held:
+            yield best(pd.concat(held))
+
+    found = tiles.select("patch", "f", *_SIDES, *[f"adj_{c}" for c in columns], "_x0", "_x1", "_y0", "_y1").mapInPandas(work, schema)
+    return found.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in ("depth", *names)})

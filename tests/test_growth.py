@@ -55,3 +55,21 @@ def test_panorama_pixels_are_spread_and_not_broadcast(spark):
     assert len(joins) == 1 and "SortMergeJoin" in joins[0]
     assert "REPARTITION_BY_NUM" in plan_of(out)
     assert out.count() == 1600
+
+
+def test_best_face_of_a_pixel_is_found_before_the_shuffle(spark, rng):
+    from gesso.operators import mesh, texture
+
+    rows = [(i % 2, i, *map(float, rng.random(6) * 20), [float(v) for v in rng.random(3)]) for i in range(300)]
+    rows += [(0, 300, 3.0, 3.0, 5.0, 5.0, 7.0, 7.0, [1.0, 1.0, 1.0]), (0, 301, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0, None), (1, 302, None, 1.0, 2.0, 3.0, 4.0, 5.0, [1.0, 1.0, 1.0]), (1, 303, *rows[1][2:])]
+    t = spark.createDataFrame(rows, "patch int, f long, ax double, ay double, bx double, by double, cx double, cy double, c0 array<double>")
+    px = spark.range(0, 2 * 30 * 30).selectExpr("cast(id div 900 as int) as patch", "cast(id % 900 div 30 as int) as y", "cast(id % 30 as int) as x", "0.5D as c0")
+    cov = mesh.rasterise(t.withColumnRenamed("c0", "adj"), ["patch", "f"], 64, 1.41)
+    value = sum((F.col("adj")[k] * F.col(w) for k, w in enumerate(("wa", "wb", "wc"))), F.lit(0.0))
+    key = F.struct(F.col("inner").alias("i"), F.least("wa", "wb", "wc").alias("d"), (-F.col("f")).alias("f"))
+    want = px.join(cov.groupBy("patch", "y", "x").agg(F.max_by(value, key).alias("v")), ["patch", "y", "x"], "left")
+    want = {(r["patch"], r["y"], r["x"]): r["c0"] + (r["v"] or 0.0) for r in want.collect()}
+    got = texture.apply_adjustment(t, px, ["c0"], step=8)
+    assert {(r["patch"], r["y"], r["x"]): r["c0"] for r in got.collect()} == pytest.approx(want, abs=1e-12)
+    plan = plan_of(got)
+    assert "MapInPandas" in plan and "Generate explode(sequence(_x0" not in plan
