@@ -53,16 +53,54 @@ def match_score(distance: Column) -> Column:
     return 1.0 / (distance + 1e-6)
 
 
+#: blocks of a cell while they hold no more than ``MOST`` keypoints
+PARTS, MOST = 4, 8192
+#: distances a task holds at once, and pairs that it computes number by number
+_CHUNK, _PAIRS = 1 << 21, 1 << 16
+
+
+def _nearest_rows(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest rows of ``c`` for each row of ``q`` and their distances; ties by place.
+
+    A matrix product gives all squared distances up to rounding; what lies
+    within the bound of its error of the k-th is computed number by number, so
+    the result is that of all pairs computed so.
+    """
+    exact = lambda i, j: np.concatenate([np.sqrt(((q[i[n : n + _PAIRS]] - c[j[n : n + _PAIRS]]) ** 2).sum(axis=1)) for n in range(0, len(i), _PAIRS)])
+    sq, sc = (q * q).sum(axis=1), (c * c).sum(axis=1)
+    plain = bool(np.isfinite(sq).all() and np.isfinite(sc).all())
+    slack = 32 * (q.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(sq) + np.sqrt(sc.max())) ** 2 if plain else sq
+    best, dist = [], []
+    step = max(1, _CHUNK // len(c))
+    for n in range(0, len(q), step):
+        rows = slice(n, n + step)
+        near = np.ones((len(sq[rows]), len(c)), bool)
+        if plain:
+            rough = sq[rows, None] + sc[None] - 2 * (q[rows] @ c.T)
+            near = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + slack[rows])[:, None]
+        i, j = np.nonzero(near)
+        d = exact(i + n, j)
+        order = np.lexsort((j, d, i))
+        first = np.concatenate([[0], np.cumsum(near.sum(axis=1))[:-1]])
+        take = order[first[:, None] + np.arange(k)[None]]
+        best.append(j[take])
+        dist.append(d[take])
+    return np.concatenate(best), np.concatenate(dist)
+
+
 def two_nearest(keypoints: DataFrame, width: float, height: float, block: int = 2048) -> DataFrame:
     """The two nearest descriptors in each neighbouring cell, exactly.
 
     ``keypoints``: row, col, kp, x, y, desc. Output row, col, dir, kp, match,
-    distance, rank. Cells are split into blocks of about ``block`` keypoints;
-    a task compares one block with one block and returns two candidates per
-    keypoint, so a crowded cell means more tasks, not a bigger one.
+    distance, rank. Cells are split into up to ``PARTS`` blocks of about
+    ``block`` keypoints, then their blocks grow up to ``MOST`` and beyond that
+    in number; a task compares one block with one block and returns two
+    candidates per keypoint, so a crowded cell means more tasks, not a bigger
+    one, and few copies of each keypoint.
     """
     counts = keypoints.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
-    split = lookup(counts.select("row", "col", F.ceil(F.col("n") / block).cast("int").alias("_nb")))
+    size = F.greatest(F.lit(block), F.least(F.lit(max(block, MOST)), F.ceil(F.col("n") / PARTS)))
+    split = lookup(counts.select("row", "col", F.ceil(F.col("n") / size).cast("int").alias("_nb")))
     cells = counts.select("row", "col")
     pairs = lookup(cell_neighbours(cells))
     base = keypoints.join(split, ["row", "col"]).withColumn("_b", F.pmod(F.xxhash64("kp"), F.col("_nb")).cast("int"))
@@ -87,15 +125,11 @@ def two_nearest(keypoints: DataFrame, width: float, height: float, block: int =
         q, c = np.stack(a["desc"]).astype(float), np.stack(b["desc"]).astype(float)
         ids = b["kp"].to_numpy()
         k = min(2, len(b))
-        match, dist = [], []
-        for i in range(0, len(q), 64):
-            d = np.sqrt(((q[i : i + 64, None, :] - c[None, :, :]) ** 2).sum(axis=2))
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            match.append(ids[best])
-            dist.append(np.take_along_axis(d, best, axis=1))
+        at, dist = _nearest_rows(q, c, k)
+        match = ids[at]
         return pd.DataFrame({
             "row": a["row"].iloc[0], "col": a["col"].iloc[0], "dir": a["dir"].iloc[0],
-            "kp": np.repeat(a["kp"].to_numpy(), k), "match": np.concatenate(match).ravel(), "distance": np.concatenate(dist).ravel(),
+            "kp": np.repeat(a["kp"].to_numpy(), k), "match": match.ravel(), "distance": dist.ravel(),
         })
 
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(

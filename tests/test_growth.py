@@ -73,3 +73,31 @@ def test_best_face_of_a_pixel_is_found_before_the_shuffle(spark, rng):
     assert {(r["patch"], r["y"], r["x"]): r["c0"] for r in got.collect()} == pytest.approx(want, abs=1e-12)
     plan = plan_of(got)
     assert "MapInPandas" in plan and "Generate explode(sequence(_x0" not in plan
+
+
+def test_nearest_rows_are_those_of_all_pairs(rng):
+    from gesso.operators import matching
+
+    c = rng.integers(0, 3, (500, 6)).astype(float)  # many ties
+    far = rng.normal(size=(70, 6)) * 1e-9 + 1e4
+    for q, of in ((c[:90], c), (c[:5], far), (far, far), (c[:9], c[:1]), (np.where(c[:50] == 2, np.nan, c[:50]), c)):
+        k = min(2, len(of))
+        d = np.sqrt(((q[:, None, :] - of[None]) ** 2).sum(axis=2))
+        want = np.argsort(d, axis=1, kind="stable")[:, :k]
+        at, dist = matching._nearest_rows(q, of, k)
+        assert (at == want).all() and np.array_equal(dist, np.take_along_axis(d, want, axis=1), equal_nan=True)
+
+
+def test_crowded_cells_have_few_blocks(spark, monkeypatch):
+    from gesso.operators import matching
+
+    kp = spark.range(0, 1200).selectExpr("0 as row", "cast(id % 2 as int) as col", "id as kp", "cast(id % 97 as double) as x", "cast(id % 89 as double) as y", "array(cast(id % 31 as float), cast(id % 7 as float)) as desc")
+    calls, real = spark.sparkContext.accumulator(0), matching._nearest_rows
+
+    def counted(*a):
+        calls.add(1)
+        return real(*a)
+
+    monkeypatch.setattr(matching, "_nearest_rows", counted)
+    n = matching.two_nearest(kp, 97, 89, block=8).count()
+    assert n > 1000 and 0 < calls.value <= 2 * matching.PARTS**2
