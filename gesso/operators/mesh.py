@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from gesso.functions import geometry as g
 from gesso.operators import boxtree as bt
 from gesso.operators import grid as gr
 from gesso.operators.scans import attach, exact_quantiles
-from gesso.session import cut, lookup, spread
+from gesso.session import cut, keep, lookup, spread
 
 CORNERS = ("v1", "v2", "v3")
 
@@ -135,6 +137,60 @@ def redundant_faces(faces: DataFrame, mesh: str = "mesh_id") -> DataFrame:
     return faces.withColumn("_k", key).join(keep, [mesh, "_k"]).where("f < _keep").select(mesh, "f", F.col("_keep").alias("kept"))
 
 
+#: boxes a task looks through, and the largest of them by which it leaves out others
+_BOXES, _LARGEST = 50_000, 2048
+
+
+def _outer_boxes(boxes: DataFrame) -> DataFrame:
+    """``boxes`` without rows that are nobody's best container, since they lie in a better one.
+
+    What contains a container contains what is in it, so only boxes that lie in
+    no better one are needed. Tasks compare boxes that are near each other,
+    largest first, with the ``_LARGEST`` of them; rows left over cost time, not
+    right results. This is repeated while it halves the rows. A patch with two
+    boxes in a view can't be its own container, so it doesn't push out others.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    rows = boxes.select("view", "patch", *sides).dropna().distinct()
+    box = F.struct(*sides)
+    alone = rows.groupBy("view", "patch").agg((F.min(box) == F.max(box)).alias("_alone"))
+    wide, high = (F.col(b).cast("long") - F.col(a) for a, b in (("x0", "x1"), ("y0", "y1")))
+    fair = (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))
+    rows = rows.join(alone, ["view", "patch"]).withColumns({"_area": wide * high, "_fair": fair})
+    rows = keep(rows, "boxes")
+    n = rows.count()
+    cell = rows.agg(F.max(F.greatest(wide, high, F.lit(1)))).scalar()
+    schema = rows.schema
+
+    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        view, known = None, None
+        for batch in batches:
+            for at, part in batch.groupby("view", sort=False):
+                if view is None or at != view:
+                    view, known = at, part.iloc[:0]
+                able = part[part["_alone"] & part["_fair"]]
+                pool = pd.concat([known, able.iloc[: max(0, _LARGEST - len(known))]])
+                by = {c: pool[c].to_numpy()[None] for c in [*sides, "_area", "patch"]}
+                stay = np.ones(len(part), bool)
+                for i in range(0, len(part), 512):
+                    own = {c: part[c].to_numpy()[i : i + 512, None] for c in by}
+                    within = (by["x0"] <= own["x0"]) & (by["y0"] <= own["y0"]) & (by["x1"] >= own["x1"]) & (by["y1"] >= own["y1"])
+                    better = (by["_area"] > own["_area"]) | ((by["_area"] == own["_area"]) & (by["patch"] < own["patch"]))
+                    stay[i : i + 512] = ~(within & better).any(axis=1)
+                left = part[stay | ~part["_fair"].to_numpy()]
+                known = pd.concat([known, left[left["_alone"] & left["_fair"]]]).iloc[:_LARGEST]
+                yield left
+
+    while True:
+        tasks = -(-n // _BOXES) or 1
+        near = rows.withColumns({"_cx": F.floor(F.col("x0") / cell), "_cy": F.floor(F.col("y0") / cell)})
+        near = near.repartitionByRange(tasks, "view", "_cx", "_cy", "x0", "y0", "patch").sortWithinPartitions("view", F.desc("_area"), "patch")
+        rows, before = keep(near.drop("_cx", "_cy").mapInPandas(outer, schema), "boxes"), n
+        n = rows.count()
+        if tasks == 1 or 2 * n > before:
+            return rows.select("view", "patch", *sides)
+
+
 def contained_patches(boxes: DataFrame) -> DataFrame:
     """Representative of each patch box lying wholly in another of its view.
 
@@ -142,11 +198,12 @@ def contained_patches(boxes: DataFrame) -> DataFrame:
     if it is larger, or equal with a smaller number; the largest container
     wins, ties by number. A box is entered under the few cells of the grid
     level that fits its size, so that big boxes cost no more than small ones;
-    the candidate looks up its corner once per level in use. Output: view,
+    the candidate looks up its corner once per level in use. Boxes that lie in
+    a better container are no candidates (see ``_outer_boxes``). Output: view,
     patch, into, dx, dy.
     """
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1))
-    big = boxes.withColumn("_lv", F.ceil(F.log2(side)).cast("int"))
+    big = _outer_boxes(boxes).withColumn("_lv", F.ceil(F.log2(side)).cast("int"))
     levels = sorted(r[0] for r in big.select("_lv").distinct().collect())  # exponents of integers: 64 at most
     size = F.pow(F.lit(2.0), F.col("_lv"))
     reach = lambda a, b: F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor(F.col(b) / size).cast("int"))

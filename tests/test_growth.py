@@ -101,3 +101,28 @@ def test_crowded_cells_have_few_blocks(spark, monkeypatch):
     monkeypatch.setattr(matching, "_nearest_rows", counted)
     n = matching.two_nearest(kp, 97, 89, block=8).count()
     assert n > 1000 and 0 < calls.value <= 2 * matching.PARTS**2
+
+
+def test_only_outer_boxes_are_candidates(spark, rng, monkeypatch):
+    from gesso.operators import mesh
+
+    rows = [(int(v), i, int(x), int(y), int(x + w), int(y + h)) for i, (v, x, y, w, h) in enumerate(rng.integers(0, [2, 30, 30, 12, 12], (600, 5)))]
+    rows += [rows[3], (rows[5][0], 5, 0, 0, 45, 45), (0, 900, 20, 20, 10, 10), (0, 901, None, 0, 5, 5), (0, None, 0, 0, 50, 50)]  # twice, a patch with two boxes, an inverted one
+    b = spark.createDataFrame(rows, "view int, patch int, x0 int, y0 int, x1 int, y1 int")
+    area = lambda o: (o[4] - o[2]) * (o[5] - o[3])
+    whole = [r for r in set(rows) if None not in r]
+    want = {}
+    for s in whole:
+        over = [o for o in whole if o[0] == s[0] and o[1] != s[1] and o[2] <= s[2] and o[3] <= s[3] and o[4] >= s[4] and o[5] >= s[5] and (area(o) > area(s) or o[1] < s[1])]
+        if over:
+            best = max(over, key=lambda o: (area(o), -o[1]))
+            want[s[:4]] = best[1]
+    for most in (2048, 5):
+        monkeypatch.setattr(mesh, "_LARGEST", most)
+        monkeypatch.setattr(mesh, "_BOXES", 200)
+        got = mesh.contained_patches(b).join(b.select("view", "patch", "x0", "y0").distinct(), ["view", "patch"])
+        got = {(r["view"], r["patch"], r["x0"], r["y0"]): r["into"] for r in got.where("dx >= 0 AND dy >= 0").collect()}
+        torn = rows[5][:2]
+        assert {k: v for k, v in got.items() if k[:2] != torn} == {k: v for k, v in want.items() if k[:2] != torn}
+    monkeypatch.undo()
+    assert mesh._outer_boxes(b).count() < 300
