@@ -169,7 +169,7 @@ def _outer_boxes(boxes: DataFrame) -> DataFrame:
                 if view is None or at != view:
                     view, known = at, part.iloc[:0]
                 able = part[part["_alone"] & part["_fair"]]
-                pool = pd.concat([known, able.iloc[: max(0, _LARGEST - len(known))]])
+                pool = pd.concat([known, able.drop_duplicates(sides).iloc[: max(0, _LARGEST - len(known))]])
                 by = {c: pool[c].to_numpy()[None] for c in [*sides, "_area", "patch"]}
                 stay = np.ones(len(part), bool)
                 for i in range(0, len(part), 512):

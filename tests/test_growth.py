@@ -126,3 +126,10 @@ def test_only_outer_boxes_are_candidates(spark, rng, monkeypatch):
         assert {k: v for k, v in got.items() if k[:2] != torn} == {k: v for k, v in want.items() if k[:2] != torn}
     monkeypatch.undo()
     assert mesh._outer_boxes(b).count() < 300
+
+
+def test_copies_of_a_box_are_one_candidate(spark):
+    from gesso.operators import mesh
+
+    b = spark.range(0, 12000).selectExpr("0 as view", "cast(id as int) as patch", "cast(id % 6 * 100 as int) as x0", "0 as y0", "cast(id % 6 * 100 + 9 as int) as x1", "cast(id % 6 + 3 as int) as y1")
+    assert mesh._outer_boxes(b).count() <= 12
