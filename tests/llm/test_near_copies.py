@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from gesso.llm import near_copies
+from gesso.llm import near_copies, simhash
 
 
 def brute_set(text):
@@ -62,3 +62,20 @@ def test_stage_drops_copies_of_80_percent(spark):
     texts = [" ".join(h) for h in hearts] + [" ".join("changed" if i in (40, 90, 140) else w for i, w in enumerate(h)) for h in hearts]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(range(20))
+
+
+def test_stage_drops_near_fingerprints_too(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    while True:
+        other = list(base)
+        for i in rng.sample(range(200), 6):
+            other[i] = f"x{rng.randrange(5000)}"
+        a, b = (" ".join(t) for t in (base, other))
+        x, y = (set(near_copies.shingle_set(t).tolist()) for t in (a, b))
+        apart = ((simhash.fingerprint(a) ^ simhash.fingerprint(b)) % 2**64).bit_count()
+        if apart <= 4 and 100 * len(x & y) < 80 * len(x | y):
+            break
+    docs = spark.createDataFrame([(3, a, "en", "s", 1), (2, b, "en", "s", 1), (7, "something else", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_copies.drop_near_copies(docs).count() == 3
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {2, 7}
