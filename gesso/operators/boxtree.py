@@ -41,6 +41,8 @@ SECOND = 4
 FEW = 16
 #: buckets in more than this share of all pairs (one in HOT) are joined by broadcast, at most HOT of them
 HOT = 1000
+#: pairs of block and bucket whose results a task holds at once, at most 64 rows each
+PAIRS = 256
 #: rounding of distances
 SLACK = 1 + 1e-14
 AXIS_BITS = 21
@@ -218,7 +220,7 @@ def _verify(pairs: DataFrame, blocks: DataFrame, tree: BoxTree, often: DataFrame
     ])
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[n : n + PAIRS] for b in batches for n in range(0, len(b), PAIRS)):
             out = {f.name: [] for f in schema.fields}
             for row in batch.to_dict("records"):
                 ids, items = np.asarray(row["_q_id"]), np.asarray(row[f"_p_{ident}"])
