@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gesso.llm import bpe, mixing, near_copies, pii, quality_table, simhash
-from gesso.session import keep
+from gesso.session import forget, keep
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,7 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id: of fingerprints up to 4 bits apart, then
     of five-word shingles that are 80 % alike, which fingerprints miss."""
-    return near_copies.drop_near_copies(keep(simhash.drop_near_dups(docs), "fingerprinted"))
+    fingerprinted = simhash.drop_near_dups(docs)
+    left = near_copies.drop_near_copies(fingerprinted)
+    forget(fingerprinted)  # its rows were written anew, with their numbers
+    return left
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

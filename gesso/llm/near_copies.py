@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from gesso.llm.links import components
 from gesso.llm.spans import map_texts
 from gesso.llm.words import free_prefix
-from gesso.session import keep
+from gesso.session import forget, keep
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 24, 4
@@ -125,8 +125,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT, small
     keyed = nodes.select("node", "row", "size", F.explode("bands").alias("key"))
     same = Window.partitionBy("key")
     shared = keyed.withColumns({"n": F.count("*").over(same), "total": F.sum("size").over(same)}).where(F.col("n") > 1)
-    shared = keep(shared, "bands")
-    sets = keep(with_sets(texts.join(shared.select("row", "node").distinct(), "row").select("node", "text")), "sets")
+    shared = keep(shared, "bands", tidy=True)
+    sets = keep(with_sets(texts.join(shared.select("row", "node").distinct(), "row").select("node", "text")), "sets", tidy=True)
     few = shared.where(F.col("n") <= small)
     pairs = (
         few.select("key", F.col("node").alias("a"), F.col("size").alias("m"))
@@ -147,7 +147,10 @@ def near_links(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT, small
         .select("key", "node", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     )
     spanning = dealt.join(sets, "node").groupBy("key", "lo", "hi").applyInPandas(_spanning_links(percent), "a long, b long")
-    return verified.union(spanning).distinct()
+    links = keep(verified.union(spanning).distinct(), "links", tidy=True)
+    forget(shared)
+    forget(sets)
+    return links
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -157,10 +160,11 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT, small: int = SMALL
     words are alike. All columns and their names stay; null ids come last.
     """
     row = free_prefix(docs.columns) + "row"
-    stored = keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    marks = keep(with_marks(stored.select("doc_id", row, "text")), "marks")
+    stored = keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows", tidy=True)
+    marks = keep(with_marks(stored.select("doc_id", row, "text")), "marks", tidy=True)
     least = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row, "size", "bands")).alias("low"))
-    least = keep(least.select("node", F.struct("low.no_id", "low.doc_id", f"low.{row}").alias("low"), "low.size", "low.bands"), "nodes")
+    least = keep(least.select("node", F.struct("low.no_id", "low.doc_id", f"low.{row}").alias("low"), "low.size", "low.bands"), "nodes", tidy=True)
+    forget(marks)
     nodes = least.select("node", "size", "bands", F.col(f"low.{row}").alias("row"))
     roots = components(near_links(nodes, stored.select(F.col(row).alias("row"), "text"), percent, small, block))
     rooted = least.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -1,11 +1,14 @@
 """Near copies against exact similarity of all pairs."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
+import pyarrow.parquet as pq
 import pytest
 
 from gesso.llm import near_copies, simhash
+from gesso.session import shared_dir
 
 
 def brute_set(text):
@@ -79,3 +82,13 @@ def test_stage_drops_near_fingerprints_too(spark):
     docs = spark.createDataFrame([(3, a, "en", "s", 1), (2, b, "en", "s", 1), (7, "something else", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert near_copies.drop_near_copies(docs).count() == 3
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {2, 7}
+
+
+def test_stage_leaves_one_copy_of_the_texts(spark):
+    held = lambda: {p.parent for p in Path(shared_dir(spark).removeprefix("file:")).glob("gesso-*/*/*.parquet") if "text" in pq.read_schema(p).names}
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(50)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*texts, *texts])], "doc_id long, text string, lang string, source string, n_chars long")
+    before = held()
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 30
+    assert len(held() - before) == 1
