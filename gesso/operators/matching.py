@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gesso.functions import geometry as g
 from gesso.operators.scans import attach
@@ -211,6 +212,59 @@ def ransac_draws(share: float, confidence: float) -> int:
     return math.ceil(math.log(1 - confidence) / math.log(1 - share * share))
 
 
+#: ties that a task packs at once, and distances that it computes at once
+_TIES, _GAPS = 1 << 16, 1 << 18
+_DRAWN = ("_k", "a", "b", "tx", "ty")
+
+
+def _packed_ties(ties: DataFrame, keys: list[str]) -> DataFrame:
+    """Ties as a row a pair and run of ``_TIES`` rows of a task, with ``_xy`` (x1, y1, x2, y2 one after the other) as bytes."""
+    ends = ["x1", "y1", "x2", "y2"]
+
+    def fold(held: list[pd.DataFrame]) -> pd.DataFrame:
+        run = pd.concat(held, ignore_index=True)
+        parts = run.groupby(keys, sort=False) if keys else [((), run)]
+        return pd.DataFrame([(*key, part[ends].to_numpy(float).T.tobytes()) for key, part in parts], columns=[*keys, "_xy"])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= _TIES:
+                yield fold(held)
+                held, n = [], 0
+        if n:
+            yield fold(held)
+
+    rows = ties.select(*keys, *[F.col(c).cast("double").alias(c) for c in ends])
+    for c in keys:
+        rows = rows.where(F.col(c).isNotNull())
+    return rows.mapInPandas(pack, T.StructType([*[ties.schema[c] for c in keys], T.StructField("_xy", T.BinaryType())]))
+
+
+def _count_inliers(keys: list[str], levels: list[float]):
+    """Per packed row and hypothesis, its ties within each threshold."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                x1, y1, x2, y2 = np.frombuffer(row["_xy"]).reshape(4, -1)[:, :, None]
+                drawn = {c: np.asarray(row[f"_h{c}"]) for c in _DRAWN}
+                a, b, tx, ty = (drawn[c] for c in _DRAWN[1:])
+                found = np.zeros((len(levels), len(a)), np.int64)
+                step = max(1, _GAPS // max(1, len(a)))
+                for n in range(0, len(x1), step):
+                    to = slice(n, n + step)
+                    dx, dy = a * x1[to] - b * y1[to] + tx - x2[to], b * x1[to] + a * y1[to] + ty - y2[to]
+                    d = dx * dx + dy * dy
+                    for i, lv in enumerate(levels):
+                        found[i] += np.count_nonzero(d <= lv * lv, axis=0)
+                yield pd.DataFrame({**{c: [row[c]] * len(a) for c in keys}, **drawn, **{f"_c{i}": found[i] for i in range(len(levels))}})
+
+    return count
+
+
 def ransac_similarity(
     ties: DataFrame, keys: Sequence[str], order: str, threshold: float = 3.0, least_share: float = 0.15, confidence: float = 0.999, top: float = 100.0,
     wanted: int = 16, seed: int = 7,
@@ -252,10 +306,13 @@ def ransac_similarity(
         dy = h["b"] * F.col("x1") + h["a"] * F.col("y1") + h["ty"] - F.col("y2")
         return dx * dx + dy * dy
 
-    rows = attach(ties, hyps, keys).select(*keys, "x1", "y1", "x2", "y2", F.explode("_h").alias("_m")).withColumn("_d", gap(F.col("_m")))
-    counts = rows.groupBy(*keys, F.col("_m._k").alias("_k")).agg(
-        F.first("_m").alias("_m"), *[F.count_if(F.coalesce(F.col("_d") <= lv * lv, F.lit(False))).alias(f"_c{i}") for i, lv in enumerate(levels)]
-    )
+    flat = hyps.select(*keys, *[F.col("_h")[c].alias(f"_h{c}") for c in _DRAWN])
+    drawn = attach(_packed_ties(ties, keys), flat, keys).where("_h_k IS NOT NULL")
+    rows = drawn.mapInPandas(_count_inliers(keys, levels), T.StructType([
+        *[ties.schema[c] for c in keys], T.StructField("_k", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in _DRAWN[1:]],
+        *[T.StructField(f"_c{i}", T.LongType()) for i in range(len(levels))],
+    ]))
+    counts = rows.groupBy(*keys, "_k").agg(F.first(F.struct(*_DRAWN)).alias("_m"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(levels))])
     best = counts.groupBy(*keys).agg(*[F.max(F.struct(F.col(f"_c{i}").alias("n"), (-F.col("_k")).alias("k"), F.col("_m").alias("m"))).alias(f"_b{i}") for i in range(len(levels))])
     choice = F.coalesce(*[F.when(F.col(f"_b{i}.n") > wanted, F.struct(F.lit(lv).alias("t"), F.col(f"_b{i}.m").alias("m"))) for i, lv in enumerate(levels)])
     chosen = best.withColumn("_w", choice).where("_w IS NOT NULL").select(*keys, F.col("_w.t").alias("threshold"), F.col("_w.m").alias("_m"))

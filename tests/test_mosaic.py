@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gesso.functions import geometry as g
@@ -128,3 +129,19 @@ def test_homography_adjustment_recovers_perspective(spark, rng):
     first = mo.bundle_adjust(t, start, rounds=2).withColumn("anchor", F.col("cell") == 0)
     out = {r["cell"]: r["h"] for r in mo.bundle_adjust_homography(t, first, rounds=4).collect()}
     assert np.allclose(np.array(out[1]).reshape(3, 3), true[1], atol=1e-3)
+
+
+def test_inliers_are_counted_on_packed_ties(spark, rng):
+    # a row a pair and run of ties, not one for each tie and hypothesis
+    rows = [(int(p), *map(float, rng.normal(0, 4, 4))) for p in rng.integers(0, 3, 500)] + [(None, 1.0, 1.0, 1.0, 1.0), (1, None, 1.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "pair int, x1 double, y1 double, x2 double, y2 double").coalesce(1)
+    drawn = [(p, [0, 3], [1.0, 0.5], [0.0, 0.2], [0.1, -1.0], [0.3, 2.0]) for p in range(3)]
+    packed = [r.asDict() for r in m._packed_ties(frame, ["pair"]).collect()]
+    assert sorted(r["pair"] for r in packed) == [0, 1, 2]
+    by = {p: dict(zip([f"_h{c}" for c in m._DRAWN], h)) for p, *h in drawn}
+    got = pd.concat(m._count_inliers(["pair"], [3.0, 6.0])(iter([pd.DataFrame([r | by[r["pair"]] for r in packed])])))
+    for r in got.itertuples(index=False):
+        pair, k, a, b, tx, ty, *counts = r
+        gaps = [(a * x - b * y + tx - u) ** 2 + (b * x + a * y + ty - v) ** 2 for p, x, y, u, v in rows if p == pair and x is not None]
+        assert counts == [sum(g <= lv * lv for g in gaps) for lv in (3.0, 6.0)]
+    assert len(got) == 6
