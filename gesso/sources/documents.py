@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gesso.operators.catalog import TIMESTAMP_FORMAT, project_schema
-from gesso.session import cut
+from gesso.session import cut, spread
 
 CORRUPT = "_corrupt_record"
 
@@ -32,9 +32,13 @@ def read_project_docs(spark: SparkSession, folder: str, schema: T.StructType | N
 
 
 def write_project_docs(df: DataFrame, folder: str, key: str = "id") -> None:
-    """One document per project, below ``<key>=<value>``; the key stays inside."""
-    out = df.withColumn("_k", F.col(key))
-    out.repartition("_k").write.mode("overwrite").option("timestampFormat", TIMESTAMP_FORMAT).partitionBy("_k").json(folder)
+    """One document per project, below ``<key>=<value>``; the key stays inside.
+
+    The many small files are written by all tasks, which also put them into
+    their place, instead of the driver one after the other.
+    """
+    out = spread(df.withColumn("_k", F.col(key)), "_k").write.mode("overwrite").option("timestampFormat", TIMESTAMP_FORMAT)
+    out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("_k").json(folder)
 
 
 def save_session(settings: DataFrame, folder: str, key: str = "key", value: str = "value") -> None:

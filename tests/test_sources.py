@@ -100,3 +100,11 @@ def test_plugins_check_their_parameters(spark):
         reg.run("scale", "analysis", df, {"factor": 1})
     with pytest.raises(ValueError):
         reg.register("scale", "development")(scale)
+
+
+def test_project_docs_are_written_by_all_tasks(spark, tmp_path):
+    folder = tmp_path / "docs"
+    d.write_project_docs(spark.range(60).select("id", F.lit("t").alias("title")), str(folder))
+    files = list(folder.glob("_k=*/*.json"))
+    assert len(files) == 60 and len({f.name.split("-")[1] for f in files}) > 1
+    assert d.read_project_docs(spark, str(folder)).count() == 60
