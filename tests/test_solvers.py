@@ -205,3 +205,16 @@ def test_seam_levelling_matches_dense_solution(spark, rng):
     want = np.linalg.lstsq(np.array(a), np.array(b), rcond=None)[0]
     got = np.array([r["d0"] for r in out.orderBy("node").collect()])
     assert np.allclose(got, want - want.mean(), atol=1e-6) and steps <= 14
+
+
+def test_small_tiles_are_solved_line_by_line(rng, monkeypatch):
+    monkeypatch.setattr(tiles, "descend", None)  # no steps, however many the tile would take
+    for shape in ((64, 40), (7, 30), (1, 9), (5, 1)):
+        ok = np.pad(rng.random(shape) > 0.2, 1)
+        c = ok[1:-1, 1:-1]
+        links = np.stack([c & ok[1:-1, 2:], c & ok[1:-1, :-2], c & ok[2:, 1:-1], c & ok[:-2, 1:-1]]).astype(float)
+        want = rng.normal(size=shape) * (links.sum(axis=0) > 0)
+        rhs = tiles.apply(want, links)
+        got = tiles.solve(rhs, links)
+        assert np.abs(tiles.apply(got, links) - rhs).max() < 1e-8
+        assert (got[links.sum(axis=0) == 0] == 0).all()
