@@ -16,7 +16,7 @@ from gesso.operators import grid as gr
 from gesso.operators.mesh import corner, face_edges, raster_tiles, rasterise
 from gesso.operators.raycast import blocked
 from gesso.operators.scans import attach, global_rank
-from gesso.session import cut, lookup
+from gesso.session import cut, keep, lookup
 
 
 def visible_faces(faces: DataFrame, views: DataFrame, max_angle: float = 75.0) -> DataFrame:
@@ -85,6 +85,7 @@ def occluded(pairs: DataFrame, faces: DataFrame, views: DataFrame) -> DataFrame:
 
 
 def unoccluded(pairs: DataFrame, faces: DataFrame, views: DataFrame) -> DataFrame:
+    pairs = keep(pairs, "pairs")  # used twice
     return pairs.join(occluded(pairs, faces, views), ["mesh_id", "f", "view"], "left_anti")
 
 

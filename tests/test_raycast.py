@@ -113,3 +113,16 @@ def test_more_meshes_than_roots(spark, rng):
     faces = [r for mesh in range(90) for r in soup(rng, 12, mesh, width=1.5, box=2.0)]
     sights = looks(faces, [(1.0, 1.0, 9.0)])
     assert run(spark, sights, faces, 4) == brute(sights, faces)
+
+
+def test_sights_of_one_eye_travel_in_packets(spark, rng):
+    # a view with two eyes, repeated sights and a face number used twice
+    faces = soup(rng, 400) + soup(rng, 5)
+    sights = looks(faces, [(2.0, 2.0, 9.0), (9.0, 2.0, 5.0)]) + [(0, f, 1, *c, -9.0, 0.0, 5.0) for _, f, *c in faces[:70]]
+    rows = spark.createDataFrame(sights + sights[:30], SIGHT)
+    lines = rows.select("mesh_id", "f", "view", *[rows[c].alias(f"o_{c}") for c in rc.CORNERS], *rc.EYE)
+    packets = rc.packets_of(lines).collect()
+    assert sum(len(p["_items"]) for p in packets) == len(sights) + 30
+    assert max(len(p["_items"]) for p in packets) <= rc.PACKET
+    assert len(packets) <= len(sights) // rc.PACKET + 20  # not a row a sight; 8 partitions and 3 eyes cut some more
+    assert run(spark, sights + sights[:30], faces) == brute(sights, faces)
