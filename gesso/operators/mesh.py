@@ -13,7 +13,7 @@ from gesso.functions import geometry as g
 from gesso.operators import boxtree as bt
 from gesso.operators import grid as gr
 from gesso.operators.scans import attach, exact_quantiles
-from gesso.session import cut, keep, lookup, spread
+from gesso.session import cut, keep, lookup, spread, tasks_for
 
 CORNERS = ("v1", "v2", "v3")
 
@@ -50,9 +50,10 @@ def grid_faces(depth: DataFrame) -> DataFrame:
 
 def faces_with_vertices(faces: DataFrame, vertices: DataFrame, mesh: str = "mesh_id") -> DataFrame:
     """Faces with corner coordinates x1..z3: corners are unpivoted, joined
-    once and folded back."""
+    once and folded back. Tasks grow in number with the faces, not in size."""
     corners = faces.select(mesh, "f", F.posexplode(F.array(*CORNERS)).alias("_k", "v"))
-    at = corners.join(vertices, [mesh, "v"])
+    tasks = tasks_for(3 * faces.count(), faces.sparkSession)
+    at = corners.repartition(tasks, mesh, "v").join(vertices.repartition(tasks, mesh, "v"), [mesh, "v"]).repartition(tasks, mesh, "f")
     pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
     return at.groupBy(mesh, "f").agg(
         *[pick(k, "v").alias(f"v{k + 1}") for k in range(3)], *[pick(k, c).alias(f"{c}{k + 1}") for k in range(3) for c in ("x", "y", "z")]
