@@ -13,7 +13,7 @@ from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, St
 
 from gesso.functions import geometry as g
 from gesso.operators import grid as gr
-from gesso.operators.mesh import corner, face_edges, raster_tiles, rasterise
+from gesso.operators.mesh import corner, face_edges, raster_tiles
 from gesso.operators.raycast import blocked
 from gesso.operators.scans import attach, global_rank
 from gesso.session import cut, keep, lookup
@@ -94,12 +94,23 @@ def face_quality(triangles: DataFrame, pixels: DataFrame, norm: str = "sum", ste
 
     ``triangles``: view, f, ax..cy; ``pixels``: view, y, x, grad, c0, c1, c2.
     ``sum`` adds gradient magnitudes over covered pixels, ``area`` is mean
-    gradient times area. Faces of half a pixel or less score 0.
+    gradient times area. Faces of half a pixel or less score 0. The pixels of a
+    tile travel as one list, and only the tiles that faces meet; the covered
+    pixels of a face are summed where they are unfolded and not shuffled.
     """
-    area = F.abs(g.triangle_area2(*[F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy")])) / 2
+    area = F.abs(g.triangle_area2(*[F.col(c) for c in _SIDES])) / 2
     t = triangles.withColumn("area", area)
-    covered = rasterise(t.where("area > 0.5"), ["view", "f"], step)
-    hit = covered.join(pixels, ["view", "y", "x"])
+    place = ["view", "_ty", "_tx"]
+    tiles = raster_tiles(t.where("area > 0.5").select("view", "f", "area", *_SIDES), ["view", "f"], step)
+    tiles = tiles.withColumns({"_ty": F.floor(F.col("_y0") / step), "_tx": F.floor(F.col("_x0") / step)})
+    px = pixels.withColumns({"_ty": F.floor(F.col("y") / step), "_tx": F.floor(F.col("x") / step)})
+    px = px.join(tiles.select(*place).distinct(), place, "left_semi")
+    lists = px.groupBy(*place).agg(F.collect_list(F.struct("y", "x", "grad", "c0", "c1", "c2")).alias("_px"))
+    rows = tiles.join(lookup(lists), place).select("view", "f", "area", *_SIDES, "_x0", "_x1", "_y0", "_y1", F.inline("_px"))
+    rows = rows.where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1")))
+    w = g.barycentric(F.col("x"), F.col("y"), *[F.col(c) for c in _SIDES])
+    rows = rows.withColumns({"_wa": w[0], "_wb": w[1]})
+    hit = rows.where(g.inside((F.col("_wa"), F.col("_wb"), 1 - F.col("_wa") - F.col("_wb"))))
     total = F.sum("grad") if norm == "sum" else F.avg("grad") * F.first("area")
     q = hit.groupBy("view", "f").agg(total.alias("quality"), *[F.avg(c).alias(c) for c in ("c0", "c1", "c2")], F.count(F.lit(1)).alias("samples"))
     return t.select("view", "f", "area").join(q, ["view", "f"], "left").select(

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gesso.operators import fits, relief
+from gesso import session
+from gesso.operators import fits, mesh, relief, texture
 from gesso.operators.scans import least_squares
 
 
@@ -133,3 +134,44 @@ def test_copies_of_a_box_are_one_candidate(spark):
 
     b = spark.range(0, 12000).selectExpr("0 as view", "cast(id as int) as patch", "cast(id % 6 * 100 as int) as x0", "0 as y0", "cast(id % 6 * 100 + 9 as int) as x1", "cast(id % 6 + 3 as int) as y1")
     assert mesh._outer_boxes(b).count() <= 12
+
+
+def test_faces_get_more_tasks_not_bigger_ones(spark, monkeypatch):
+    faces = spark.createDataFrame([(0, i, i, i + 1, i + 2) for i in range(500)], "mesh_id int, f int, v1 int, v2 int, v3 int")
+    vertices = spark.createDataFrame([(0, i, float(i), 2.0 * i, 3.0 * i) for i in range(502)], "mesh_id int, v int, x double, y double, z double")
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    out = mesh.faces_with_vertices(faces, vertices)
+    assert out.rdd.getNumPartitions() == 15  # 1,500 corners
+    rows = {r["f"]: r for r in out.collect()}
+    assert len(rows) == 500 and all((r["v1"], r["v3"], r["x2"], r["z3"]) == (f, f + 2, f + 1.0, 3.0 * (f + 2)) for f, r in rows.items())
+
+
+def test_face_quality_sends_tiles_that_faces_meet(spark, rng, monkeypatch):
+    px = [(v, y, x, float(rng.random()), 1.0 * y, 1.0 * x, float(rng.random())) for v in (0, 1) for y in range(40) for x in range(40)]
+    px += px[:50] + [(0, None, 3, 1.0, 1.0, 1.0, 1.0)]  # repeated pixels count twice
+    faces = [(0, i, *map(float, rng.uniform(2, 14, 6))) for i in range(30)] + [(1, 30, 0.0, 0.0, 30.0, 0.0, 0.0, 30.0), (0, 31, 1.0, 1.0, 1.0, 1.0, 5.0, 5.0)]
+    sent, real = [], texture.lookup
+
+    def counted(lists):
+        sent.extend((r["view"], r["_ty"], r["_tx"], len(r["_px"])) for r in lists.collect())
+        return real(lists)
+
+    monkeypatch.setattr(texture, "lookup", counted)
+    t = spark.createDataFrame(faces, "view int, f int, ax double, ay double, bx double, by double, cx double, cy double")
+    pixels = spark.createDataFrame(px, "view int, y int, x int, grad double, c0 double, c1 double, c2 double")
+    got = {r["f"]: r for r in texture.face_quality(t, pixels, step=8).collect()}
+    assert len(got) == len(faces)
+    for v, f, ax, ay, bx, by, cx, cy in faces:
+        whole = (bx - ax) * (cy - ay) - (cx - ax) * (by - ay)
+        if abs(whole) / 2 <= 0.5:
+            assert got[f]["quality"] == 0 and got[f]["samples"] == 0 and got[f]["c0"] is None
+            continue
+        wa = lambda x, y: ((bx - x) * (cy - y) - (cx - x) * (by - y)) / whole
+        wb = lambda x, y: ((x - ax) * (cy - ay) - (cx - ax) * (y - ay)) / whole
+        hit = [p for p in px if p[0] == v and p[1] is not None and min(wa(p[2], p[1]), wb(p[2], p[1]), 1 - wa(p[2], p[1]) - wb(p[2], p[1])) >= 0]
+        assert got[f]["samples"] == len(hit)
+        assert got[f]["quality"] == pytest.approx(sum(p[3] for p in hit))
+        if hit:
+            assert got[f]["c1"] == pytest.approx(np.mean([p[5] for p in hit]))
+    assert {s[:3] for s in sent if s[0] == 0} <= {(0, y, x) for y in range(2) for x in range(2)}  # not all 25 tiles of the view
+    assert max(s[3] for s in sent) <= 64 + 50
