@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gesso.operators import grid as gr
 from gesso.session import forget, keep
+from gesso.session import spread as dealt
 
 TILE = ["image_id", "ty", "tx"]
 LINKS = ("er", "el", "ed", "eu")
@@ -74,26 +75,46 @@ SHIFT = 1e-10
 def descend(times, scale: np.ndarray, rhs: np.ndarray, tolerance: float, limit: int) -> tuple[np.ndarray, float]:
     """Conjugate gradients with a diagonal preconditioner: the solution and its relative residual."""
     x, r = np.zeros_like(rhs), rhs.copy()
-    whole = float((rhs * rhs).sum())
+    whole = float(np.vdot(rhs, rhs))
     z = scale * r
-    p, rz, rr = z.copy(), float((r * z).sum()), whole
+    p, rz, rr = z.copy(), float(np.vdot(r, z)), whole
     for _ in range(limit):
         if rr <= tolerance**2 * whole or rz <= 0:
             break
         ap = times(p)
-        curve = float((p * ap).sum())
+        curve = float(np.vdot(p, ap))
         if curve <= 0:
             break
         x += rz / curve * p
         r -= rz / curve * ap
-        rr = float((r * r).sum())
-        z = scale * r
-        new = float((r * z).sum())
-        p = z + new / rz * p
+        rr = float(np.vdot(r, r))
+        np.multiply(scale, r, out=z)
+        new = float(np.vdot(r, z))
+        p *= new / rz
+        p += z
         rz = new
     return x, (rr / whole) ** 0.5 if whole > 0 else 0.0
 
 
+def plane_times(links: np.ndarray, on: np.ndarray):
+    """The system of a plane on its pixels ``on``, for planes that are 0 elsewhere; each call returns the same buffer."""
+    er, el, ed, eu = links * on
+    er, el, ed, eu = er[:, :-1].copy(), el[:, 1:].copy(), ed[:-1], eu[1:]
+    own = np.where(on, links.sum(axis=0) + SHIFT, 0.0)
+    y, across, down = np.empty_like(own), np.empty_like(er), np.empty_like(ed)
+
+    def times(p: np.ndarray) -> np.ndarray:
+        np.multiply(own, p, out=y)
+        for weight, there, here, held in (
+            (er, p[:, 1:], y[:, :-1], across), (el, p[:, :-1], y[:, 1:], across), (ed, p[1:], y[:-1], down), (eu, p[:-1], y[1:], down),
+        ):
+            np.multiply(weight, there, out=held)
+            np.subtract(here, held, out=here)
+        return y
+
+    return times
+
+
 #: numbers that the inverses of a plane's lines may hold, for planes that are solved line by line
 LINES = 1 << 20
 #: tolerance from which steps are cheaper than lines
@@ -131,7 +152,7 @@ def solve(rhs: np.ndarray, links: np.ndarray, free: np.ndarray | None = None, to
     """One plane's system on its ``free`` pixels, 0 elsewhere; raises if it isn't solved after as many steps as pixels, and some more."""
     degree = links.sum(axis=0)
     on = degree > 0 if free is None else free & (degree > 0)
-    times = lambda p: np.where(on, apply(p, links) + SHIFT * p, 0.0)
+    times = plane_times(links, on)
     if tolerance < LOOSE and rhs.size * min(rhs.shape) <= LINES:
         x, right = eliminate(rhs, links, on), np.where(on, rhs, 0.0)
         left = float(np.linalg.norm(right - times(x)) / (np.linalg.norm(right) or 1.0))
@@ -258,7 +279,7 @@ def packed(grad: DataFrame, tile: int, overlap: int = 0) -> DataFrame:
         return pd.DataFrame([row], columns=_PACKED)
 
     schema = f"image_id {kind}, ty int, tx int, ny int, nx int, top int, left int, h int, w int, links binary, b binary, right array<double>, down array<double>, inner array<double>, b_sums array<double>, bb double"
-    return keep(near.groupBy("image_id", "_ty", "_tx").applyInPandas(pack, schema), "packed")
+    return keep(dealt(near, "image_id", "_ty", "_tx").groupBy("image_id", "_ty", "_tx").applyInPandas(pack, schema), "packed")
 
 
 _PACKED = ["image_id", "ty", "tx", "ny", "nx", "top", "left", "h", "w", "links", "b", "right", "down", "inner", "b_sums", "bb"]
@@ -383,7 +404,7 @@ def conjugate_gradients(grad: DataFrame, tile: int = 256, tolerance: float = 1e-
         if steps > max_steps:
             raise RuntimeError(f"residual {seen[1]:.3g} after {max_steps} steps")
         moved = state.join(plan.where("NOT done"), TILE).mapInPandas(update, strips)
-        new = keep(moved.groupBy(*TILE).applyInPandas(multiply, schema), "state")
+        new = keep(dealt(moved, *TILE).groupBy(*TILE).applyInPandas(multiply, schema), "state")
         forget(plan)
         forget(state)
         state = new
@@ -523,7 +544,7 @@ def schwarz_sweeps(grad: DataFrame, tile: int = 4096, overlap: int = 256, tolera
         sums = state.select(*TILE, "ny", "nx", "right", "down", "inner", "b_sums", "own").join(flux, TILE, "left").na.fill(0.0, ["f0", "f1", "f2"])
         c = keep(sums.groupBy("image_id").applyInPandas(constants, f"image_id {kind}, ty int, tx int, c array<double>"), "constants")
         moved = state.join(c, TILE).mapInPandas(spread, f"{schema}, sy int, sx int, part binary, part_ny int")
-        new = keep(moved.groupBy(*TILE).applyInPandas(sweep, schema), "state")
+        new = keep(dealt(moved, *TILE).groupBy(*TILE).applyInPandas(sweep, schema), "state")
         forget(state)
         forget(c)
         state = new
