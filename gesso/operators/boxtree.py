@@ -244,12 +244,51 @@ def _verify(pairs: DataFrame, blocks: DataFrame, tree: BoxTree, often: DataFrame
                 out["id"].append(ids[some[i]])
                 out["item"].append(items[j])
                 out["distance"].append(distance[i, j])
-                if foot:
-                    out["foot"].extend(feet(i, j))
+                out["foot"].extend(feet(i, j))
             if out["_q"]:
                 yield pd.DataFrame({c: v if c == "foot" else np.concatenate(v) for c, v in out.items()})
 
-    return rows.mapInPandas(nearest, schema)
+    def nearest_at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The same for kernels without feet: a row a query and bucket, its items beside it."""
+        for batch in (b.iloc[n : n + PAIRS] for b in batches for n in range(0, len(b), PAIRS)):
+            yield _nearest_rows(batch, ident, names, k, kernel, exclude_self)
+
+    return rows.mapInPandas(nearest if foot else nearest_at_once, schema)
+
+
+def _nearest_rows(batch: pd.DataFrame, ident: str, names: Sequence[str], k: int, kernel: Kernel, exclude_self: bool) -> pd.DataFrame:
+    """Up to k items of each query and bucket of ``batch`` within the query's limit, ties by their order."""
+    flat = lambda c: np.concatenate([np.asarray(v) for v in batch[c]])
+    asked, held = batch["_q_id"].map(len).to_numpy(), batch[f"_p_{ident}"].map(len).to_numpy()
+    pair = np.repeat(np.arange(len(batch)), asked)
+    place = np.arange(len(pair)) - np.repeat(np.cumsum(asked) - asked, asked)
+    at, ids = np.stack([flat(f"_q_{a}").astype(float) for a in "xyz"], axis=1), flat("_q_id")
+    limit = np.concatenate([np.full(n, np.inf) if v is None else np.asarray(v, float) for n, v in zip(asked, batch["_limits"], strict=True)])
+    low, high = (batch[list(side)].to_numpy(float)[pair] for side in (LOW, HIGH))
+    gap = np.maximum(0.0, np.maximum(low - at, at - high))
+    (some,) = np.nonzero(np.sqrt((gap * gap).sum(axis=1)) <= limit * SLACK)
+    # buckets as rows of equal length: items beyond a bucket's own repeat its last and don't count
+    start = np.cumsum(held) - held
+    spot = start[:, None] + np.minimum(np.arange(held.max()), held[:, None] - 1)
+    there = np.arange(held.max()) < held[:, None]
+    items, of = flat(f"_p_{ident}")[spot], pair[some]
+    columns = [flat(c).astype(float)[spot] for c in names]
+    distance, _ = kernel(at[some], [c[of] for c in columns])
+    out = there[of] & (distance <= limit[some, None])
+    if exclude_self:
+        out &= ids[some, None] != items[of]
+    distance = np.where(out, distance, np.inf)
+    rows, found = np.arange(len(some)), []
+    for _ in range(min(k, distance.shape[1])):
+        best = distance.argmin(axis=1)
+        value = distance[rows, best]
+        hit = np.isfinite(value)
+        found.append((rows[hit], best[hit], value[hit]))
+        distance[rows, best] = np.inf
+    row, best, value = (np.concatenate(v) for v in zip(*found, strict=True))
+    return pd.DataFrame({
+        "_q": batch["_q"].to_numpy()[of[row]], "_i": place[some[row]].astype("int32"), "id": ids[some[row]], "item": items[of[row], best], "distance": value,
+    })
 
 
 def search(queries: DataFrame, items: DataFrame, ident: str, payload: Sequence[str], k: int, kernel: Kernel, need: int | None = None, exclude_self: bool = False, foot: bool = False, bucket: int = 32) -> DataFrame:
@@ -304,8 +343,8 @@ def _limits(found: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
 
 def to_points(at: np.ndarray, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, None]:
-    """Distances of queries to points."""
-    delta = at[:, None, :] - np.stack(columns, axis=1)[None]
+    """Distances of queries to points, the same for all or a row of points each."""
+    delta = at[:, None, :] - np.stack(columns, axis=-1)
     return np.sqrt((delta * delta).sum(axis=2)), None
 
 

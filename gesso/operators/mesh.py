@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gesso.functions import geometry as g
 from gesso.operators import boxtree as bt
@@ -321,18 +322,47 @@ def tangent_cells(samples: DataFrame, k: int = 16, padding: float = 0.01, reach:
     pts = samples.select(F.col("id").alias("neighbour"), "x", "y", "z")
     near = found.join(pts, "neighbour").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y", "z"))).alias("_near"))
     box = samples.agg(F.struct(*[(f(a) + s * padding).alias(f"{a}{i}") for a in "xyz" for i, f, s in ((0, F.min, -1), (1, F.max, 1))]).alias("b")).scalar()
-    rows = samples.join(near, "id", "left").withColumn("_b", box)
+    rows = spread(samples.join(near, "id", "left"), "id").withColumn("_b", box)
     s, n = (F.col("x"), F.col("y"), F.col("z")), (F.col("nx"), F.col("ny"), F.col("nz"))
     rows = rows.withColumn("_p", g.half_spaces(s, n, F.coalesce("_near", F.expr("array()").cast(near.schema["_near"].dataType)), F.col("_b"), reach))
-    rows = rows.withColumn("_d", g.dot(n, s))
-    planes = rows.select("id", "nx", "ny", "nz", "_d", "_p", F.posexplode("_p").alias("_i", "_a"))
-    second = planes.withColumn("_q", F.explode(F.filter(F.transform("_p", lambda q, j: F.struct(j.alias("j"), q.alias("q"))), lambda e: e.j > F.col("_i"))))
-    row = lambda v: tuple(F.col(f"{v}.{c}") for c in ("nx", "ny", "nz"))
-    det, nums = g.solve3((n, row("_a"), row("_q.q")), (F.col("_d"), F.col("_a.d"), F.col("_q.q.d")))
-    pt = second.select("id", "_p", det.alias("_det"), *[v.alias(f"_n{i}") for i, v in enumerate(nums)]).where(F.abs("_det") > 1e-12)
-    pt = pt.select("id", "_p", *[(F.col(f"_n{i}") / F.col("_det")).alias(a) for i, a in enumerate("xyz")])
-    ok = F.forall("_p", lambda q: q.nx * F.col("x") + q.ny * F.col("y") + q.nz * F.col("z") <= q.d + 1e-8)
-    return unique_points(pt.where(ok).select("id", "x", "y", "z"), ["id"])
+    flat = F.flatten(F.transform("_p", lambda q: F.array(q.nx, q.ny, q.nz, q.d)))
+    rows = rows.select("id", *[F.col(c).cast("double").alias(c) for c in ("nx", "ny", "nz")], g.dot(n, s).cast("double").alias("_d"), flat.alias("_p"))
+    # a plane with an unknown number holds no point, so such a sample has no corners
+    rows = rows.where(F.col("_d").isNotNull() & ~F.exists("_p", lambda v: v.isNull()))
+    schema = StructType([samples.schema["id"], *[StructField(a, DoubleType()) for a in "xyz"]])
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["_p"].map(len)
+            for size, some in batch.groupby(sizes):
+                first, second = np.triu_indices(size // 4, 1)
+                for at in range(0, len(some), SAMPLES):
+                    yield _cell_corners(some.iloc[at : at + SAMPLES], first, second)
+
+    return unique_points(rows.mapInPandas(corners, schema), ["id"])
+
+
+#: samples whose planes a task intersects at once
+SAMPLES = 256
+
+
+def _cell_corners(part: pd.DataFrame, first: np.ndarray, second: np.ndarray) -> pd.DataFrame:
+    """Points of the tangent planes on two half-space planes and inside all, of samples with equally many planes.
+
+    NaN compares as in Spark: larger than all numbers.
+    """
+    planes = np.stack(part["_p"].to_list()).astype(float).reshape(len(part), -1, 4)
+    normal = tuple(part[c].to_numpy(float)[:, None] for c in ("nx", "ny", "nz"))
+    one, two = ([planes[:, at, i] for i in range(4)] for at in (first, second))
+    with np.errstate(all="ignore"):
+        det, nums = g.solve3((normal, tuple(one[:3]), tuple(two[:3])), (part["_d"].to_numpy(float)[:, None], one[3], two[3]))
+        sample, pair = np.nonzero((np.abs(det) > 1e-12) | np.isnan(det))
+        x, y, z = (v[sample, pair] / det[sample, pair] for v in nums)
+        inside = np.ones(len(x), bool)
+        for i in range(planes.shape[1]):
+            nx, ny, nz, d = planes[sample, i].T
+            inside &= (nx * x + ny * y + nz * z <= d + 1e-8) | np.isnan(d)
+    return pd.DataFrame({"id": part["id"].to_numpy()[sample[inside]], "x": x[inside], "y": y[inside], "z": z[inside]})
 
 
 def unique_points(points: DataFrame, keys: Sequence[str], digits: int = 8) -> DataFrame:
