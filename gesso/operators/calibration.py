@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gesso.functions import color
 from gesso.operators.scans import attach, least_squares, linear_value, normal_sums
-from gesso.session import lookup
+from gesso.session import keep, lookup
 
 MEASURED = ("c0", "c1", "c2")
 REFERENCE = ("r0", "r1", "r2")
@@ -249,7 +249,7 @@ def flat_plane(df: DataFrame, sigma: float = 2.0, tile: int = 512) -> DataFrame:
     from gesso.operators import grid as gr
 
     value = color.add_hsv_of_xyz(df, cols(MEASURED), "_f").select(*gr.KEY, F.col("_fv").alias("plane"))
-    low = gr.gaussian_low_pass(value, ["plane"], sigma, tile=tile)
+    low = keep(gr.gaussian_low_pass(value, ["plane"], sigma, tile=tile), "low")  # used twice
     tops = low.groupBy("image_id").agg(F.max("plane_low").alias("_hi"))
     return attach(low, tops, ["image_id"]).select(*gr.KEY, (F.col("plane_low") + 1 - F.col("_hi")).alias("plane"))
 

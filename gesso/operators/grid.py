@@ -175,10 +175,12 @@ def gaussian_low_pass(
     """Separable Gaussian of several columns; a numpy kernel per tile.
 
     Missing pixels and nulls have no weight: what is known is averaged by the
-    weights that fall on it. Null stays null.
+    weights that fall on it. Null stays null. Tiles are at least eight radii
+    wide, so that margins stay small beside them.
     """
     w = gaussian_weights(sigma)
     r = len(w) // 2
+    tile = max(tile, 8 * r)
     keep = list(df.columns)
     haloed = halo(df, r, r, border, tile).select(*[c for c in keep if c not in KEY], *KEY, "_core", "_ty", "_tx")
 
