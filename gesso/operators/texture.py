@@ -16,7 +16,7 @@ from gesso.operators import grid as gr
 from gesso.operators.mesh import corner, face_edges, raster_tiles
 from gesso.operators.raycast import blocked
 from gesso.operators.scans import attach, global_rank
-from gesso.session import cut, keep, lookup
+from gesso.session import cut, forget, keep, lookup, spread
 
 
 def visible_faces(faces: DataFrame, views: DataFrame, max_angle: float = 75.0) -> DataFrame:
@@ -162,40 +162,67 @@ def color_outliers(
     covariance stay as they are. After the last round ``damp`` multiplies
     quality by a wide Gaussian (inverse covariance x 0.2) and ``clamp`` sets it
     to 0 below ``threshold``. Every round is one aggregate, so a face may have
-    any number of views.
+    any number of views. Views are shuffled by face once and cached in that
+    order; a round writes a row a face: its state, and mean and covariance of
+    the last round it was open in, from which a view's weight follows.
     """
     keys = list(keys)
     names = ("c0", "c1", "c2")
     pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
-    state = df.withColumns({"_in": F.lit(True), "_st": F.lit("open"), "_g": F.lit(None).cast("double"), "_gd": F.lit(None).cast("double")})
-    state = cut(state)
-    for _ in range(rounds):
-        used = state.where("_st = 'open' AND _in")
-        stats = used.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(names)],
-            *[F.covar_samp(names[i], names[j]).alias(f"_v{i}{j}") for i, j in pairs],
-        )
-        rows = state.join(stats, keys, "left")
-        v = lambda i, j: F.col(f"_v{min(i, j)}{max(i, j)}")
-        biggest = F.greatest(*[F.abs(F.col(f"_v{i}{j}")) for i, j in pairs])
-        m3 = tuple(tuple(v(i, j) for j in range(3)) for i in range(3))
-        rows = rows.withColumns({"_big": biggest, "_det": g.det3(*m3), **{f"_d{i}": F.col(c) - F.col(f"_m{i}") for i, c in enumerate(names)}})
-        open_ = F.col("_st") == "open"
-        few = F.coalesce(F.col("_n"), F.lit(0)) < minimal_inliers
-        singular = F.abs(F.col("_det")) <= 1e-12 * F.pow(F.col("_big"), 3)
-        verdict = F.when(~open_, F.col("_st")).when(few, "fail").when(F.col("_big") < minimal_covariance, "tight").when(F.coalesce(singular, F.lit(True)), "fail").otherwise("open")
-        _, nums = g.solve3(m3, tuple(F.col(f"_d{i}") for i in range(3)))
-        quad = F.try_divide(sum((F.col(f"_d{i}") * nums[i] for i in range(3)), F.lit(0.0)), F.col("_det"))
-        rows = rows.withColumn("_verdict", verdict).withColumn("_q2", F.when(F.col("_verdict") == "open", quad))
-        rows = rows.withColumns({"_g": F.coalesce(F.exp(-0.5 * F.col("_q2")), F.col("_g")), "_gd": F.coalesce(F.exp(-0.1 * F.col("_q2")), F.col("_gd"))})
-        rows = rows.withColumn("_in", F.when(F.col("_verdict") == "open", F.col("_g") >= threshold).otherwise(F.col("_in")))
-        state = cut(rows.select(*df.columns, "_in", F.col("_verdict").alias("_st"), "_g", "_gd"))
-        if state.where("_st = 'open'").limit(1).count() == 0:
-            break
-    q = F.col("quality")
-    ended = q * F.col("_gd") if mode == "damp" else F.when(F.col("_g") < threshold, 0.0).otherwise(q)
-    out = F.when(F.col("_st") == "tight", F.when(F.col("_in"), q).otherwise(0.0)).when(F.col("_st") == "open", ended).otherwise(q)
-    return state.withColumn("quality", out).drop("_in", "_st", "_g", "_gd")
+    held = [*[f"_m{i}" for i in range(3)], *[f"_v{i}{j}" for i, j in pairs]]
+    v = lambda i, j: F.col(f"_v{min(i, j)}{max(i, j)}")
+    m3 = tuple(tuple(v(i, j) for j in range(3)) for i in range(3))
+    # faces in tasks by the same shuffle, so that rounds join and sum without moving views
+    views = spread(df, *keys).sortWithinPartitions(*keys).persist()
+    try:
+        faces = None
+        for _ in range(rounds):
+            used = views if faces is None else _weighed(views, faces.where("_st = 'open'"), keys, names, "inner").where(F.exp(-0.5 * F.col("_q2")) >= threshold)
+            stats = used.groupBy(*keys).agg(
+                F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(names)],
+                *[F.covar_samp(names[i], names[j]).alias(f"_v{i}{j}") for i, j in pairs],
+            )
+            biggest = F.greatest(*[F.abs(F.col(f"_v{i}{j}")) for i, j in pairs])
+            rows = stats.withColumns({"_big": biggest, "_det": g.det3(*m3)})
+            few = F.col("_n") < minimal_inliers
+            singular = F.abs(F.col("_det")) <= 1e-12 * F.pow(F.col("_big"), 3)
+            verdict = F.when(few, "fail").when(F.col("_big") < minimal_covariance, "tight").when(F.coalesce(singular, F.lit(True)), "fail").otherwise("open")
+            fresh = rows.select(*keys, verdict.alias("_st"), *held, "_det")
+            if faces is None:
+                here = F.col("_st") == "open"
+                faces = keep(fresh.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(*keys, "_st", *[F.when(here, F.col(c)).alias(c) for c in (*held, "_det")]), "faces")
+            else:
+                # a face without inliers has no sums: it fails, with what it held
+                new = fresh.select(*keys, F.col("_st").alias("_new"), F.struct(*held, "_det").alias("_now"))
+                after = F.when(F.col("_st") == "open", F.coalesce("_new", F.lit("fail"))).otherwise(F.col("_st"))
+                moved = [F.when(F.col("_new") == "open", F.col(f"_now.{c}")).otherwise(F.col(c)).alias(c) for c in (*held, "_det")]
+                before, faces = faces, keep(faces.join(new, keys, "left").select(*keys, after.alias("_st"), *moved), "faces")
+                forget(before)
+            if faces.where("_st = 'open'").limit(1).count() == 0:
+                break
+        q = F.col("quality")
+        if faces is None:
+            return df
+        rows = _weighed(views, faces, keys, names, "left")
+        weight, wide = F.exp(-0.5 * F.col("_q2")), F.exp(-0.1 * F.col("_q2"))
+        ended = q * wide if mode == "damp" else F.when(weight < threshold, 0.0).otherwise(q)
+        inner = F.col("_det").isNull() | (weight >= threshold)
+        out = F.when(F.col("_st") == "tight", F.when(inner, q).otherwise(0.0)).when(F.col("_st") == "open", ended).otherwise(q)
+        done = keep(rows.withColumn("quality", out).select(*df.columns), "qualities")
+        forget(faces)
+        return done
+    finally:
+        views.unpersist()
+
+
+def _weighed(views: DataFrame, faces: DataFrame, keys: Sequence[str], names: Sequence[str], how: str) -> DataFrame:
+    """Views with ``_q2``, the square of their distance from their face's mean by its covariance; null where there is none."""
+    rows = views.join(faces.hint("merge"), list(keys), how)
+    v = lambda i, j: F.col(f"_v{min(i, j)}{max(i, j)}")
+    rows = rows.withColumns({f"_d{i}": F.col(c) - F.col(f"_m{i}") for i, c in enumerate(names)})
+    _, nums = g.solve3(tuple(tuple(v(i, j) for j in range(3)) for i in range(3)), tuple(F.col(f"_d{i}") for i in range(3)))
+    quad = F.try_divide(sum((F.col(f"_d{i}") * nums[i] for i in range(3)), F.lit(0.0)), F.col("_det"))
+    return rows.withColumn("_q2", quad)
 
 
 # -- seams -----------------------------------------------------------------------
