@@ -242,13 +242,39 @@ def edge_color_difference(edges: DataFrame, pixels: DataFrame, columns: Sequence
 
     ``edges``: edge, side (1 or 2), image_id, px1, py1, px2, py2. Samples lie
     half a pixel apart; the weight falls from 1 at the first vertex to 0.
+    The samples of an edge in one tile travel as one row and meet the tile's
+    blocks as one map; they are unfolded where they are summed.
     """
     length = F.greatest(F.sqrt(F.pow(F.col("px2") - F.col("px1"), 2) + F.pow(F.col("py2") - F.col("py1"), 2)), F.lit(1.0))
-    n = F.floor(length * 2).cast("int")
-    s = edges.withColumn("_n", n).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    share = F.col("_s") / (F.col("_n") - 1)
-    s = s.select("edge", "side", "image_id", (1 - share).alias("_wt"), (F.col("py1") + share * (F.col("py2") - F.col("py1"))).alias("_sy"), (F.col("px1") + share * (F.col("px2") - F.col("px1"))).alias("_sx"))
-    got = gr.sample(pixels, columns, s, "_sy", "_sx", tile)
+    ends = ["px1", "py1", "px2", "py2"]
+    e = spread(edges.select("edge", "side", "image_id", *ends), "edge").withColumn("_n", F.floor(length * 2).cast("int"))
+
+    def place(i: Column) -> tuple[Column, Column, Column]:
+        share = i / (F.col("_n") - 1)
+        return share, F.col("py1") + share * (F.col("py2") - F.col("py1")), F.col("px1") + share * (F.col("px2") - F.col("px1"))
+
+    tile_of = lambda v: F.floor(F.floor(v).cast("int") / tile)
+    e = e.withColumn("_tiles", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.struct(tile_of(place(i)[1]).alias("_ty"), tile_of(place(i)[2]).alias("_tx"))))
+    new = lambda i: (i == 0) | (F.get("_tiles", i) != F.get("_tiles", i - 1))
+    e = e.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.col("_n") - 1), new))
+    runs = F.transform("_starts", lambda s, i: F.struct(F.get("_tiles", s).alias("_t"), s.alias("_s0"), (F.coalesce(F.get("_starts", i + 1), F.col("_n")) - 1).alias("_s1")))
+    runs = e.withColumn("_r", F.explode(runs)).select("edge", "side", "image_id", *ends, "_n", "_r._t._ty", "_r._t._tx", "_r._s0", "_r._s1")
+    on = ["image_id", "_ty", "_tx"]
+    b = gr.blocks(pixels.join(edges.select("image_id").distinct(), "image_id", "left_semi"), columns, tile)
+    b = b.withColumns({"_ty": F.floor(F.col("y") / tile), "_tx": F.floor(F.col("x") / tile)})
+    block = F.struct("_h", "_w", *[f"{c}_{k}" for c in columns for k in ("00", "01", "10", "11")])
+    held = b.groupBy(*on, "y", "x").agg(F.collect_list(block).alias("_b"))
+    held = held.groupBy(*on, "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "_b"))).alias("_b"))
+    maps = held.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("y", "_b"))).alias("_px"))
+
+    rows = runs.join(lookup(maps), on).withColumn("_i", F.explode(F.sequence("_s0", "_s1")))
+    share, sy, sx = place(F.col("_i"))
+    rows = rows.withColumns({"_wt": 1 - share, "_sy": sy, "_sx": sx})
+    rows = rows.withColumns({"_by": F.floor("_sy").cast("int"), "_bx": F.floor("_sx").cast("int")})
+    rows = rows.select("edge", "side", "_wt", "_sy", "_sx", "_by", "_bx", F.inline(F.try_element_at(F.try_element_at("_px", F.col("_by")), F.col("_bx"))))
+    rows = rows.where((F.col("_sy") <= F.col("_h") - 1) & (F.col("_sx") <= F.col("_w") - 1))
+    fy, fx = F.col("_sy") - F.col("_by"), F.col("_sx") - F.col("_bx")
+    got = rows.select("edge", "side", "_wt", *[gr.bilinear(c, fy, fx).alias(c) for c in columns])
     mean = got.groupBy("edge", "side").agg(*[F.try_divide(F.sum(F.col("_wt") * F.col(c)), F.sum("_wt")).alias(c) for c in columns])
     at = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
     return mean.groupBy("edge").agg(*[(at(2, c) - at(1, c)).alias(f"d_{c}") for c in columns])
