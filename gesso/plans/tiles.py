@@ -9,7 +9,7 @@ change would cross one tile a step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,11 +121,15 @@ LINES = 1 << 20
 LOOSE = 1e-5
 
 
-def eliminate(rhs: np.ndarray, links: np.ndarray, on: np.ndarray) -> np.ndarray:
-    """One plane's system by elimination, a line along its shorter side at a time; a second pass takes out rounding."""
-    if rhs.shape[1] > rhs.shape[0]:
-        return eliminate(rhs.T, links[[2, 3, 0, 1]].transpose(0, 2, 1), on.T).T
-    n, m = rhs.shape
+def elimination(links: np.ndarray, on: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """What solves one plane's system for a right side by elimination, a line along its shorter side at a time.
+
+    The lines' inverses are made once. A second pass takes out rounding.
+    """
+    if on.shape[1] > on.shape[0]:
+        turned = elimination(links[[2, 3, 0, 1]].transpose(0, 2, 1), on.T)
+        return lambda rhs: turned(rhs.T).T
+    n, m = on.shape
     own = np.where(on, links.sum(axis=0) + SHIFT, 1.0)
     along = np.where(on[:, :-1] & on[:, 1:], links[0][:, :-1], 0.0)
     down = np.where(on[:-1] & on[1:], links[2][:-1], 0.0)
@@ -136,31 +140,46 @@ def eliminate(rhs: np.ndarray, links: np.ndarray, on: np.ndarray) -> np.ndarray:
         line[at[:-1], at[1:]] -= along[k]
         line[at[1:], at[:-1]] -= along[k]
         inverse[k] = np.linalg.inv(line)
-    x = np.zeros((n, m))
-    for _ in range(2):
-        y = np.where(on, rhs - apply(x, links) - SHIFT * x, 0.0)
-        for k in range(1, n):
-            y[k] += down[k - 1] * (inverse[k - 1] @ y[k - 1])
-        y[-1] = inverse[-1] @ y[-1]
-        for k in range(n - 2, -1, -1):
-            y[k] = inverse[k] @ (y[k] + down[k] * y[k + 1])
-        x += y
-    return x
 
+    def solved(rhs: np.ndarray) -> np.ndarray:
+        x = np.zeros((n, m))
+        for _ in range(2):
+            y = np.where(on, rhs - apply(x, links) - SHIFT * x, 0.0)
+            for k in range(1, n):
+                y[k] += down[k - 1] * (inverse[k - 1] @ y[k - 1])
+            y[-1] = inverse[-1] @ y[-1]
+            for k in range(n - 2, -1, -1):
+                y[k] = inverse[k] @ (y[k] + down[k] * y[k + 1])
+            x += y
+        return x
 
-def solve(rhs: np.ndarray, links: np.ndarray, free: np.ndarray | None = None, tolerance: float = 1e-9) -> np.ndarray:
-    """One plane's system on its ``free`` pixels, 0 elsewhere; raises if it isn't solved after as many steps as pixels, and some more."""
+    return solved
+
+
+def solver(links: np.ndarray, free: np.ndarray | None = None, tolerance: float = 1e-9) -> Callable[[np.ndarray], np.ndarray]:
+    """What solves one plane's system on its ``free`` pixels, 0 elsewhere, for a right side; it raises if that isn't
+    solved after as many steps as pixels, and some more."""
     degree = links.sum(axis=0)
     on = degree > 0 if free is None else free & (degree > 0)
     times = plane_times(links, on)
-    if tolerance < LOOSE and rhs.size * min(rhs.shape) <= LINES:
-        x, right = eliminate(rhs, links, on), np.where(on, rhs, 0.0)
-        left = float(np.linalg.norm(right - times(x)) / (np.linalg.norm(right) or 1.0))
-    else:
-        x, left = descend(times, np.where(on, 1 / np.maximum(degree, 1), 0.0), np.where(on, rhs, 0.0), tolerance, rhs.size + 100)
-    if left > max(1e-4, tolerance):
-        raise RuntimeError(f"a tile is not solved: relative residual {left:.3g}")
-    return x
+    by_lines = elimination(links, on) if tolerance < LOOSE and on.size * min(on.shape) <= LINES else None
+
+    def solved(rhs: np.ndarray) -> np.ndarray:
+        if by_lines is not None:
+            x, right = by_lines(rhs), np.where(on, rhs, 0.0)
+            left = float(np.linalg.norm(right - times(x)) / (np.linalg.norm(right) or 1.0))
+        else:
+            x, left = descend(times, np.where(on, 1 / np.maximum(degree, 1), 0.0), np.where(on, rhs, 0.0), tolerance, rhs.size + 100)
+        if left > max(1e-4, tolerance):
+            raise RuntimeError(f"a tile is not solved: relative residual {left:.3g}")
+        return x
+
+    return solved
+
+
+def solve(rhs: np.ndarray, links: np.ndarray, free: np.ndarray | None = None, tolerance: float = 1e-9) -> np.ndarray:
+    """One plane's system on its ``free`` pixels, 0 elsewhere (see ``solver``)."""
+    return solver(links, free, tolerance)(rhs)
 
 
 def basis_sums(plane: np.ndarray) -> list[float]:
@@ -255,7 +274,8 @@ def packed(grad: DataFrame, tile: int, overlap: int = 0) -> DataFrame:
     """A row a tile: its place, core size, the margins around it, and links and right side of core and margins.
 
     ``right`` and ``down`` have the moments of the links over those borders,
-    ``inner`` counts the tile's own.
+    ``inner`` counts the tile's own, ``tiles`` the tiles that the image is cut into;
+    ``valid`` is the core's mask.
     """
     kind = grad.schema["image_id"].dataType.simpleString()
     size = gr.tile_for(tile, overlap)
@@ -266,39 +286,45 @@ def packed(grad: DataFrame, tile: int, overlap: int = 0) -> DataFrame:
         ty, tx, h, w = (int(pdf[c].iloc[0]) for c in ("_ty", "_tx", "_h", "_w"))
         y0, x0 = max(ty * size - overlap, 0), max(tx * size - overlap, 0)
         y1, x1 = min((ty + 1) * size + overlap, h), min((tx + 1) * size + overlap, w)
-        planes = np.zeros((5, y1 - y0, x1 - x0))
+        planes = np.zeros((6, y1 - y0, x1 - x0))
         iy, ix = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
         for i, c in enumerate((*LINKS, "b")):
             planes[i, iy, ix] = pdf[c].to_numpy()
+        planes[5, iy, ix] = pdf["valid"].eq(True).to_numpy()
         top, left = ty * size - y0, tx * size - x0
         ny, nx = min(size, h - ty * size), min(size, w - tx * size)
         core = planes[:, top : top + ny, left : left + nx]
-        row = [pdf["image_id"].iloc[0], ty, tx, ny, nx, top, left, y1 - y0, x1 - x0, planes[:4].astype(np.uint8).tobytes(), _raw(planes[4])]
+        row = [pdf["image_id"].iloc[0], -(-h // size) * -(-w // size), ty, tx, ny, nx, top, left, y1 - y0, x1 - x0, planes[:4].astype(np.uint8).tobytes(), _raw(planes[4])]
         own = [float(core[2][:-1].sum()), float(core[0][:, :-1].sum())]
-        row += [_moments(core[0][:, -1]), _moments(core[2][-1]), own, basis_sums(core[4]), float((core[4] ** 2).sum())]
+        row += [_moments(core[0][:, -1]), _moments(core[2][-1]), own, basis_sums(core[4]), float((core[4] ** 2).sum()), (core[5] > 0).tobytes()]
         return pd.DataFrame([row], columns=_PACKED)
 
-    schema = f"image_id {kind}, ty int, tx int, ny int, nx int, top int, left int, h int, w int, links binary, b binary, right array<double>, down array<double>, inner array<double>, b_sums array<double>, bb double"
+    schema = f"image_id {kind}, tiles long, ty int, tx int, ny int, nx int, top int, left int, h int, w int, links binary, b binary, right array<double>, down array<double>, inner array<double>, b_sums array<double>, bb double, valid binary"
     return keep(dealt(near, "image_id", "_ty", "_tx").groupBy("image_id", "_ty", "_tx").applyInPandas(pack, schema), "packed")
 
 
-_PACKED = ["image_id", "ty", "tx", "ny", "nx", "top", "left", "h", "w", "links", "b", "right", "down", "inner", "b_sums", "bb"]
+_PACKED = ["image_id", "tiles", "ty", "tx", "ny", "nx", "top", "left", "h", "w", "links", "b", "right", "down", "inner", "b_sums", "bb", "valid"]
 
 
-def unpacked(state: DataFrame, tile: int, grad: DataFrame) -> DataFrame:
-    """Depth of the valid pixels from packed ``x``; the minimum of each image is 0."""
+def unpacked(state: DataFrame, tile: int, masks: DataFrame) -> DataFrame:
+    """Depth of the valid pixels from packed ``x``, by the tiles' masks ``valid``; the minimum of each image is 0."""
     kind = state.schema["image_id"].dataType.simpleString()
 
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen = [np.frombuffer(x)[np.frombuffer(on, bool)] for x, on in zip(pdf["x"], pdf["valid"], strict=True)]
+            yield pd.DataFrame({"image_id": pdf["image_id"], "_lo": [float(np.fmin.reduce(v)) if len(v) else None for v in seen]}).dropna(subset="_lo")
+
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                yy, xx = np.mgrid[0 : row.ny, 0 : row.nx]
-                yield pd.DataFrame({"image_id": row.image_id, "y": yy.ravel() + row.ty * tile, "x": xx.ravel() + row.tx * tile, "z": _plane(row.x, row.ny, row.nx).ravel()})
+                y, x = np.nonzero(np.frombuffer(row.valid, bool).reshape(row.ny, row.nx))
+                z = np.frombuffer(row.x).reshape(row.ny, row.nx)[y, x] - row.low
+                yield pd.DataFrame({"image_id": row.image_id, "y": y + row.ty * tile, "x": x + row.tx * tile, "z": z})
 
-    depth = state.select(*TILE, "ny", "nx", "x").mapInPandas(unfold, f"image_id {kind}, y int, x int, z double")
-    depth = depth.join(grad.where("valid").select(*gr.KEY), gr.KEY, "left_semi")
-    low = depth.groupBy("image_id").agg(F.min("z").alias("_lo"))
-    return gr.attach(depth, low, ["image_id"]).select(*gr.KEY, (F.col("z") - F.col("_lo")).alias("z"))
+    ends = state.select(*TILE, "ny", "nx", "x").join(masks, TILE)
+    low = ends.select("image_id", "x", "valid").mapInPandas(lowest, f"image_id {kind}, _lo double").groupBy("image_id").agg(F.min("_lo").alias("low"))
+    return gr.attach(dealt(ends, *TILE), low, ["image_id"]).mapInPandas(unfold, f"image_id {kind}, y int, x int, z double")
 
 
 # -- conjugate gradients ------------------------------------------------------------------
@@ -313,14 +339,32 @@ def conjugate_gradients(grad: DataFrame, tile: int = 256, tolerance: float = 1e-
     Step lengths are an image's own, and an image that is done leaves the
     loop. Both dot products of a step come from one pass, so a step is one
     shuffle of tiles with their neighbours' border lines, one written table
-    and one small job on a row a tile. Raises if the residual isn't down to
+    and one small job on a row a tile. Images of up to ``AT_ONCE`` tiles take
+    the same steps inside one task. Raises if the residual isn't down to
     ``tolerance`` after ``max_steps``, or the curvature isn't positive.
     """
     kind = grad.schema["image_id"].dataType.simpleString()
     schema = _CG.format(k=kind)
     names = [f.split()[0] for f in schema.split(", ")]
-    tiles = packed(grad, tile)
+    every = packed(grad, tile)
     size = gr.tile_for(tile, 0)
+    masks = keep(every.select(*TILE, "valid"), "valid")
+    finished: list[DataFrame] = []
+    steps, worst = 0, 0.0
+    few = every.where(F.col("tiles") <= AT_ONCE)
+    ended = keep(dealt(few, "image_id").groupBy("image_id").applyInPandas(_steps_at_once(tolerance, max_steps), f"image_id {kind}, ty int, tx int, ny int, nx int, x binary, steps long, ratio double, done boolean"), "finished")
+    seen = ended.agg(F.max("steps"), F.max("ratio"), F.max(F.when(~F.col("done"), F.col("ratio")))).first()
+    if seen[2] is not None:
+        raise RuntimeError(f"residual {seen[2]:.3g} after {max_steps} steps")
+    if seen[0] is not None:
+        finished.append(ended.select(*TILE, "ny", "nx", "x"))
+        most, worst = seen[0], seen[1]
+    else:
+        most = 0
+    tiles = every.where(F.col("tiles") > AT_ONCE)
+    if tiles.isEmpty():
+        forget(every)
+        return unpacked(finished[0] if finished else ended.select(*TILE, "ny", "nx", "x"), size, masks), most, worst
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -341,14 +385,7 @@ def conjugate_gradients(grad: DataFrame, tile: int = 256, tolerance: float = 1e-
             done = rr <= tolerance**2 * start
             alpha = beta = 0.0
             if not first and not done:
-                before, a = float(pdf["gamma"].iloc[0]), float(pdf["alpha"].iloc[0])
-                beta = gamma / before if before > 0 else 0.0
-                curve = delta - (beta * gamma / a if a > 0 else 0.0)
-                if curve <= 0.1 * delta:  # cancelled: begin anew along z
-                    beta, curve = 0.0, delta
-                if not (curve > 0 and gamma > 0):
-                    raise RuntimeError(f"no positive curvature, residual {(rr / start) ** 0.5:.3g}")
-                alpha = gamma / curve
+                alpha, beta = _lengths(gamma, delta, float(pdf["gamma"].iloc[0]), float(pdf["alpha"].iloc[0]), (rr / start) ** 0.5)
             rho, omega, sigma = (np.array(pdf[k].tolist()) for k in ("rho", "omega", "sigma"))
             c = np.zeros((len(pdf), 3)) if done else coarse_solve(pdf, rho - alpha * (omega + beta * sigma))
             out = pdf[TILE].copy()
@@ -389,10 +426,8 @@ def conjugate_gradients(grad: DataFrame, tile: int = 256, tolerance: float = 1e-
         return _typed([out], names)
 
     small = ["image_id", "ty", "tx", "ny", "nx", "right", "down", "inner", "alpha", "gamma", "rz", "wz", "rr", "rr0", "rho", "sigma", "omega"]
-    finished: list[DataFrame] = []
-    steps, worst = 0, 0.0
     state = keep(state, "state")
-    forget(tiles)
+    forget(every)
     while True:
         plan = keep(state.select(*small).groupBy("image_id").applyInPandas(advance(steps == 0), scalars), "step")
         seen = plan.agg(F.sum((~F.col("done")).cast("long")), F.max("ratio"), F.max(F.when(F.col("done"), F.col("ratio"))), F.sum(F.col("done").cast("long"))).first()
@@ -414,7 +449,63 @@ def conjugate_gradients(grad: DataFrame, tile: int = 256, tolerance: float = 1e-
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
-    return unpacked(out, size, grad), max(steps - 1, 0), worst
+    return unpacked(out, size, masks), max(steps - 1, most), worst
+
+
+def _lengths(gamma: float, delta: float, before: float, step: float, left: float) -> tuple[float, float]:
+    """Length of the next step and share of the last direction in it."""
+    beta = gamma / before if before > 0 else 0.0
+    curve = delta - (beta * gamma / step if step > 0 else 0.0)
+    if curve <= 0.1 * delta:  # cancelled: begin anew along z
+        beta, curve = 0.0, delta
+    if not (curve > 0 and gamma > 0):
+        raise RuntimeError(f"no positive curvature, residual {left:.3g}")
+    return gamma / curve, beta
+
+
+#: tiles of an image up to which a task takes all its steps
+AT_ONCE = 4
+
+
+def _steps_at_once(tolerance: float, max_steps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The steps of ``conjugate_gradients`` on one image's packed tiles; each tile's solver is made once."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ty", "tx"], ignore_index=True)
+        places = list(zip(pdf["ty"].tolist(), pdf["tx"].tolist(), strict=True))
+        sizes = list(zip(pdf["ny"].tolist(), pdf["nx"].tolist(), strict=True))
+        links = [_link_planes(raw, *n) for raw, n in zip(pdf["links"], sizes, strict=True)]
+        r = [_plane(raw, *n) for raw, n in zip(pdf["b"], sizes, strict=True)]
+        x, p, s, z, w = ([np.zeros(n) for n in sizes] for _ in range(5))
+        parts: list[Callable | None] = [None] * len(r)
+        rho, omega, sigma = np.array(pdf["b_sums"].tolist()), np.zeros((len(r), 3)), np.zeros((len(r), 3))
+        rr = start = float(pdf["bb"].sum())
+        gamma = delta = before = alpha = beta = 0.0
+        taken = 0
+        while not (done := rr <= tolerance**2 * start) and taken <= max_steps:
+            if taken:
+                alpha, beta = _lengths(gamma, delta, before, alpha, (rr / start) ** 0.5)
+            c = coarse_solve(pdf, rho - alpha * (omega + beta * sigma))
+            before = gamma
+            for i, link in enumerate(links):
+                p[i], s[i] = z[i] + beta * p[i], w[i] + beta * s[i]
+                x[i], r[i] = x[i] + alpha * p[i], r[i] - alpha * s[i]
+                quiet = float((r[i] * r[i]).sum()) <= 1e-26 * start  # rounding is all that is left in this tile
+                if not quiet and parts[i] is None:
+                    parts[i] = solver(link)
+                z[i] = (np.zeros(sizes[i]) if quiet else parts[i](r[i])) + coarse_plane(c[i], link)
+            at = dict(zip(places, z, strict=True))
+            for i, (ty, tx) in enumerate(places):
+                near = {"right": (ty, tx + 1), "left": (ty, tx - 1), "down": (ty + 1, tx), "up": (ty - 1, tx)}
+                lines = {"right": np.s_[:, 0], "left": np.s_[:, -1], "down": np.s_[0], "up": np.s_[-1]}
+                w[i] = apply(z[i], links[i], {side: at[place][lines[side]] for side, place in near.items() if place in at})
+            gamma, delta, rr = (sum(float((a * b).sum()) for a, b in zip(u, v, strict=True)) for u, v in ((r, z), (w, z), (r, r)))
+            rho, omega, sigma = (np.array([basis_sums(v) for v in planes]) for planes in (r, w, s))
+            taken += 1
+        ratio = (rr / start) ** 0.5 if start > 0 else 0.0
+        return pdf[[*TILE, "ny", "nx"]].assign(x=[_raw(v) for v in x], steps=max(taken - 1, 0), ratio=ratio, done=done)
+
+    return run
 
 
 def _typed(rows: list[dict], names: list[str]) -> pd.DataFrame:
@@ -527,6 +618,7 @@ def schwarz_sweeps(grad: DataFrame, tile: int = 4096, overlap: int = 256, tolera
         return pd.DataFrame([out], columns=names).astype({k: int for k in ("ny", "nx", "top", "left", "h", "w")})
 
     state = keep(tiles.mapInPandas(begin, schema), "state")
+    masks = keep(tiles.select(*TILE, "valid"), "valid")
     forget(tiles)
     edges = f"image_id {kind}, axis string, ey int, ex int, here boolean, ty int, tx int, half double, line binary, mask binary"
     for sweeps in range(max_sweeps + 1):
@@ -551,5 +643,5 @@ def schwarz_sweeps(grad: DataFrame, tile: int = 4096, overlap: int = 256, tolera
         left_over = state.groupBy("image_id").agg(F.sum("rr").alias("rr"), F.sum("bb").alias("bb"))
         worst = left_over.agg(F.max(F.sqrt(F.try_divide("rr", "bb")))).first()[0] or 0.0
         if worst <= tolerance:
-            return unpacked(state, size, grad), sweeps, worst
+            return unpacked(state, size, masks), sweeps, worst
     raise RuntimeError(f"residual {worst:.3g} after {max_sweeps} sweeps")
