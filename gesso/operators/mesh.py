@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from gesso.functions import geometry as g
 from gesso.operators import boxtree as bt
 from gesso.operators import grid as gr
+from gesso.operators import triangles as tr
 from gesso.operators.scans import attach, exact_quantiles
 from gesso.session import cut, keep, lookup, spread, tasks_for
 
@@ -298,16 +299,13 @@ def nearest_triangle(queries: DataFrame, triangles: DataFrame, bucket: int = 32)
     """Nearest triangle and foot point of each query point: id, f, distance,
     foot; ties by f. ``triangles``: f, x1..z3. Exact.
 
-    A search in a tree of boxes (see ``boxtree``). Triangles of different size
-    have buckets of their own, so one as wide as the mesh is one more candidate
-    for each query and nothing else. Rows without finite coordinates take no part.
+    Triangles lie in pages that the points visit (see ``triangles``), ``bucket``
+    in a row. Wide ones have pages of their own. Rows without finite
+    coordinates take no part.
     """
-    corners = [f"{a}{i}" for i in (1, 2, 3) for a in "xyz"]
-    ends = [f(*[F.col(f"{a}{i}").cast("double") for i in (1, 2, 3)]).alias(f"{a}{n}") for n, f in (("0", F.least), ("9", F.greatest)) for a in "xyz"]
-    held = triangles.where(bt.finite(*corners)).select("f", *[F.col(c).alias(f"p{c}") for c in corners], *ends)
-    held = held.select("f", *[f"p{c}" for c in corners], *[f"{a}0" for a in "xyz"], *[F.col(f"{a}9").alias(f"{a}1") for a in "xyz"])
-    found = bt.search(queries, held, "f", [f"p{c}" for c in corners], 1, bt.to_triangles, foot=True, bucket=bucket)
-    return found.select("id", F.col("item").alias("f"), "distance", "foot")
+    held = triangles.where(bt.finite(*tr.CORNERS)).select("f", *[F.col(c).cast("double").alias(c) for c in tr.CORNERS])
+    asked = queries.where(bt.finite(*"xyz")).select("id", *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    return tr.nearest(asked, held, bucket)
 
 
 def tangent_cells(samples: DataFrame, k: int = 16, padding: float = 0.01, reach: float = 20.0) -> DataFrame:
